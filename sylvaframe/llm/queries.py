@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, license_scan, packing, quality, simhash, toxicity, warc
+from . import byte_bpe, fingerprint, license_scan, packing, quality, search, simhash, token_counts, toxicity, warc
 from .common import documents, work_dir
 from .labelled import fold
 
@@ -45,6 +45,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model), 5, 0, 0.5)
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = search.top_k(docs, docs.where("doc_id % 100 = 0"), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.edited_pairs(documents(spark, sf_dir))
     return rows.select(
@@ -63,6 +69,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.load_vocabulary(_vocabulary("piece_bpe_32k.model")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.train(docs, _labels(spark, sf_dir), fold("doc_id", 4) != 2)
@@ -83,5 +93,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op5_fingerprints, op6_packing, op8_quality, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_search, op5_fingerprints, op6_packing, op7_token_counts, op8_quality, op9_simhash, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
