@@ -33,6 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 def fitted(examples: DataFrame, fit) -> dict[str, np.ndarray]:
     """Fit a model on a bounded set of examples in one task and return its arrays.
 
+    The features are made where the rows lie; only those of the bounded sample meet in the task.
+
     ``fit`` takes the examples as one Arrow table, sorted by ``doc_id``, and returns named arrays of a size
     that the model fixes.
     """
@@ -51,7 +53,7 @@ def fitted(examples: DataFrame, fit) -> dict[str, np.ndarray]:
         got = list(batches) or [pa.RecordBatch.from_pylist([], schema=to_arrow_schema(schema))]
         yield from run(got)
 
-    with np.load(io.BytesIO(examples.coalesce(1).mapInArrow(whole, "model binary").head().model)) as model:
+    with np.load(io.BytesIO(examples.repartition(1).mapInArrow(whole, "model binary").head().model)) as model:
         return {k: model[k] for k in model.files}
 
 
