@@ -1,11 +1,14 @@
 """Byte-level BPE: ranked merges folded over the distinct words of a block of documents.
 
-Documents are read once. A task splits its texts into words and gathers blocks of about
-``BLOCK_BYTES`` of text; a block row holds its distinct words once (as byte strings) and each
-document as word numbers. Spark's higher-order functions then fold the merges over every
-distinct word, looking ranks up in a literal rank map, and a last step expands the word numbers
-into token ids. Nothing is shuffled, so the plan is the same at any size and a lost executor
-costs only its own splits.
+A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a
+block row holds its distinct words once (as byte strings) and each document as word numbers. Spark's
+higher-order functions fold the merges over every distinct word, looking ranks up in a literal
+rank map, and a last step expands the word numbers into token ids. No text is shuffled, and a lost
+executor costs only its own splits.
+
+Words that many tasks meet are folded once for all: a first pass counts words over the corpus, the
+most frequent ones (at most ``FREQUENT``) go through the same fold, and their ids reach the
+tasks as one broadcast of bounded size. All other words are folded where their block is.
 
 The fold passes over a word once for each merge. Words of more than ``LONG_WORD`` bytes, where
 that grows with the square of the length, are merged with a heap by the same ranks instead.
@@ -26,9 +29,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, contractions, id_text, text_chunks
+from .common import Codes, contractions, distinct_spans, id_text, stored, text_chunks
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: The most words whose ids are shared by all tasks (about 30 bytes each).
+FREQUENT = 1_000_000
 LONG_WORD = 256
 #: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
 BUCKETS = 1 << 16
@@ -40,8 +45,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Every match of the split pattern in each text, in order, and the number of words of each text.
+def split_words(texts: list[str]) -> tuple[Codes, np.ndarray, np.ndarray]:
+    """Every match of the split pattern in all texts, in order: the code points, where each begins, and the number of words of each text.
+    A word ends where the next begins.
 
     Runs of one class of character are found with numpy; a single space joins the run behind it,
     other white space before a word stays on its own, and contractions are cut off.
@@ -49,7 +55,7 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     codes = Codes(texts)
     n = len(codes.points)
     if not n:
-        return [], np.zeros(len(texts), np.int64)
+        return codes, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     starts = codes.runs()
     stops = np.append(starts[1:], n)
     kind = codes.kind[starts]
@@ -67,8 +73,7 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     mask[stops[at] + taken] = True
     cuts = np.flatnonzero(mask[:n])
     counts = np.diff(np.searchsorted(cuts, np.concatenate([[0], codes.ends])))
-    text, edges = codes.text, np.append(cuts, n).tolist()
-    return [text[a:b] for a, b in zip(edges, edges[1:])], counts
+    return codes, cuts, counts
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -153,42 +158,134 @@ def merged_ids(word: Column, ranks: Column) -> Column:
     return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) <= LONG_WORD, folded))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _latin(word: str) -> str:
+    return word.encode("utf-8", "surrogatepass").decode("latin-1")
+
+
+def _chunk_words(texts: list[str]):
+    """Distinct words of some texts: hashes, second hashes, the words themselves by a function of their numbers, which
+    of them each word is, how often each occurs, and the number of words of each text."""
+    codes, cuts, counts = split_words(texts)
+    stops = np.append(cuts[1:], len(codes.points))[: len(cuts)]
+    h, g, one, which = distinct_spans(codes.points, cuts, stops)
+    text, a, b = codes.text, cuts[one], stops[one]
+    return h, g, lambda use: [text[x:y] for x, y in zip(a[use].tolist(), b[use].tolist())], which, np.bincount(which, minlength=len(h)), counts
+
+
+def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """``word`` (bytes as characters) of the words with the highest counts in the column ``text``, at most ``most`` and
+    none that occur once. Counts under two in a task are left out: they cannot matter for words that recur."""
+
+    def count(batches):
+        seen: dict[str, int] = {}
+
+        def rows():
+            often = [w for w, n in seen.items() if n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([_latin(w) for w in often], pa.string()), pa.array([seen[w] for w in often], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for a, b in text_chunks(batch.column(0)):
+                _, _, words, _, n, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist())
+                for w, k in zip(words(slice(None)), n.tolist()):
+                    seen[w] = seen.get(w, 0) + k
+                if len(seen) > 500_000:
+                    yield rows()
+                    seen = {}
+        yield rows()
+
+    counted = stored(src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # the least count that keeps the number of words in bounds, found on the counts of counts
+    level = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, None
+    for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():  # at most 512 rows
+        held += r.words
+        if held > most:
+            break
+        least = r.n
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least).where(F.length("word") <= LONG_WORD).select("word")
+
+
+class Known:
+    """Ids of frequent words in flat arrays, found by two 64-bit hashes of the word's code points."""
+
+    def __init__(self, words: list[str], ids: pa.ListArray):
+        codes = Codes(words)
+        stops = codes.ends
+        h, g, one, _ = distinct_spans(codes.points, np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(words) else stops, stops)
+        self.h, self.g = h, g
+        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        first = np.cumsum(size) - size
+        self.flat = ids.flatten().to_numpy().astype("<u4") if len(words) else np.zeros(0, "<u4")
+        self.first, self.size = first[one], size[one]
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Places of the words, -1 where unknown."""
+        if not len(self.h):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.g[at] == g), at, -1)
+
+    def lists(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[places]
+        return self.flat[np.repeat(self.first[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``ids`` (array<int>) and ``ids_bytes`` (the ids as little-endian unsigned 32-bit) of each row."""
     src = id_text(docs, id_col, text_col)
     kind = dict(src.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    context = docs.sparkSession.sparkContext
+    literal = rank_map(ranks)
+    often = frequent_words(src, frequent).repartition(max(8, context.defaultParallelism), "word").select("word", merged_ids(F.col("word"), literal).alias("ids")).toArrow()  # at most ``frequent`` rows
+    known = Known([w.encode("latin-1").decode("utf-8", "surrogatepass") for w in often["word"].to_pylist()], often["ids"].combine_chunks() if often.num_rows else pa.array([], pa.list_(pa.int32())))
+    del often
+    shared = context.broadcast((known, ranks))  # bounded by ``frequent`` and the vocabulary
 
     def pack(batches):
-        words: dict[str, int] = {}
-        ids, counts, codes, held = [], [], [], 0
+        known = shared.value[0]
+        ids, counts, chunks, held = [], [], [], 0
 
         def block():
+            # the distinct words of all chunks: known ones by their place, others by their hashes
+            place = np.concatenate([c[0] for c in chunks])
+            h, g = np.concatenate([c[1] for c in chunks]), np.concatenate([c[2] for c in chunks])
+            names = [w for c in chunks for w in c[3]]
+            old, old_which = np.unique(place[place >= 0], return_inverse=True)
+            new = np.flatnonzero(place < 0)
+            _, new_one, new_which = np.unique(np.stack([h[new], g[new]], 1).view("u8,u8").ravel(), return_index=True, return_inverse=True)
+            code = np.empty(len(place), np.int64)
+            code[place >= 0] = old_which
+            code[new] = len(old) + new_which
+            flat, size = known.lists(old)
+            offset, out = 0, []
+            for c in chunks:
+                out.append(code[offset : offset + len(c[0])][c[4]])
+                offset += len(c[0])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([[w.encode().decode("latin-1") for w in words]], pa.list_(pa.string())),
+                    pa.array([[_latin(names[i]) for i in new_one.tolist()]], pa.list_(pa.string())),
+                    pa.array([flat.tobytes()], pa.binary()),
+                    pa.array([size.astype("<i4").tobytes()], pa.binary()),
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([np.concatenate(counts).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([np.concatenate(codes).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([np.concatenate(out).astype("<i4").tobytes()], pa.binary()),
                 ],
-                ["words", "doc_ids", "counts", "codes"],
+                ["words", "known_ids", "known_sizes", "doc_ids", "counts", "codes"],
             )
 
         for batch in batches:
             id_type = batch.column(0).type
             for a, b in text_chunks(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a).to_pylist()
-                found, n = split_words(texts)
-                for w in found:
-                    if w not in words:
-                        words[w] = len(words)
-                codes.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                h, g, words, which, _, n = _chunk_words(texts)
+                place = known.find(h, g)
+                chunks.append((place, h, g, words(place < 0), which.astype(np.int32)))
                 counts.append(n)
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 held += sum(map(len, texts))
                 if held >= block_bytes:
                     yield block()
-                    words, ids, counts, codes, held = {}, [], [], [], 0
+                    ids, counts, chunks, held = [], [], [], 0
         if ids:
             yield block()
 
@@ -201,11 +298,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     words = one.column("words").flatten()
                     full = pieces.to_pylist()
                     for i in np.flatnonzero(pieces.is_null().to_numpy(zero_copy_only=False)):
-                        full[i] = merge_long(words[int(i)].as_py().encode("latin-1"), shared.value)
+                        full[i] = merge_long(words[int(i)].as_py().encode("latin-1"), shared.value[1])
                     pieces = pa.array(full, pa.list_(pa.int32()))
-                size = pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+                size = np.concatenate([np.frombuffer(one.column("known_sizes")[0].as_py(), "<i4"), pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False)]).astype(np.int64)
                 first = np.cumsum(size) - size
-                flat = pieces.flatten().to_numpy().astype("<u4")
+                flat = np.concatenate([np.frombuffer(one.column("known_ids")[0].as_py(), "<u4"), pieces.flatten().to_numpy().astype("<u4")])
                 counts = np.frombuffer(one.column("counts")[0].as_py(), "<i4").astype(np.int64)
                 codes = np.frombuffer(one.column("codes")[0].as_py(), "<i4")
                 doc_ids = one.column("doc_ids").flatten()
@@ -213,7 +310,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                 a = 0
                 while a < len(counts):  # some documents at a time
                     w0 = word_ends[a] - counts[a]
-                    b = max(a + 1, int(np.searchsorted(word_ends, w0 + 500_000)))
+                    b = max(a + 1, int(np.searchsorted(word_ends, w0 + 200_000)))
                     use = codes[w0 : word_ends[b - 1]]
                     n = size[use]
                     ends = np.cumsum(n)
@@ -230,8 +327,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     )
                     a = b
 
-    blocks = src.mapInArrow(pack, f"words array<string>, doc_ids array<{kind}>, counts binary, codes binary")
-    literal = rank_map(ranks)
+    blocks = src.mapInArrow(pack, f"words array<string>, known_ids binary, known_sizes binary, doc_ids array<{kind}>, counts binary, codes binary")
     blocks = blocks.withColumn("pieces", F.transform("words", lambda w: merged_ids(w, literal)))
     return blocks.mapInArrow(unpack, f"doc_id {kind}, ids array<int>, ids_bytes binary")
 

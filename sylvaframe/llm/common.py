@@ -6,7 +6,6 @@ with any further columns. A null text counts as the empty text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,28 +14,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored, work_dir  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that a Python helper handles at once (one longer text is handled whole).
 CHUNK_BYTES = 1 << 20
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back, so that lineage ends here."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), so that no other column can clash or be carried."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -111,6 +94,47 @@ class Codes:
         return np.flatnonzero(new)
 
 
+#: Odd multipliers of the two running polynomials modulo 2^64, each with an inverse.
+PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse."""
+    if prime not in _powers or len(_powers[prime][0]) < n:
+        pair = []
+        for base in (prime, pow(prime, -1, 1 << 64)):
+            steps = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+            steps[0] = 1
+            pair.append(np.multiply.accumulate(steps))
+        _powers[prime] = (pair[0], pair[1])
+    up, down = _powers[prime]
+    return up[:n], down[:n]
+
+
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, prime: int = PRIMES[0]) -> np.ndarray:
+    """A 64-bit hash of each stretch of values, from one running polynomial."""
+    up, down = _prime_powers(prime, len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    h = (total[last] - total[first]) * down[first]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def distinct_spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct stretches by two 64-bit hashes: (hash, second hash, one stretch that has them) of each, and which of them every stretch is."""
+    h, g = span_hashes(values, first, last), span_hashes(values, first, last, PRIMES[1])
+    order = np.argsort(h)
+    if len(h) and np.any((h[order[1:]] == h[order[:-1]]) & (g[order[1:]] != g[order[:-1]])):
+        order = np.lexsort((g, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    return h[one], g[one], one, which
+
+
 #: Contractions that the split patterns take as one piece (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 

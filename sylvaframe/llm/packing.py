@@ -20,32 +20,33 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, arrow_rows, contractions, id_text, stored
+from .common import Codes, arrow_rows, contractions, distinct_spans, id_text, stored
 
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked together.
 RANKED = 200_000
 
 
-def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words that the tokenizer's normalizer and splitter make of each text, and their number in each: NFC and lower case, then
+def split_words(texts: list[str]) -> tuple[Codes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (code points, where each begins and ends) that the tokenizer's normalizer and splitter make of each text, and their number in each: NFC and lower case, then
     letters in a row, single numbers, other characters in a row, contractions cut off, white space dropped."""
     lowered = [(t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).replace("Σ", "σ").lower() for t in texts]
     codes = Codes(lowered)
     n = len(codes.points)
     if not n:
-        return [], np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.int64)
+        return codes, none, none, np.zeros(len(texts), np.int64)
     starts = codes.runs()
     mask = np.zeros(n + 1, bool)
     mask[starts] = True
@@ -58,57 +59,75 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     ends = np.append(cuts[1:], n)
     word = codes.kind[cuts] != Codes.SPACE
     first, last = cuts[word], ends[word]
-    text = codes.text
     counts = np.diff(np.searchsorted(first, np.concatenate([[0], codes.ends])))
-    return [text[a:b] for a, b in zip(first.tolist(), last.tolist())], counts
+    return codes, first, last, counts
 
 
 class WordIds:
-    """Ids of words by a tokenizer file, each word tokenised once while it is remembered."""
+    """Ids of words by a tokenizer file, each word tokenised once while it is remembered.
+
+    The words come normalised and split, so only the byte mapping and the merges of the tokenizer are left to do.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.ids, self.first, self.size = array("I"), array("q"), array("q")
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def learn(self, words: list[str]):
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        n, total = len(self.known), int(size.sum())
+        while n + len(words) > len(self.first):
+            self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.size[n : n + len(words)] = size
+        self.first[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.used += total
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def __call__(self, codes: Codes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and the number of ids of each word."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = len(self.first)
-            self.first.append(len(self.ids))
-            self.size.append(len(e.ids))
-            self.ids.extend(e.ids)
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        ids, first, size = np.array(self.ids, np.uint32), np.frombuffer(self.first, np.int64) if self.first else np.zeros(0, np.int64), np.frombuffer(self.size, np.int64) if self.size else np.zeros(0, np.int64)
-        n = size[code]
+        _, _, one, which = distinct_spans(codes.points, first, last)
+        text = codes.text
+        words = [text[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())]
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.learn(new)
+        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
+        n = self.size[code]
         ends = np.cumsum(n)
-        return ids[np.repeat(first[code] - (ends - n), n) + np.arange(n.sum())], n
+        return self.ids[np.repeat(self.first[code] - (ends - n), n) + np.arange(n.sum())], n
 
 
 _tokenizers: dict[str, WordIds] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``ids`` of every piece of every document."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if wanted, ``ids`` of every piece of every document."""
     src = id_text(docs, id_col, text_col)
 
     def cut(batch):
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordIds(tokenizer_path)
-        words, counts = split_words(batch.column("text").to_pylist())
-        ids, n = _tokenizers[tokenizer_path](words)
+        codes, first, last, counts = split_words(batch.column("text").to_pylist())
+        ids, n = _tokenizers[tokenizer_path](codes, first, last)
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
         where = np.repeat(np.arange(batch.num_rows), np.diff(np.concatenate([[0], ends])))
         full = np.empty(len(ids) + batch.num_rows, "<u4")
@@ -124,16 +143,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
         length = np.minimum(sizes[owner] - start, capacity)
         at = begins[owner] + start
         raw = full.tobytes()
-        yield {
+        out = {
             "doc_id": batch.column("doc_id").take(pa.array(owner)),
             "piece": piece,
             "start": start,
             "length": length,
             "ids_crc32": [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())],
-            "ids": pa.ListArray.from_arrays(pa.array(np.append(at, len(full)), pa.int32()), pa.array(full.astype(np.int32))),
         }
+        if with_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(at, len(full)), pa.int32()), pa.array(full.astype(np.int32)))
+        yield out
 
-    return arrow_rows(src, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>", cut)
+    return arrow_rows(src, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint{', ids array<int>' if with_ids else ''}", cut)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -206,7 +227,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document (without its ids) with its sequence and place; the texts are tokenised once."""
-    cut = pieces(docs, tokenizer_path, capacity, closing_id, id_col, text_col).drop("ids")
+    cut = pieces(docs, tokenizer_path, capacity, closing_id, id_col, text_col, with_ids=False)
     return pack(stored(cut, "pieces"), capacity)
 
 

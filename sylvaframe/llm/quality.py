@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text, kept_rows
+from .common import arrow_rows, id_text, kept_rows, span_hashes
 from .labelled import LETTERS, fitted, joined, labelled_sample, text_bytes
 
 BITS = 16
@@ -29,33 +29,12 @@ WORDS = 1 << BITS
 BINS = 16
 RANK = 8
 MAX_ROWS = 8000
-_PRIME = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the prime and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_PRIME, pow(_PRIME, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(mask.astype(np.int8), prepend=0, append=0)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes, from one running polynomial."""
-    up, down = _prime_powers(len(b) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-    h = (total[stops] - total[starts]) * down[starts]
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Statistics of each text (rows), and its distinct words as (hash, owner)."""
     raw, first, last = joined(texts)

@@ -20,11 +20,11 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, id_text
+from .common import Codes, arrow_rows, distinct_spans, id_text
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def load_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -50,8 +50,7 @@ class Counter:
         self.unknown = min(float(s) for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.singles = {p for p in pieces if len(p) == 1}
-        by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if by_word else (lambda text: [text] if text else [])
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.known: dict[str, int] = {}
         self.counts: list[int] = []
         self.scores: list[float] = []
@@ -81,22 +80,35 @@ class Counter:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known, self.counts, self.scores = {}, [], []
-        words = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        flat = [w for row in words for w in row]
-        for w in dict.fromkeys(flat):
+        codes = Codes([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        first, last, ends = self.words(codes)
+        _, _, one, which = distinct_spans(codes.points, first, last)
+        words = [codes.text[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())]
+        for w in words:
             if w not in self.known:
                 c, s = self.solve(w)
                 self.known[w] = len(self.counts)
                 self.counts.append(c)
                 self.scores.append(s)
-        code = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         out = []
         for values in (np.array(self.counts, np.int64), np.array(self.scores, np.float64)):
-            total = np.concatenate([[0], np.cumsum(values[code] if len(code) else np.zeros(0))])
+            total = np.concatenate([[0], np.cumsum(values[code][which] if len(code) else np.zeros(0))])
             out.append(np.diff(total[np.concatenate([[0], ends])]))
         return out[0].astype(np.int64), out[1]
 
+    def words(self, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word begins and ends, and the number of words up to the end of each text."""
+        n = len(codes.points)
+        new = np.zeros(n + 1, bool)
+        new[0] = n > 0
+        new[codes.ends[codes.ends < n]] = True
+        if self.by_word:
+            mark = codes.points == ord(MARK)
+            new[1:n] |= mark[1:] & ~mark[:-1]
+        first = np.flatnonzero(new[:n])
+        return first, np.append(first[1:], n)[: len(first)], np.searchsorted(first, codes.ends)
+
 
 _counters: dict[int, Counter] = {}
 

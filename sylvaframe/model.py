@@ -76,6 +76,8 @@ def from_nodes(nodes: DataFrame, catalog: dict | None = None, header: dict | Non
         from pyspark.sql import Window
 
         nodes = nodes.withColumn("child_ord", F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy("node_id")))
+    if "index" not in nodes.columns:
+        nodes = nodes.withColumn("index", F.lit(None))
     attributes = [c for c in nodes.columns if c not in TOPOLOGY]
     shape = dict(f.split(" ") for f in TOPOLOGY_SCHEMA.split(", "))
     nodes = nodes.select(*[F.coalesce(F.col("index"), F.lit(NO_INDEX)).cast("int").alias("index") if c == "index" else F.col(c).cast(shape[c]).alias(c) for c in TOPOLOGY], *attributes)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .filters import Filter
 from .index import KEY, closure
 
-SIBLINGS = Window.partitionBy("tree_id", "parent_id").orderBy("child_ord")
-ALL_SIBLINGS = SIBLINGS.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _siblings():
+    return Window.partitionBy("tree_id", "parent_id").orderBy("child_ord")
 
 
 def _root(c: Column) -> Column:
@@ -57,16 +58,16 @@ def siblings(tree) -> DataFrame:
 
 
 def next_sibling(tree) -> DataFrame:
-    return tree.nodes.select(*KEY, _root(F.lead("node_id").over(SIBLINGS)).alias("sibling_id"))
+    return tree.nodes.select(*KEY, _root(F.lead("node_id").over(_siblings())).alias("sibling_id"))
 
 
 def previous_sibling(tree) -> DataFrame:
-    return tree.nodes.select(*KEY, _root(F.lag("node_id").over(SIBLINGS)).alias("sibling_id"))
+    return tree.nodes.select(*KEY, _root(F.lag("node_id").over(_siblings())).alias("sibling_id"))
 
 
 def last_sibling(tree) -> DataFrame:
     """The last child of the parent, which may be the node itself."""
-    return tree.nodes.select(*KEY, _root(F.last("node_id").over(ALL_SIBLINGS)).alias("sibling_id"))
+    return tree.nodes.select(*KEY, _root(F.last("node_id").over(_siblings().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("sibling_id"))
 
 
 def is_leaf(tree) -> DataFrame:
