@@ -30,14 +30,14 @@ def _let(value: Column, body) -> Column:
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The sorted retained hashes (array<bigint>) of a text."""
-    top = -(1 << 63) + (1 << 64) // scale
+    top = -(1 << 63) + (1 << 64) // scale - 1
     words = F.transform(F.split(F.btrim(F.lower(text), F.lit(" \t\n\r\f\x0b")), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: F.xxhash64(w))
 
     def retained(w):
         last = F.greatest(F.size(w) - shingle, F.lit(0))
         # an index behind the last word gives null, which leaves the hash of the words before as it is
         hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)]))
-        return _let(hashes, lambda h: _let(F.filter(h, lambda x: x < F.lit(top)), lambda low: F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(h)))))
+        return _let(hashes, lambda h: _let(F.filter(h, lambda x: x <= F.lit(top)), lambda low: F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(h)))))
 
     return _let(words, retained)
 
