@@ -8,8 +8,8 @@ characters in a row are one unknown token, or one token for each of their UTF-8
 them all as ``<0xNN>``.
 
 Spaces become the mark U+2581 and one mark goes before a text that is not empty. Where no piece has a mark behind
-another character, the best path of a text is that of its words (marks and what follows them), so each
-distinct word is solved once per Python worker; with other vocabularies a text is one word. Null and empty
+another character and the mark is a piece, the best path of a text is that of its words (marks and what follows
+them), so each distinct word is solved once per Python worker; with other vocabularies a text is one word. Null and empty
 texts have no tokens and score 0. Rows are counted one by one; other columns are not carried.
 """
 
@@ -50,7 +50,8 @@ class Counter:
         self.unknown = min(float(s) for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.singles = {p for p in pieces if len(p) == 1}
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        # an unknown mark would join unknown characters of two words
+        self.by_word = (self.bytes or MARK in self.singles) and not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.known: dict[str, int] = {}
         self.counts: list[int] = []
         self.scores: list[float] = []
