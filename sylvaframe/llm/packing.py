@@ -183,18 +183,20 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                 gap, first, number = capacity, sequences, left
             fit = gap // length
             use = min(number, -(-left // fit))
+            # best fit fills one sequence before it takes the next, so only the last of them may hold fewer
+            full = use if use * fit <= left else use - 1
+            rest = min(left, use * fit) - full * fit
             if gap == capacity:
                 sequences += use
             else:
                 put(gap, first + use, number - use)
             for k in range(fit):  # the k-th document of each of these sequences
-                now = min(use, left)
-                if now < use:
-                    put(gap - k * length, first + now, use - now)
+                now = full + (k < rest)
                 if now:
                     placed.append((length, rank, now, first, capacity - gap + k * length))
-                rank, left, use = rank + now, left - now, now
-            put(gap - fit * length, first, use)
+                rank, left = rank + now, left - now
+            put(gap - fit * length, first, full)
+            put(gap - rest * length, first + full, use - full)
     return np.array(sorted(placed), np.int64).reshape(-1, 5)
 
 
