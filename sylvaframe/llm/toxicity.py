@@ -52,26 +52,32 @@ def _features(batch):
     yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "features": lists}
 
 
+def _slices(rows: pa.Table, size: int = 256):
+    """(features, row of each) of some examples at a time."""
+    for a in range(0, rows.num_rows, size):
+        lists = rows["features"].slice(a, size).combine_chunks()
+        yield lists.flatten().to_numpy(), a + np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+
 def _fit(rows: pa.Table) -> dict[str, np.ndarray]:
     y = rows["label"].to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0)
     weight = np.zeros(BUCKETS, np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return {"weight": weight, "bias": np.array(np.log((share + 1e-6) / (1 - share + 1e-6)))}
-    lists = rows["features"].combine_chunks()
-    ids, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    row = np.repeat(np.arange(len(y)), size)
-    pos = np.bincount(ids[y[row] == 1], minlength=BUCKETS).astype(np.float64)
-    every = np.bincount(ids, minlength=BUCKETS).astype(np.float64)
+    pos, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for ids, row in _slices(rows):
+        pos += np.bincount(ids[y[row] == 1], minlength=BUCKETS)
+        every += np.bincount(ids, minlength=BUCKETS)
     a = 0.5
     ratio = np.log((pos + a) / (y.sum() + 2 * a)) - np.log((every - pos + a) / ((1 - y).sum() + 2 * a))
     # a feature counts if its ratio stands out from what its own number of documents makes likely
     spread = np.sqrt(1 / (pos + a) + 1 / (every - pos + a))
     used = (every >= LEAST_DOCUMENTS) & (np.abs(ratio) > 3 * spread)
-    number = np.full(BUCKETS, -1)
+    number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(used.sum())
-    keep = used[ids]
-    col, row = number[ids[keep]], row[keep]
+    parts = [(number[ids[keep]], row[keep].astype(np.int32)) for ids, row in _slices(rows) for keep in [used[ids]]]
+    col, row = np.concatenate([c for c, _ in parts]), np.concatenate([o for _, o in parts])
     r = ratio[used] / 3
     w, b = np.zeros(len(r)), np.log(share / (1 - share))
     m, v, mb, vb = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
