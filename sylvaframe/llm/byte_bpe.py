@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import Codes, contractions, distinct_spans, id_text, stored, text_chunks
 
 BLOCK_BYTES = 8 << 20
-#: The most words whose ids are shared by all tasks (about 30 bytes each).
-FREQUENT = 1_000_000
+#: The most words whose ids are shared by all tasks (about 30 bytes each, several times that while the driver gathers them).
+FREQUENT = 100_000
 LONG_WORD = 256
 #: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
 BUCKETS = 1 << 16
