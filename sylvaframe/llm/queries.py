@@ -28,7 +28,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 def _classified(scored: DataFrame, parts: int, held: int, least: float) -> DataFrame:
@@ -94,4 +94,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_search, op5_fingerprints, op6_packing, op7_token_counts, op8_quality, op9_simhash, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Runs of digits, letters and all beyond ASCII in the text with A-Z lower-cased.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _license_sql() -> str:
+    """Every word of every text against every word of every template; a place counts if all mandatory words stand there."""
+    rows = []
+    for t, template in enumerate(license_scan.BASE + license_scan.NOTICES):
+        inside = {i for a, b in license_scan._spans(template) for i in range(a, b)}
+        rows += [f"({t}, '{template.label}', {template.base}, {i}, '{w}', {i in inside}, {min(inside)})" for i, w in enumerate(template.text.split())]
+    labels = "array_to_string(list_sort(list(DISTINCT label){}), ',')"
+    return f"""
+WITH tpl(t, label, base, pos, word, must, first) AS (VALUES {", ".join(rows)}),
+lists AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM lists),
+idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1e-3 AS v FROM (SELECT DISTINCT word FROM tpl) LEFT JOIN w USING (word) GROUP BY 1),
+whole AS (SELECT t, sum(v) AS total, count(*) FILTER (must) AS needed FROM tpl JOIN idf USING (word) GROUP BY 1),
+m AS (SELECT doc_id, t, label, base, i - pos + first AS start, sum(v) / any_value(total) AS score FROM w JOIN tpl USING (word) JOIN idf USING (word) JOIN whole USING (t) GROUP BY doc_id, t, label, base, i - pos, first HAVING count(*) FILTER (must) = any_value(needed)),
+a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, {labels.format(" FILTER (base)")} AS base_labels, {labels.format("")} AS labels, max(score) AS score FROM m GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score FROM lists LEFT JOIN a USING (doc_id)"""
+
+
+_SEARCH_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+l AS (SELECT d.doc_id, count(term) AS n FROM documents d LEFT JOIN w USING (doc_id) GROUP BY 1),
+g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * d.tf * {search.K1 + 1} / (d.tf + {search.K1} * ({1 - search.B} + {search.B} * l.n / mean))) AS score
+ FROM tf q JOIN df USING (term) JOIN tf d ON d.term = q.term JOIN l ON l.doc_id = d.doc_id CROSS JOIN g WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM f"""
+
+#: The other queries rest on a tokenizer's file, a trained model or XXH64, which SQL has not; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": _license_sql(), "op4_search": _SEARCH_SQL, "op10_warc": _WARC_SQL}
