@@ -28,6 +28,7 @@ class TreeFrame:
     catalog: dict[str, dict[str, T.DataType]] = field(default_factory=dict)
     header: dict = field(default_factory=dict)
     strategy: str = "auto"  # of descendants: closure, interval or auto
+    topology: TreeFrame | None = None  # a frame with the same nodes and parents, whose index holds here, too
 
     @property
     def spark(self) -> SparkSession:
@@ -39,7 +40,9 @@ class TreeFrame:
 
     @cached_property
     def indexed(self) -> DataFrame:
-        """``nodes`` with ``depth, path, n_children, is_leaf, size, tin, tout``; built once."""
+        """``nodes`` with ``depth, path, n_children, is_leaf, size, tin, tout``; built once for a topology."""
+        if self.topology is not None:
+            return self.nodes.join(self.topology.indexed.select(*_index.KEY, *_index.COLUMNS), _index.KEY)
         return _index.build(self.nodes)
 
     @cached_property
@@ -47,8 +50,9 @@ class TreeFrame:
         """``tree_id, anc_id, node_id, dist`` of every node and each node on its path, itself included."""
         return _index.closure(self.indexed)
 
-    def with_nodes(self, nodes: DataFrame, **changes) -> TreeFrame:
-        return replace(self, nodes=nodes, **changes)
+    def with_nodes(self, nodes: DataFrame, same_topology: bool = False, **changes) -> TreeFrame:
+        """A frame of other nodes. With ``same_topology`` only attributes differ, and the index is not built anew."""
+        return replace(self, nodes=nodes, topology=(self.topology or self) if same_topology else None, **changes)
 
     def has(self, symbol: str, attribute: str) -> bool:
         return attribute in self.catalog.get(symbol, {})

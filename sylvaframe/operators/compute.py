@@ -16,7 +16,7 @@ def _replaced(tree, name: str, value: Column, passes: Column, symbols: list[str]
     """``tree`` with ``name`` set to ``value`` where ``passes``; elsewhere it keeps what it was."""
     old = F.col(name) if name in tree.nodes.columns else F.lit(None)
     nodes = tree.nodes.withColumn(name, F.when(passes, value).otherwise(old))
-    return tree.with_nodes(nodes, catalog=tree.catalog_with(name, nodes.schema[name].dataType, symbols))
+    return tree.with_nodes(nodes, True, catalog=tree.catalog_with(name, nodes.schema[name].dataType, symbols))
 
 
 def attribute(tree, name: str, default=None) -> DataFrame:
@@ -90,9 +90,9 @@ def transform(tree, *forms, scale=None, symbol=None, link=None, where=None, igno
                 value = value.withColumnRenamed("start_id", "node_id") if "start_id" in value.columns else value
                 name = next(c for c in value.columns if c not in KEY)
                 nodes = tree.nodes.join(value.select(*KEY, F.col(name).alias("_value")), KEY, "left")
-                tree = tree.with_nodes(nodes)
+                tree = tree.with_nodes(nodes, True)
                 tree = _replaced(tree, form[1], F.col("_value"), passes)
-                tree = tree.with_nodes(tree.nodes.drop("_value"))
+                tree = tree.with_nodes(tree.nodes.drop("_value"), True)
             else:
                 tree = _replaced(tree, form[1], value, passes)
         else:
@@ -131,7 +131,7 @@ def select(tree, *forms, **filters):
             names += [a for a in form(tree).attributes if a not in tree.attributes]
     keep = [a for a in done.attributes if a in names]
     nodes = done.nodes.drop(*[a for a in done.attributes if a not in keep])
-    return done.with_nodes(nodes, catalog={s: {a: k for a, k in c.items() if a in keep} for s, c in done.catalog.items()})
+    return done.with_nodes(nodes, True, catalog={s: {a: k for a, k in c.items() if a in keep} for s, c in done.catalog.items()})
 
 
 def mutate(tree, assignments: dict[str, Column | str], scale=None, symbol=None, link=None, where=None, all: bool = True):
@@ -145,10 +145,10 @@ def mutate(tree, assignments: dict[str, Column | str], scale=None, symbol=None,
     marks = tree.indexed.select(*KEY, "tin", (~filt.column()).alias("_fails"))
     stop = marks.where("_fails").groupBy("tree_id").agg(F.min("tin").alias("_stop"))
     seen = marks.join(stop, "tree_id", "left").select(*KEY, (F.col("_stop").isNull() | (F.col("tin") < F.col("_stop"))).alias("_seen"))
-    out = tree.with_nodes(tree.nodes.join(seen, KEY))
+    out = tree.with_nodes(tree.nodes.join(seen, KEY), True)
     for name, value in assignments.items():
         out = _replaced(out, name, F.expr(value) if isinstance(value, str) else value, F.col("_seen"))
-    return out.with_nodes(out.nodes.drop("_seen"))
+    return out.with_nodes(out.nodes.drop("_seen"), True)
 
 
 def per_tree(tree, fn, schema: str | T.StructType) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import new_child_link, segment_child_link
 from .filters import Filter
-from .index import KEY, closure
+from .index import KEY, closure, sum_before
 from .schema import unify
 
 
@@ -41,7 +41,8 @@ def _ordered(nodes: DataFrame, *key: str) -> DataFrame:
 def _insert(tree, kind: str, template, attributes: dict | None, matched: DataFrame):
     biggest = tree.nodes.groupBy("tree_id").agg(F.max("node_id").alias("_max"))
     post = F.col("tin") - F.col("depth") + F.col("size")
-    new = matched.join(biggest, "tree_id").withColumn("_new", F.col("_max") + F.row_number().over(Window.partitionBy("tree_id").orderBy(post)))
+    ranked = sum_before(matched.withColumn("_post", post), ["tree_id"], "_post", F.lit(1), "_rank").drop("_post")
+    new = ranked.join(biggest, "tree_id").withColumn("_new", F.col("_max") + F.col("_rank") + 1)
     template = template() if callable(template) else template
     attributes = attributes or {}
     if kind == "sibling":

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 KEY = ["tree_id", "node_id"]
+COLUMNS = ["depth", "path", "n_children", "is_leaf", "size", "tin", "tout"]
+#: Places of an order that one window takes at a time.
+WIDTH = 1 << 16
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -38,12 +41,27 @@ def closure(indexed: DataFrame, *columns: str) -> DataFrame:
     return indexed.select("tree_id", "node_id", *columns, "depth", F.posexplode("path").alias("_pos", "anc_id")).select("tree_id", "anc_id", "node_id", (F.col("depth") - F.col("_pos")).cast("int").alias("dist"), *columns)
 
 
+def sum_before(rows: DataFrame, keys: list[str], order: str, value, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same keys that come before by ``order``, a whole number.
+
+    Stretches of ``WIDTH`` places are summed on their own and then follow each other, so that a parent with very many children,
+    or one giant tree, is no single task.
+    """
+    rows = rows.withColumn("_stretch", F.floor(F.col(order) / WIDTH))
+    sums = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
+    start = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch")) - F.col("_sum")
+    starts = sums.select(*keys, "_stretch", start.alias("_start")).where("_stretch > 0")
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy(order, "node_id").rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0).cast("bigint")
+    return rows.withColumn(name, F.coalesce(inside, zero)).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.col(name) + F.coalesce("_start", zero)).drop("_stretch", "_start")
+
+
 def build(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``depth`` (0 at the root), ``path, n_children, is_leaf, size, tin, tout`` (pre-order, from 1)."""
     found = stored(paths(nodes).withColumn("depth", F.size("path") - 1), "paths")
     sizes = closure(found).groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("dist") == 1, 1)).cast("int").alias("n_children"))
     wide = stored(nodes.join(found, KEY).join(sizes, KEY), "sizes")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("tree_id", "parent_id").orderBy("child_ord", "node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = wide.select("tree_id", F.col("node_id").alias("anc_id"), F.when(F.col("parent_id").isNull(), F.lit(1)).otherwise(1 + before).alias("_step"))
+    placed = sum_before(wide.select(*KEY, "parent_id", "child_ord", "size"), ["tree_id", "parent_id"], "child_ord", F.col("size"), "_before")
+    steps = placed.select("tree_id", F.col("node_id").alias("anc_id"), F.when(F.col("parent_id").isNull(), F.lit(1)).otherwise(1 + F.col("_before")).alias("_step"))
     tin = closure(wide).join(steps, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.sum("_step").alias("tin"))
     return stored(wide.join(tin, KEY).withColumns({"is_leaf": F.col("n_children") == 0, "tout": F.col("tin") + F.col("size") - 1}), "index")

@@ -21,7 +21,7 @@ def add_column(tree, symbols, name: str, kind: T.DataType | str, default=None):
     catalog = {**tree.catalog}
     for s in names:
         catalog[s] = {**catalog.get(s, {}), name: kind}
-    return tree.with_nodes(nodes, catalog=catalog)
+    return tree.with_nodes(nodes, True, catalog=catalog)
 
 
 def drop_column(tree, symbols, name: str):
@@ -31,8 +31,8 @@ def drop_column(tree, symbols, name: str):
     if name not in tree.nodes.columns:
         return tree
     if not any(name in c for c in catalog.values()):
-        return tree.with_nodes(tree.nodes.drop(name), catalog=catalog)
-    return tree.with_nodes(tree.nodes.withColumn(name, F.when(~F.col("symbol").isin(names), F.col(name))), catalog=catalog)
+        return tree.with_nodes(tree.nodes.drop(name), True, catalog=catalog)
+    return tree.with_nodes(tree.nodes.withColumn(name, F.when(~F.col("symbol").isin(names), F.col(name))), True, catalog=catalog)
 
 
 def rename_column(tree, symbols, old: str, new: str):
@@ -46,11 +46,11 @@ def rename_column(tree, symbols, old: str, new: str):
     moved = F.col("symbol").isin(names)
     nodes = tree.nodes
     if not any(old in c for c in catalog.values()) and new not in nodes.columns:
-        return tree.with_nodes(nodes.withColumnRenamed(old, new), catalog=catalog)
+        return tree.with_nodes(nodes.withColumnRenamed(old, new), True, catalog=catalog)
     there = F.col(new) if new in nodes.columns else F.lit(None)
     nodes = nodes.withColumn(new, F.when(moved, F.col(old)).otherwise(there))
     nodes = nodes.withColumn(old, F.when(~moved, F.col(old))) if any(old in c for c in catalog.values()) else nodes.drop(old)
-    return tree.with_nodes(nodes, catalog=catalog)
+    return tree.with_nodes(nodes, True, catalog=catalog)
 
 
 def unify(*trees):

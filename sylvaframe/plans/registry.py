@@ -14,8 +14,9 @@ from ..operators import convert as X
 from ..operators import edit as E
 from ..operators import query as Q
 from ..operators import schema as S
-from ..sources.mtg_text import mtg_lines
-from .sample_trees import event_trees, events_sql, sales_sql, sales_tree, small_tree
+from ..sources.mtg_text import mtg_lines, parse_mtg
+from ..storage import stored
+from .sample_trees import conversation_trees, event_trees, events_sql, sales_sql, sales_tree, small_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,7 +65,7 @@ _sales("root_of", "SELECT a.node_id, a.anc_id AS root_id FROM anc a JOIN nodes n
 _sales("get_node", f"SELECT node_id, symbol, cents FROM nodes WHERE node_id = {ORDER_7}")(lambda t: Q.get_node(t, ORDER_7).select("node_id", "symbol", "cents"))
 _sales("is_leaf", "SELECT node_id, is_leaf FROM shape")(Q.is_leaf)
 _sales("is_root", "SELECT node_id, parent_id IS NULL AS is_root FROM nodes")(Q.is_root)
-_sales("get_descendant", "SELECT d.node_id AS start_id, b.node_id FROM nodes d JOIN nodes a ON a.parent_id = d.node_id AND a.child_ord = 1 JOIN nodes b ON b.parent_id = a.node_id AND b.child_ord = 2 WHERE d.symbol = 'Nation'")(lambda t: Q.get_descendant(t, [1, 2], "symbol = 'Nation'"))
+_sales("get_descendant", "SELECT d.node_id AS start_id, b.node_id FROM nodes d JOIN nodes a ON a.parent_id = d.node_id AND a.child_ord = 1 JOIN nodes b ON b.parent_id = a.node_id AND b.child_ord = 2 WHERE d.symbol = 'Customer'")(lambda t: Q.get_descendant(t, [1, 2], "symbol = 'Customer'"))
 
 # --- ancestors ------------------------------------------------------------------------------------------------
 _LINE = "JOIN nodes s ON s.node_id = a.node_id JOIN nodes x ON x.node_id = a.anc_id WHERE s.symbol = 'Lineitem'"
@@ -128,6 +129,10 @@ _sales("branching_order_desc", "SELECT node_id, 1::BIGINT AS branching_order FRO
 _sales("pipe_model", "SELECT node_id, round(v, 6) AS pipe FROM pipe", _LEAFS + ", pipe(node_id, v) AS (SELECT node_id, 1000.0::DOUBLE FROM nodes WHERE parent_id IS NULL UNION ALL SELECT s.node_id, p.v * s.share FROM pipe p JOIN (SELECT node_id, parent_id, (k + 1)::DOUBLE / sum(k + 1) OVER (PARTITION BY parent_id) AS share FROM lc) s ON s.parent_id = p.node_id)")(
     lambda t: A.pipe_model(t, 1000.0).select("node_id", F.round("pipe", 6).alias("pipe"))
 )
+# no value is negative here, so no sibling is taken out of a pool
+_sales("pipe_model_threshold", "SELECT node_id, round(v, 4) AS pipe FROM pipe", _LEAFS + ", girth AS (SELECT node_id, abs(coalesce(cents, 0))::DOUBLE AS g FROM nodes), pipe(node_id, v) AS (SELECT n.node_id, g.g FROM nodes n JOIN girth g USING (node_id) WHERE n.parent_id IS NULL UNION ALL SELECT s.node_id, CASE WHEN s.g > 3000000 THEN s.g ELSE p.v * s.share END FROM pipe p JOIN (SELECT node_id, parent_id, g, (k + 1)::DOUBLE / sum(k + 1) OVER (PARTITION BY parent_id) AS share FROM lc JOIN girth USING (node_id)) s ON s.parent_id = p.node_id)")(
+    lambda t: A.pipe_model_threshold(C.mutate(t, {"girth": "abs(coalesce(cents, 0))"}), "girth", 3000000.0).select("node_id", F.round("pipe", 4).alias("pipe"))
+)
 _sales("get_classes", "SELECT n.symbol AS SYMBOL, n.scale::BIGINT AS SCALE, 'FREE' AS DECOMPOSITION, 'FREE' AS INDEXATION, 'IMPLICIT' AS DEFINITION, min(p.tin) AS first_tin FROM nodes n JOIN pre p USING (node_id) GROUP BY 1, 2")(A.get_classes)
 _sales("get_features", "SELECT * FROM (VALUES ('cents', 'INT'), ('quantity', 'INT'), ('status', 'STRING')) t(NAME, TYPE)")(A.get_features)
 _sales("scales", "SELECT n.scale::BIGINT AS scale, min(p.tin) AS first_tin FROM nodes n JOIN pre p USING (node_id) GROUP BY 1")(A.scales)
@@ -210,6 +215,17 @@ _sales(
 )(lambda t: mtg_lines(t, features=[("cents", "INT"), ("quantity", "INT"), ("status", "STRING")]).where("section = 4 and seq > 0").select("seq", "line"))
 _sales("mtg_write_lead", "SELECT p.tin AS seq, k::BIGINT AS tabs FROM lead JOIN pre p USING (node_id)", _LEADS)(lambda t: mtg_lines(t, features=[]).where("section = 4 and seq > 0").select("seq", (F.length("line") - F.length(F.ltrim(F.col("line"), F.lit("\t")))).cast("bigint").alias("tabs")))
 
+
+
+def _written_and_read(t):
+    lines = mtg_lines(t, features=[("cents", "INT"), ("status", "STRING")])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "seq", "line"))), lambda x: x.line), "\n")
+    files = lines.groupBy(F.col("tree_id").alias("file")).agg(text.alias("text"))
+    return parse_mtg(stored(files, "mtg-files")).nodes.select("node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", "cents", "status")
+
+
+_small("mtg_read", 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, n.cents, n.status FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id')(_written_and_read)
+
 # --- many trees with long chains ------------------------------------------------------------------------------
 _add("events_subtree_sum", events_sql("SELECT a.tree_id, a.anc_id AS start_id, sum(n.cents)::BIGINT AS cents, count(*) AS n FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.node_id WHERE a.dist > 0 GROUP BY 1, 2"), event_trees, False)(
     lambda t: A.subtree_agg(t, cents=F.sum("cents"), n=F.count(F.lit(1)))
@@ -217,3 +233,6 @@ _add("events_subtree_sum", events_sql("SELECT a.tree_id, a.anc_id AS start_id, s
 _add("events_previous_purchases", events_sql("SELECT tree_id, start_id, node_id, dist, cents FROM (SELECT a.tree_id, a.node_id AS start_id, a.anc_id AS node_id, a.dist::BIGINT AS dist, n.cents, row_number() OVER (PARTITION BY a.tree_id, a.node_id ORDER BY a.dist) AS rn FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.anc_id WHERE a.dist > 0 AND n.symbol = 'purchase') WHERE rn <= 3"), event_trees, False)(
     lambda t: Q.ancestors(t, "cents", symbol="purchase", recursivity_level=3).withColumn("dist", F.col("dist").cast("bigint"))
 )
+_add("conversation_paths", "SELECT conv_id::VARCHAR AS tree_id, turn AS start_id, sum(length(coalesce(text, ''))) OVER w::BIGINT AS chars, count(*) FILTER (role = 'user') OVER w AS asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", conversation_trees, False)(
+    lambda t: A.path_agg(t, self=True, chars=F.sum("chars"), asked=F.count(F.when(F.col("symbol") == "user", 1)))
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import TreeFrame, from_nodes
+from ..sources.hierarchy import from_edges
 from ..storage import stored
 
 _TIE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -88,6 +89,14 @@ def event_trees(spark: SparkSession, sf_dir: str) -> TreeFrame:
     return _keep(spark, "events", sf_dir, lambda: from_nodes(users.union(chain), header={}))
 
 
+def conversation_trees(spark: SparkSession, sf_dir: str) -> TreeFrame:
+    """One tree per conversation: first turn < next turn ..."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.select("conv_id", "turn", before.alias("before"), "role", F.lit(1).alias("scale"), F.when(before.isNull(), "/").otherwise("<").alias("link"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"))
+    return _keep(spark, "conversations", sf_dir, lambda: from_edges(rows, "turn", "before", symbol="role", tree="conv_id"))
+
+
 _T = 10**12
 SALES_SQL = f"""
 ord AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),

@@ -105,8 +105,8 @@ def _typed(value: Column, kind: str, name: str) -> tuple[Column, T.DataType]:
     return F.when(value.isNotNull() & out.isNull(), _error(f"{name} can't be {kind}: ", value).cast(t)).otherwise(out), t
 
 
-def read_mtg(spark: SparkSession, paths, tree_names: str = "base") -> TreeFrame:
-    """Read ``.mtg`` files (or tab-separated text by any name; ``.xlsx`` and ``.xlsm`` by their first sheet).
+def read_mtg(spark: SparkSession, paths, tree_names: str = "base", sheet_name: str | None = None) -> TreeFrame:
+    """Read ``.mtg`` files (or tab-separated text by any name; ``.xlsx`` and ``.xlsm`` by their first sheet, or the one named).
 
     ``tree_id`` is the file's name, or its whole path with ``tree_names="path"``.
     """
@@ -114,7 +114,7 @@ def read_mtg(spark: SparkSession, paths, tree_names: str = "base") -> TreeFrame:
     if all(p.lower().endswith((".xlsx", ".xlsm")) for p in paths):
         from .spreadsheet import sheets_as_text
 
-        return parse_mtg(sheets_as_text(spark, paths), tree_names)
+        return parse_mtg(sheets_as_text(spark, paths, sheet_name), tree_names)
     return parse_mtg(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), tree_names)
 
 
