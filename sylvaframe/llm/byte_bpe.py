@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import Codes, contractions, distinct_spans, id_text, stored, text_chunks
 
-BLOCK_BYTES = 8 << 20
-#: The most words whose ids are shared by all tasks (about 30 bytes each, several times that while the driver gathers them).
-FREQUENT = 100_000
+BLOCK_BYTES = 16 << 20
+#: The most words whose ids are shared by all tasks (about 40 bytes each).
+FREQUENT = 1_000_000
 LONG_WORD = 256
 #: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
 BUCKETS = 1 << 16
@@ -188,7 +188,7 @@ def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
                 _, _, words, _, n, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist())
                 for w, k in zip(words(slice(None)), n.tolist()):
                     seen[w] = seen.get(w, 0) + k
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield rows()
                     seen = {}
         yield rows()
@@ -208,15 +208,28 @@ def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
 class Known:
     """Ids of frequent words in flat arrays, found by two 64-bit hashes of the word's code points."""
 
-    def __init__(self, words: list[str], ids: pa.ListArray):
-        codes = Codes(words)
-        stops = codes.ends
-        h, g, one, _ = distinct_spans(codes.points, np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(words) else stops, stops)
-        self.h, self.g = h, g
-        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        first = np.cumsum(size) - size
-        self.flat = ids.flatten().to_numpy().astype("<u4") if len(words) else np.zeros(0, "<u4")
-        self.first, self.size = first[one], size[one]
+    def __init__(self, h: np.ndarray, g: np.ndarray, size: np.ndarray, flat: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.g, self.flat = h[order], g[order], flat
+        self.first, self.size = (np.cumsum(size) - size)[order], size[order]
+
+    @staticmethod
+    def hashed(batches):
+        """Words and their ids as rows of flat arrays, so that what is shared is small and no object for each word."""
+        for batch in batches:
+            words = [w.encode("latin-1").decode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
+            codes = Codes(words)
+            h, g, one, _ = distinct_spans(codes.points, codes.ends - np.fromiter(map(len, words), np.int64, len(words)), codes.ends)
+            ids = batch.column("ids").take(pa.array(one))
+            arrays = (h, g, ids.value_lengths().to_numpy().astype("<i4"), ids.flatten().to_numpy().astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["h", "g", "size", "flat"])
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Known:
+        """Of a bounded table of words (column word, bytes as characters) with their ids."""
+        rows = words.mapInArrow(cls.hashed, "h binary, g binary, size binary, flat binary").toArrow()
+        h, g, size, flat = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", "<u8"), ("g", "<u8"), ("size", "<i4"), ("flat", "<u4")))
+        return cls(h, g, size.astype(np.int64), flat)
 
     def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Places of the words, -1 where unknown."""
@@ -236,9 +249,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     kind = dict(src.dtypes)["doc_id"]
     context = docs.sparkSession.sparkContext
     literal = rank_map(ranks)
-    often = frequent_words(src, frequent).repartition(max(8, context.defaultParallelism), "word").select("word", merged_ids(F.col("word"), literal).alias("ids")).toArrow()  # at most ``frequent`` rows
-    known = Known([w.encode("latin-1").decode("utf-8", "surrogatepass") for w in often["word"].to_pylist()], often["ids"].combine_chunks() if often.num_rows else pa.array([], pa.list_(pa.int32())))
-    del often
+    often = frequent_words(src, frequent).repartition(max(8, context.defaultParallelism), "word")
+    known = Known.of(often.select("word", merged_ids(F.col("word"), literal).alias("ids")))  # at most ``frequent`` words
     shared = context.broadcast((known, ranks))  # bounded by ``frequent`` and the vocabulary
 
     def pack(batches):
