@@ -37,7 +37,6 @@ FREQUENT = 1_000_000
 LONG_WORD = 256
 #: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
 BUCKETS = 1 << 16
-_AT = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -129,32 +128,27 @@ def merged_ids(word: Column, ranks: Column) -> Column:
     def rank(piece):
         return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
 
-    def coded(piece):
-        return F.shiftleft(rank(piece).cast("bigint"), 20)
-
-    def step(parts, _):
-        # r of a part: rank of its pair with the next one, above its place, so that the least is the leftmost of the lowest rank
-        least = F.array_min(F.transform(parts, lambda x, i: x.r + i))
-
+    def step(state, _):
+        # t: parts; r: rank of each part's pair with the next; the leftmost of the lowest rank is merged by whole-array functions
         def merge(p):
-            whole = F.concat(F.get(parts, p).t, F.get(parts, p + 1).t)
-
-            def part(x, i):
-                return (
-                    F.when((i < p - 1) | (i > p), x)
-                    .when(i == p, F.struct(whole.alias("t"), coded(F.concat(whole, F.get(parts, p + 2).t)).alias("r")))
-                    .otherwise(F.struct(x.t.alias("t"), coded(F.concat(x.t, whole)).alias("r")))
+            def with_whole(whole):
+                before = F.when(p > 1, F.concat(F.slice(state.r, F.lit(1), p - 2), F.array(rank(F.concat(F.get(state.t, p - 2), whole))))).otherwise(F.array().cast("array<int>"))
+                after = F.slice(state.r, p + 2, F.size(state.r))
+                return F.struct(
+                    F.concat(F.slice(state.t, F.lit(1), p - 1), F.array(whole), F.slice(state.t, p + 2, F.size(state.t))).alias("t"),
+                    F.concat(before, F.array(rank(F.concat(whole, F.get(state.t, p + 1)))), after).alias("r"),
                 )
 
-            return _let(p + 1, lambda gone: F.transform(F.filter(parts, lambda x, i: i != gone), part))
+            return _let(F.concat(F.get(state.t, p - 1), F.get(state.t, p)), with_whole)
 
-        return _let(F.pmod(least, F.lit(_AT)).cast("int"), lambda p: F.when(p.isNull(), parts).otherwise(merge(p)))
+        return _let(F.array_position(state.r, F.array_min(state.r)).cast("int"), lambda p: F.when(p.isNull(), state).otherwise(merge(p)))
 
-    single = F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.struct(F.substring(word, i, F.lit(1)).alias("t"), F.when(i < F.length(word), coded(F.substring(word, i, F.lit(2)))).alias("r")),
+    places = F.sequence(F.lit(1), F.length(word))
+    single = F.struct(
+        F.transform(places, lambda i: F.substring(word, i, F.lit(1))).alias("t"),
+        F.transform(places, lambda i: F.when(i < F.length(word), rank(F.substring(word, i, F.lit(2))))).alias("r"),
     )
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), single, step, lambda parts: F.transform(parts, lambda x: rank(x.t)))
+    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), single, step, lambda state: F.transform(state.t, rank))
     return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) <= LONG_WORD, folded))
 
 
