@@ -168,14 +168,13 @@ def _chunk_words(texts: list[str]):
 
 def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
     """``word`` (bytes as characters) of the words with the highest counts in the column ``text``, at most ``most`` and
-    none that occur once. Counts under two in a task are left out: they cannot matter for words that recur."""
+    none that occur once."""
 
     def count(batches):
         seen: dict[str, int] = {}
 
         def rows():
-            often = [w for w, n in seen.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([_latin(w) for w in often], pa.string()), pa.array([seen[w] for w in often], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(map(_latin, seen)), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for a, b in text_chunks(batch.column(0)):
@@ -187,7 +186,7 @@ def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
                     seen = {}
         yield rows()
 
-    counted = stored(src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counted = stored(src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
     # the least count that keeps the number of words in bounds, found on the counts of counts
     level = F.floor(F.log2("n") * 8).cast("int")
     held, least = 0, None
