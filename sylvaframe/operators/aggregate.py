@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .filters import Filter
-from .index import KEY, closure
+from .index import KEY, closure, path_sums
 
 
 def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: Column) -> DataFrame:
@@ -72,12 +72,11 @@ def branching_order(tree, ascend: bool = True) -> DataFrame:
     largest of the children, one more at an inner node whose own link is "+")."""
     rows = tree.indexed
     if ascend:
-        plus = rows.select("tree_id", F.col("node_id").alias("anc_id"), F.when((F.col("link") == "+") & F.col("parent_id").isNotNull(), 1).otherwise(0).alias("_p"))
-        return closure(rows).join(plus, ["tree_id", "anc_id"]).groupBy(*KEY).agg((1 + F.sum("_p")).cast("int").alias("branching_order"))
+        plus = F.when((F.col("link") == "+") & F.col("parent_id").isNotNull(), 1).otherwise(0)
+        return path_sums(rows, plus, "_n").select(*KEY, (1 + F.col("_n")).cast("int").alias("branching_order"))
     # P: inner nodes linked by "+" on the path; a leaf's parent has the largest P above it, and only inner nodes count
-    inner = rows.select("tree_id", F.col("node_id").alias("anc_id"), F.when((F.col("link") == "+") & ~F.col("is_leaf"), 1).otherwise(0).alias("_p"))
-    p = closure(rows).join(inner, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.sum("_p").alias("_P"), F.sum(F.when(F.col("dist") == 0, F.col("_p"))).alias("_own"))
-    marked = rows.join(p, KEY)
+    inner = F.when((F.col("link") == "+") & ~F.col("is_leaf"), 1).otherwise(0)
+    marked = rows.withColumn("_own", inner).join(path_sums(rows, inner, "_P"), KEY)
     most = closure(marked.where("is_leaf"), "_P").groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(F.max("_P").alias("_most"))
     # a leaf adds nothing itself, so its P is that of its parent
     return marked.join(most, KEY).select(*KEY, F.when(F.col("is_leaf"), 1).otherwise(1 + F.col("_most") - F.col("_P") + F.col("_own")).cast("int").alias("branching_order"))
@@ -88,8 +87,8 @@ def pipe_model(tree, root_value: float) -> DataFrame:
     rows = tree.indexed.select(*KEY, "parent_id", "child_ord", "depth", "path").join(nleaves(tree), KEY)
     share = F.when(F.col("parent_id").isNull(), F.lit(1.0)).otherwise(F.col("nleaves") / F.sum("nleaves").over(Window.partitionBy("tree_id", "parent_id")))
     shares = rows.select("tree_id", F.col("node_id").alias("anc_id"), share.alias("_share"))
-    along = closure(rows).join(shares, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("o"), "_share"))).alias("_path"))
-    return along.select(*KEY, F.aggregate("_path", F.lit(float(root_value)), lambda a, x: a * x["_share"]).alias("pipe"))
+    along = closure(rows).join(shares, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.product("_share").alias("_part"))
+    return along.select(*KEY, (F.lit(float(root_value)) * F.col("_part")).alias("pipe"))
 
 
 def pipe_model_threshold(tree, variable: str, threshold: float, allow_missing: bool = False) -> DataFrame:

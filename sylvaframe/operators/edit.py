@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import new_child_link, segment_child_link
 from .filters import Filter
-from .index import KEY, closure, sum_before
+from .index import KEY, closure, path_sums, sum_before
 from .schema import unify
 
 
@@ -125,8 +125,8 @@ def _delete(tree, gone: DataFrame, child_link) -> object:
     parent = flags.select("tree_id", F.col("anc_id").alias("parent_id"), F.col("_ad").alias("_pd"))
     kept = rows.where("not _d").join(parent, ["tree_id", "parent_id"], "left").withColumn("_moves", F.coalesce("_pd", F.lit(False)))
     # a deleted root must have one child, which becomes the root, and so on; a tree of deleted roots only is an error, too
-    whole = closure(rows, "_d", "n_children").join(flags.select("tree_id", "anc_id", "_ad"), ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.min("_ad").alias("_all"), F.max("n_children").alias("_n"))
-    bad = whole.where("_all and _n <> 1").select("tree_id").distinct().withColumn("_bad", F.lit(True))
+    gone_above = path_sums(rows, F.col("_d").cast("int"), "_gone")
+    bad = rows.where("_d and n_children <> 1").join(gone_above, KEY).where("_gone = depth + 1").select("tree_id").distinct().withColumn("_bad", F.lit(True))
 
     chain = closure(kept.where("_moves")).where("dist > 0").join(flags, ["tree_id", "anc_id"]).groupBy(*KEY)
     chain = chain.agg(F.array_sort(F.collect_list(F.struct("dist", F.col("anc_id").alias("id"), F.col("_ad").alias("d"), F.col("_al").alias("l"), F.col("_ao").alias("o")))).alias("_up"))

@@ -56,6 +56,19 @@ def sum_before(rows: DataFrame, keys: list[str], order: str, value, name: str) -
     return rows.withColumn(name, F.coalesce(inside, zero)).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.col(name) + F.coalesce("_start", zero)).drop("_stretch", "_start")
 
 
+def path_sums(indexed: DataFrame, value, name: str) -> DataFrame:
+    """``tree_id, node_id`` and the sum of ``value``, a whole number, over the node's path, itself included.
+
+    In pre-order every node opens with its value and closes with the opposite behind its subtree; what is open before a node
+    is the sum of its ancestors. That takes two rows for each node, where the closure has one for each node and ancestor.
+    """
+    rows = indexed.select(*KEY, "tin", "tout", value.cast("bigint").alias("_value"))
+    opens = rows.select(*KEY, (F.col("tin") * 2).alias("_at"), "_value")
+    closes = rows.where("_value <> 0").select(*KEY, (F.col("tout") * 2 + 1).alias("_at"), (-F.col("_value")).alias("_value"))
+    summed = sum_before(opens.union(closes), ["tree_id"], "_at", F.col("_value"), "_open")
+    return summed.where("_at % 2 = 0").select(*KEY, (F.col("_open") + F.col("_value")).alias(name))
+
+
 def build(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``depth`` (0 at the root), ``path, n_children, is_leaf, size, tin, tout`` (pre-order, from 1)."""
     found = stored(paths(nodes).withColumn("depth", F.size("path") - 1), "paths")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import Filter
-from .index import KEY, closure
+from .index import KEY, closure, path_sums
 
 
 def _siblings():
@@ -84,9 +84,8 @@ def _keys(key) -> list[str]:
 
 def _failures(tree, passes: Column) -> DataFrame:
     """``fails`` (does the node itself fail) and ``fail_cum`` (failing nodes on its path, itself included)."""
-    flags = tree.indexed.select("tree_id", F.col("node_id").alias("anc_id"), F.when(passes, 0).otherwise(1).alias("_f"))
-    cum = closure(tree.indexed).join(flags, ["tree_id", "anc_id"]).groupBy(*KEY)
-    return cum.agg(F.sum("_f").alias("fail_cum"), F.sum(F.when(F.col("dist") == 0, F.col("_f"))).alias("fails"))
+    flag = F.when(passes, 0).otherwise(1)
+    return tree.indexed.select(*KEY, flag.alias("fails")).join(path_sums(tree.indexed, flag, "fail_cum"), KEY)
 
 
 def _starts(start) -> Column | None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import NO_INDEX, TreeFrame
-from ..operators.index import closure
+from ..operators.index import path_sums
 from ..operators.schema import widened
 
 #: Section names, table headers and column types of the format (fixed values).
@@ -214,8 +214,7 @@ def mtg_lines(tree, classes: DataFrame | None = None, features: list[tuple[str,
     rows = tree.indexed
     last = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy(F.desc("child_ord"))) == 1
     marked = rows.withColumn("_last", F.col("parent_id").isNull() | last)
-    side = marked.select("tree_id", F.col("node_id").alias("anc_id"), F.when(F.col("_last"), 0).otherwise(1).alias("_s"))
-    lead = closure(rows).join(side, ["tree_id", "anc_id"]).groupBy("tree_id", "node_id").agg(F.sum("_s").cast("int").alias("lead"))
+    lead = path_sums(marked, F.when(F.col("_last"), 0).otherwise(1), "lead").withColumn("lead", F.col("lead").cast("int"))
     body = marked.join(lead, ["tree_id", "node_id"]).join(lead.groupBy("tree_id").agg(F.max("lead").alias("most")), "tree_id")
     code = F.concat("link", F.when(F.col("symbol") == "$", "Scene").otherwise(F.col("symbol")), F.when(F.col("index") == NO_INDEX, "").otherwise(F.col("index").cast("string")))
     place = F.concat(F.repeat(F.lit("\t"), F.col("lead")), F.when(F.col("_last") & F.col("parent_id").isNotNull(), "^").otherwise(""), code, F.repeat(F.lit("\t"), F.col("most") - F.col("lead")))
