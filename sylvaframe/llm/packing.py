@@ -32,6 +32,8 @@ from .common import Codes, arrow_rows, contractions, distinct_spans, id_text, st
 
 CAPACITY = 2048
 CLOSING_ID = 0
+#: What ends the last piece of a word (fixed value).
+WORD_END = "</w>"
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked together.
@@ -79,6 +81,9 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.normalizer = normalizers.Sequence([])
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self):
@@ -87,14 +92,19 @@ class WordIds:
         self.used = 0
 
     def learn(self, words: list[str]):
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        n, total = len(self.known), int(size.sum())
+        # all words as one text that is split already: an id of a word's end closes each
+        ids = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closing[ids])
+        if len(ends) != len(words) or len(ids) and not self.closing[ids[-1]]:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids, ends = np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum(list(map(len, lists))) - 1
+        size = np.diff(ends, prepend=-1)
+        n, total = len(self.known), len(ids)
         while n + len(words) > len(self.first):
             self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.size[n : n + len(words)] = size
         self.first[n : n + len(words)] = self.used + np.cumsum(size) - size
         self.used += total
