@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Codes, contractions, distinct_spans, id_text, stored, text_chunks
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: The most words whose ids are shared by all tasks (about 40 bytes each).
 FREQUENT = 1_000_000
 LONG_WORD = 256
@@ -181,7 +181,7 @@ def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
                 _, _, words, _, n, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist())
                 for w, k in zip(words(slice(None)), n.tolist()):
                     seen[w] = seen.get(w, 0) + k
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield rows()
                     seen = {}
         yield rows()
@@ -244,10 +244,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     literal = rank_map(ranks)
     often = frequent_words(src, frequent).repartition(max(8, context.defaultParallelism), "word")
     known = Known.of(often.select("word", merged_ids(F.col("word"), literal).alias("ids")))  # at most ``frequent`` words
-    shared = context.broadcast((known, ranks))  # bounded by ``frequent`` and the vocabulary
+    shared, shared_ranks = context.broadcast(known), context.broadcast(ranks)  # bounded by ``frequent`` and the vocabulary
 
     def pack(batches):
-        known = shared.value[0]
+        known = shared.value
         ids, counts, chunks, held = [], [], [], 0
 
         def block():
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     words = one.column("words").flatten()
                     full = pieces.to_pylist()
                     for i in np.flatnonzero(pieces.is_null().to_numpy(zero_copy_only=False)):
-                        full[i] = merge_long(words[int(i)].as_py().encode("latin-1"), shared.value[1])
+                        full[i] = merge_long(words[int(i)].as_py().encode("latin-1"), shared_ranks.value)
                     pieces = pa.array(full, pa.list_(pa.int32()))
                 size = np.concatenate([np.frombuffer(one.column("known_sizes")[0].as_py(), "<i4"), pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False)]).astype(np.int64)
                 first = np.cumsum(size) - size

@@ -104,7 +104,7 @@ def _prime_powers(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if prime not in _powers or len(_powers[prime][0]) < n:
         pair = []
         for base in (prime, pow(prime, -1, 1 << 64)):
-            steps = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+            steps = np.full(max(n, CHUNK_BYTES + 64), base, np.uint64)
             steps[0] = 1
             pair.append(np.multiply.accumulate(steps))
         _powers[prime] = (pair[0], pair[1])
