@@ -33,7 +33,7 @@ from .common import Codes, contractions, distinct_spans, id_text, stored, text_c
 
 BLOCK_BYTES = 8 << 20
 #: The most words whose ids are shared by all tasks (about 40 bytes each).
-FREQUENT = 1_000_000
+FREQUENT = 300_000
 LONG_WORD = 256
 #: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
 BUCKETS = 1 << 16
