@@ -48,7 +48,13 @@ def _sales(name: str, body: str, more: str = ""):
 
 
 def _small(name: str, body: str, more: str = ""):
-    return _add(name, sales_sql(body, small=True, more=more), small_tree)
+    """The query on the tree without line items, and as ``NAME_whole`` on the whole tree."""
+
+    def register(fn):
+        _sales(name + "_whole", body, more)(fn)
+        return _add(name, sales_sql(body, small=True, more=more), small_tree)(fn)
+
+    return register
 
 
 # --- navigation -----------------------------------------------------------------------------------------------
@@ -217,14 +223,16 @@ _sales("mtg_write_lead", "SELECT p.tin AS seq, k::BIGINT AS tabs FROM lead JOIN
 
 
 
-def _written_and_read(t):
-    lines = mtg_lines(t, features=[("cents", "INT"), ("status", "STRING")])
+def _written_and_read(t, *attributes):
+    lines = mtg_lines(t, features=[(n, "STRING" if n == "status" else "INT") for n in attributes])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "seq", "line"))), lambda x: x.line), "\n")
     files = lines.groupBy(F.col("tree_id").alias("file")).agg(text.alias("text"))
-    return parse_mtg(stored(files, "mtg-files")).nodes.select("node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", "cents", "status")
+    return parse_mtg(stored(files, "mtg-files")).nodes.select("node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", *attributes)
 
 
-_small("mtg_read", 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, n.cents, n.status FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id')(_written_and_read)
+_READ = 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, {} FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id'
+_add("mtg_read", sales_sql(_READ.format("n.cents, n.status"), small=True), small_tree)(lambda t: _written_and_read(t, "cents", "status"))
+_sales("mtg_read_whole", _READ.format("n.cents, n.quantity, n.status"))(lambda t: _written_and_read(t, "cents", "quantity", "status"))
 
 # --- many trees with long chains ------------------------------------------------------------------------------
 _add("events_subtree_sum", events_sql("SELECT a.tree_id, a.anc_id AS start_id, sum(n.cents)::BIGINT AS cents, count(*) AS n FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.node_id WHERE a.dist > 0 GROUP BY 1, 2"), event_trees, False)(

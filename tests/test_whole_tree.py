@@ -1,0 +1,26 @@
+"""The edits over the whole sales tree, line items included, against their SQL."""
+
+import duckdb
+import pytest
+from conftest import TESTDATA
+
+from sylvaframe.plans.registry import ORACLE_SQL, QUERIES
+
+SF = f"{TESTDATA}/sf0.001"
+NAMES = [n + "_whole" for n in ("insert_parents", "insert_children", "insert_siblings", "insert_generations", "insert_child_attributes", "is_segment", "delete_segments", "attach_subtree", "move_subtree", "mtg_read")]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_whole_tree(spark, name):
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = QUERIES[name](spark, SF)
+    rows = db.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    key = lambda r: repr(r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(rows, key=key)
+    if name != "insert_child_attributes_whole":
+        lines = db.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+        assert len(rows) > lines
+    if name == "mtg_read_whole":
+        assert sum(r[got.columns.index("quantity")] is not None for r in rows) == lines
