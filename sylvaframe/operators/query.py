@@ -57,6 +57,19 @@ def siblings(tree) -> DataFrame:
     return n.join(other, ["tree_id", "parent_id"]).where("node_id <> sibling_id").select(*KEY, "sibling_id", "child_ord")
 
 
+def sibling_totals(tree, **columns: str) -> DataFrame:
+    """``n``, how many siblings a node has, and by name the sum of a column of whole numbers over them, of every node that has any.
+
+    The parent's totals minus the node's own values, so a parent of n children gives n rows, where ``siblings`` has n^2.
+    A sum is null where no sibling has a value.
+    """
+    own = tree.nodes.where("parent_id is not null").select(*KEY, "parent_id", *[F.col(c).cast("bigint").alias(f"_own_{k}") for k, c in columns.items()])
+    sums = [a for k in columns for a in (F.sum(f"_own_{k}").alias(f"_sum_{k}"), F.count(f"_own_{k}").alias(f"_has_{k}"))]
+    total = own.groupBy("tree_id", "parent_id").agg(F.count(F.lit(1)).alias("_many"), *sums).where("_many > 1")
+    rest = [F.when(F.col(f"_has_{k}") > F.col(f"_own_{k}").isNotNull().cast("int"), F.col(f"_sum_{k}") - F.coalesce(f"_own_{k}", F.lit(0))).alias(k) for k in columns]
+    return own.join(total, ["tree_id", "parent_id"]).select(*KEY, (F.col("_many") - 1).alias("n"), *rest)
+
+
 def next_sibling(tree) -> DataFrame:
     return tree.nodes.select(*KEY, _root(F.lead("node_id").over(_siblings())).alias("sibling_id"))
 

@@ -63,8 +63,9 @@ _sales("children_count", "SELECT parent_id AS node_id, count(*) AS n FROM nodes
 _sales("second_child", "SELECT parent_id AS node_id, child_ord, node_id AS child_id FROM nodes WHERE parent_id IS NOT NULL AND child_ord = 2")(lambda t: Q.children(t, 2))
 _sales("last_child", "SELECT parent_id AS node_id, arg_max(node_id, child_ord) AS child_id FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")(Q.last_child)
 _sales("siblings", "SELECT n.node_id, count(*) AS n, sum(m.node_id)::BIGINT AS total FROM nodes n JOIN nodes m ON m.parent_id = n.parent_id AND m.node_id <> n.node_id WHERE n.symbol IN ('Lineitem', 'Order', 'Nation') GROUP BY 1")(
-    lambda t: Q.siblings(t).join(t.nodes.where("symbol in ('Lineitem', 'Order', 'Nation')").select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.sum("sibling_id").alias("total"))
+    lambda t: Q.sibling_totals(t, total="node_id").join(t.nodes.where("symbol in ('Lineitem', 'Order', 'Nation')").select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
 )
+_sales("siblings_all", "SELECT * FROM (SELECT node_id, count(*) OVER w - 1 AS n, (sum(node_id) OVER w - node_id)::BIGINT AS total, (sum(cents) OVER w - coalesce(cents, 0))::BIGINT AS cents FROM nodes WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id)) WHERE n > 0")(lambda t: Q.sibling_totals(t, total="node_id", cents="cents"))
 for _n, _f, _s in (("next_sibling", Q.next_sibling, "lead(node_id) OVER (PARTITION BY parent_id ORDER BY child_ord)"), ("previous_sibling", Q.previous_sibling, "lag(node_id) OVER (PARTITION BY parent_id ORDER BY child_ord)"), ("last_sibling", Q.last_sibling, "arg_max(node_id, child_ord) OVER (PARTITION BY parent_id)")):
     _sales(_n, f"SELECT node_id, CASE WHEN parent_id IS NOT NULL THEN {_s} END AS sibling_id FROM nodes")(_f)
 _sales("root_of", "SELECT a.node_id, a.anc_id AS root_id FROM anc a JOIN nodes n ON n.node_id = a.anc_id WHERE n.parent_id IS NULL")(Q.root_of)
