@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored
 from .filters import Filter
-from .index import KEY, closure, path_sums
+from .index import KEY, closure, path_sums, sum_before
 
 
 def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: Column) -> DataFrame:
@@ -67,6 +68,13 @@ def nleaves_siblings(tree) -> DataFrame:
     return out.withColumn("sum_siblings", F.aggregate("siblings_nleaves", F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
+def sum_siblings(tree) -> DataFrame:
+    """``sum_siblings``: the sum of the leaf counts of the siblings, without their list: the parent's total minus the own count."""
+    rows = tree.nodes.select(*KEY, "parent_id").join(nleaves(tree), KEY)
+    total = rows.where("parent_id is not null").groupBy("tree_id", "parent_id").agg(F.sum("nleaves").alias("_total"))
+    return rows.join(total, ["tree_id", "parent_id"], "left").select(*KEY, F.coalesce(F.col("_total") - F.col("nleaves"), F.lit(0)).cast("bigint").alias("sum_siblings"))
+
+
 def branching_order(tree, ascend: bool = True) -> DataFrame:
     """``branching_order``: from the root (1, one more behind every "+"), or from the leaves (1, the
     largest of the children, one more at an inner node whose own link is "+")."""
@@ -101,22 +109,31 @@ def pipe_model_threshold(tree, variable: str, threshold: float, allow_missing: b
     v = F.col(variable).cast("double")
     if not allow_missing:
         v = F.when(v.isNull(), F.raise_error(F.concat(F.lit(f"{variable} has no value in node "), F.col("node_id").cast("string"))).cast("double")).otherwise(v)
-    rows = tree.indexed.select(*KEY, "parent_id", "child_ord", v.alias("_v")).join(nleaves(tree), KEY)
-    kin = F.array_sort(F.collect_list(F.struct("child_ord", "node_id", F.col("_v").alias("v"), F.col("nleaves").alias("n"))).over(Window.partitionBy("tree_id", "parent_id")))
-    local = rows.withColumn("_kin", kin).select("tree_id", F.col("node_id").alias("anc_id"), F.col("parent_id").isNull().alias("root"), "_v", F.col("nleaves").alias("n"), F.filter("_kin", lambda x: x.node_id != F.col("node_id")).alias("kin"))
-    along = closure(tree.indexed).join(local, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("o"), "root", F.col("_v").alias("v"), "n", "kin"))).alias("_path"))
+    kin = ["tree_id", "parent_id"]
+    rows = tree.indexed.select(*KEY, "parent_id", "child_ord", v.alias("_v"), F.coalesce(v, F.lit(0.0)).alias("_val"))
+    rows = stored(rows.join(nleaves(tree).withColumnRenamed("nleaves", "_n"), KEY), "measured")
+    sums = rows.where("parent_id is not null").groupBy(*kin).agg(F.count(F.lit(1)).alias("_many"), F.sum("_n").alias("_all"), F.max("child_ord").alias("_last"), F.min("_val").alias("_least"))
+    rows = rows.join(sums, kin, "left")
+    # where no value is negative no sum is below one of its terms; elsewhere a sum without the node is what comes before and after it
+    mixed = rows.where("_least < 0").select(*KEY, "parent_id", "child_ord", (F.col("_last") - F.col("child_ord")).alias("_back"), "_val", "_n")
+    mixed = sum_before(sum_before(mixed, kin, "child_ord", F.col("_val"), "_before"), kin, "_back", F.col("_val"), "_after")
+    mixed = stored(mixed.withColumn("_total", F.col("_before") + F.col("_after")), "sibling-sums")
+    lowest = mixed.groupBy(*kin).agg(F.min("_total").alias("_lowest"))
+    takable = mixed.join(lowest, kin).where((F.col("_val") > threshold) & (F.col("_val") > F.col("_lowest")))
+    takable = takable.groupBy(*kin).agg(F.array_sort(F.collect_list(F.struct("child_ord", "node_id", F.col("_val").alias("v"), F.col("_n").alias("n")))).alias("_kin"))
+    local = rows.join(mixed.select(*KEY, "_total"), KEY, "left").join(takable, kin, "left").select("tree_id", F.col("node_id").alias("anc_id"), "parent_id", "_v", "_n", "_many", "_all", "_total", "_kin")
+    facts = F.struct((-F.col("dist")).alias("o"), F.col("anc_id").alias("id"), F.col("parent_id").isNull().alias("root"), F.col("_v").alias("v"), F.col("_n").alias("n"), (F.col("_all") - F.col("_n")).alias("others"), (F.col("_many") == 1).alias("alone"), F.col("_total").alias("total"), F.col("_kin").alias("kin"))
+    along = closure(tree.indexed).join(local, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(facts)).alias("_path"))
 
     def step(pool, x):
-        total = F.aggregate(x.kin, F.lit(0.0), lambda a, s: a + F.coalesce(s.v, F.lit(0.0)))
-
         def take(state, s):
-            val = F.coalesce(s.v, F.lit(0.0))
-            out = (val > threshold) & (state.pool > val) & (total < val)
-            return F.struct(F.when(out, state.pool - val).otherwise(state.pool).alias("pool"), F.when(out, state.others).otherwise(state.others + s.n).alias("others"))
+            out = (s.node_id != x.id) & (state.pool > s.v) & (x.total < s.v)
+            return F.struct(F.when(out, state.pool - s.v).otherwise(state.pool).alias("pool"), F.when(out, state.others - s.n).otherwise(state.others).alias("others"))
 
-        start = F.struct(pool.alias("pool"), F.lit(0).cast("bigint").alias("others"))
-        shared = F.aggregate(x.kin, start, take, lambda s: s.pool * (x.n / (s.others + x.n)))
-        return F.when(x.root | F.coalesce(x.v > threshold, F.lit(False)), x.v).when(F.size(x.kin) == 0, pool).otherwise(shared)
+        start = F.struct(pool.alias("pool"), x.others.alias("others"))
+        taken = F.aggregate(x.kin, start, take, lambda s: s.pool * (x.n / (s.others + x.n)))
+        shared = F.when(x.kin.isNull(), pool * (x.n / (x.others + x.n))).otherwise(taken)
+        return F.when(x.root | F.coalesce(x.v > threshold, F.lit(False)), x.v).when(x.alone, pool).otherwise(shared)
 
     return along.select(*KEY, F.aggregate("_path", F.lit(None).cast("double"), step).alias("pipe"))
 

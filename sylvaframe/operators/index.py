@@ -42,14 +42,14 @@ def closure(indexed: DataFrame, *columns: str) -> DataFrame:
 
 
 def sum_before(rows: DataFrame, keys: list[str], order: str, value, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the rows of the same keys that come before by ``order``, a whole number.
+    """``rows`` with the sum of ``value`` over the rows of the same keys that come before by ``order``, whole numbers of 0 or more.
 
     Stretches of ``WIDTH`` places are summed on their own and then follow each other, so that a parent with very many children,
     or one giant tree, is no single task.
     """
     rows = rows.withColumn("_stretch", F.floor(F.col(order) / WIDTH))
     sums = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
-    start = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch")) - F.col("_sum")
+    start = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(*keys, "_stretch", start.alias("_start")).where("_stretch > 0")
     inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy(order, "node_id").rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0).cast("bigint")

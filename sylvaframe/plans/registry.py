@@ -130,7 +130,7 @@ _sales("subtree_size", "SELECT node_id, size AS n_nodes FROM sizes")(A.subtree_s
 _LEAFS = "lc AS (SELECT n.node_id, n.parent_id, n.child_ord, (SELECT 0) + coalesce(c.k, 0) AS k FROM nodes n LEFT JOIN (SELECT a.anc_id AS node_id, count(*) AS k FROM anc a JOIN shape s ON s.node_id = a.node_id WHERE a.dist > 0 AND s.is_leaf GROUP BY 1) c USING (node_id))"
 _sales("leaf_count", "SELECT node_id, k::BIGINT AS n_leaves FROM lc", _LEAFS)(A.leaf_count)
 _sales("nleaves", "SELECT node_id, (k + 1)::BIGINT AS nleaves FROM lc", _LEAFS)(A.nleaves)
-_sales("nleaves_siblings", "SELECT node_id, (CASE WHEN parent_id IS NULL THEN 0 ELSE sum(k + 1) OVER (PARTITION BY parent_id) - k - 1 END)::BIGINT AS sum_siblings FROM lc", _LEAFS)(lambda t: A.nleaves_siblings(t).select("node_id", "sum_siblings"))
+_sales("nleaves_siblings", "SELECT node_id, (CASE WHEN parent_id IS NULL THEN 0 ELSE sum(k + 1) OVER (PARTITION BY parent_id) - k - 1 END)::BIGINT AS sum_siblings FROM lc", _LEAFS)(A.sum_siblings)
 _sales("branching_order_asc", "SELECT a.node_id, (1 + sum(CASE WHEN x.link = '+' AND x.parent_id IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS branching_order FROM anc a JOIN nodes x ON x.node_id = a.anc_id GROUP BY 1")(A.branching_order)
 _sales("branching_order_desc", "SELECT node_id, 1::BIGINT AS branching_order FROM nodes")(lambda t: A.branching_order(t, False))
 _sales("pipe_model", "SELECT node_id, round(v, 6) AS pipe FROM pipe", _LEAFS + ", pipe(node_id, v) AS (SELECT node_id, 1000.0::DOUBLE FROM nodes WHERE parent_id IS NULL UNION ALL SELECT s.node_id, p.v * s.share FROM pipe p JOIN (SELECT node_id, parent_id, (k + 1)::DOUBLE / sum(k + 1) OVER (PARTITION BY parent_id) AS share FROM lc) s ON s.parent_id = p.node_id)")(
