@@ -16,10 +16,12 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled documents: of the labelled ids that ``train`` keeps, those with the
-    least hash. Ids labelled twice with different values, and null ids or labels, are left out."""
+    """At most ``max_rows`` labelled documents: of the labelled ids among ``docs`` that ``train`` keeps, those with
+    the least hash. Ids labelled twice with different values, and null ids or labels, are left out."""
+    at_hand = docs.select("doc_id").where("doc_id is not null").distinct()
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
+        .join(at_hand, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min(label).alias("label"), F.max(label).alias("_other"))
         .where(F.col("label") == F.col("_other"))
