@@ -89,8 +89,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    read = warc.parsed(warc.read_records(spark, path))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    read = warc.facts(warc.read_records(spark, path).select("page_id", "record"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", F.nullif("refers_to", F.lit("")).cast("bigint").alias("refers_to"))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_search, op5_fingerprints, op6_packing, op7_token_counts, op8_quality, op9_simhash, op10_warc)}

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEAST_BYTES = 100
 CRLF = "\r\n"
 #: Time stamp of the records: fixed, so that equal pages make equal archives.
@@ -116,6 +118,42 @@ def parsed(records: DataFrame) -> DataFrame:
     )
 
 
+def facts(records: DataFrame) -> DataFrame:
+    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``, out of the bytes of ``record`` alone.
+
+    A record is split into header and block by its Content-Length; a revisit has the length and digest of the block of the
+    response that it refers to. A record of another length, or whose payload hasn't the digest in its header, raises an error.
+    """
+    end = CRLF * 2
+    text = F.decode("record", "ISO-8859-1")  # one character a byte
+    cut = records.select("page_id", "record", (F.locate(end, text) + 3).alias("_cut"))
+    cut = cut.select("page_id", "record", "_cut", F.decode(F.substring("record", F.lit(1), F.col("_cut")), "UTF-8").alias("_head"))
+
+    def field(name):
+        return F.regexp_extract("_head", f"\\r\\n{name}: ([^\\r\\n]*)\\r\\n", 1)
+
+    size = field("Content-Length").cast("bigint")
+    whole = F.octet_length("record") == F.col("_cut") + size + len(end)
+    block = F.when(whole, F.substring("record", F.col("_cut") + 1, size.cast("int"))).otherwise(F.raise_error(F.lit("a record has not the length in its header")))
+    read = stored(
+        cut.select(
+            "page_id",
+            size.alias("_size"),
+            F.sha2(block, 256).alias("_own"),
+            field("WARC-Type").alias("record_type"),
+            F.regexp_extract(field("WARC-Record-ID"), "^<urn:page:(.*)>$", 1).alias("_id"),
+            F.regexp_extract(field("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("_told"),
+            F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(.*)>$", 1).alias("refers_to"),
+        ),
+        "warc-facts",
+    )
+    revisit = F.col("record_type") == "revisit"
+    named = read.where(~revisit).groupBy(F.col("_id").alias("refers_to"), F.col("_own").alias("_told")).agg(F.max("_size").alias("_bytes")).withColumn("_digest", F.col("_told"))
+    digest, length = F.when(revisit, F.col("_digest")).otherwise(F.col("_own")), F.when(revisit, F.col("_bytes")).otherwise(F.col("_size"))
+    told = F.when(digest == F.col("_told"), digest).otherwise(F.raise_error(F.lit("a record has not the payload that its header names")))
+    return read.join(named, ["refers_to", "_told"], "left").select("page_id", length.alias("payload_bytes"), told.alias("payload_digest"), "record_type", "refers_to")
+
+
 def write_warc_files(records: DataFrame, path: str) -> None:
     """The records as plain ``.warc`` text files, for payloads that are UTF-8: each ends with the two line
     breaks that end a WARC record."""
