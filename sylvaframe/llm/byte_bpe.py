@@ -1,17 +1,17 @@
 """Byte-level BPE: ranked merges folded over the distinct words of a block of documents.
 
-A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a
-block row holds its distinct words once (as byte strings) and each document as word numbers. Spark's
-higher-order functions fold the merges over every distinct word, looking ranks up in a literal
-rank map, and a last step expands the word numbers into token ids. No text is shuffled, and a lost
-executor costs only its own splits.
+A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a block
+row holds its distinct words once, as arrays of the ids of their bytes, and each document as word numbers. Spark's higher-order
+functions fold the merges over every distinct word: a step merges all places of the pair with the lowest rank, from the left. Ranks
+come from a literal rank map of integers: of every two tokens that together are a token. A last step expands
+the word numbers into token ids. No text is shuffled, and a lost executor costs only its own splits.
 
 Words that many tasks meet are folded once for all: a first pass counts words over the corpus, the
 most frequent ones (at most ``FREQUENT``) go through the same fold, and their ids reach the
 tasks as one broadcast of bounded size. All other words are folded where their block is.
 
-The fold passes over a word once for each merge. Words of more than ``LONG_WORD`` bytes, where
-that grows with the square of the length, are merged with a heap by the same ranks instead.
+A word is cut where no token of the vocabulary can reach across, judged by the two and three bytes around
+the place; its parts are then words of their own. So long words cost little more than their length, whatever it is.
 
 Null and empty texts give no ids; rows with equal or null ids are encoded row by row; other
 columns are not carried.
@@ -20,23 +20,22 @@ columns are not carried.
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, contractions, distinct_spans, id_text, stored, text_chunks
+from .common import Codes, contractions, differing, distinct_spans, id_text, ranges, span_hashes, stored, text_chunks
 
 BLOCK_BYTES = 8 << 20
-#: The most words whose ids are shared by all tasks (about 40 bytes each).
+#: The most words whose ids are shared by all tasks (about 50 bytes each).
 FREQUENT = 300_000
-LONG_WORD = 256
-#: Sub-maps of the literal rank map: a Spark map is searched entry by entry, so each holds one entry or so.
-BUCKETS = 1 << 16
+#: Words that a task counts before it sends their numbers on.
+COUNTED = 150_000
+#: Ids are below LIMIT; two of them make a pair's key.
+LIMIT = 131_071
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,46 +74,87 @@ def split_words(texts: list[str]) -> tuple[Codes, np.ndarray, np.ndarray]:
     return codes, cuts, counts
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Lowest rank first, leftmost first among equals, with a heap over linked parts."""
-    n = len(word)
-    nxt, prev, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-
-    def pair(i):
-        j = nxt[i]
-        return ranks.get(word[i : stop[j]]) if j < n else None
-
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := pair(i)) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, end = heapq.heappop(heap)
-        j = nxt[i]
-        if not alive[i] or j >= n or stop[j] != end:
-            continue
-        alive[j], stop[i], nxt[i] = False, stop[j], nxt[j]
-        if nxt[i] < n:
-            prev[nxt[i]] = i
-        for k in (prev[i], i):
-            if k >= 0 and (r := pair(k)) is not None:
-                heapq.heappush(heap, (r, k, stop[nxt[k]]))
-    return [ranks[word[i : stop[i]]] for i in range(n) if alive[i]]
-
-
-def _bucket(key: str) -> int:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(key.encode(), seed=42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
-
+class Joints:
+    """Where a token of the vocabulary may reach from one byte to the next."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.two, three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        raw = np.frombuffer(b"".join(ranks), np.uint8).astype(np.int32)
+        size = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        first = np.cumsum(size) - size
+        at = first[size == 2]
+        self.two[raw[at] << 8 | raw[at + 1]] = True
+        at = ranges(first[size > 2], size[size > 2] - 2)
+        three[raw[at] << 16 | raw[at + 1] << 8 | raw[at + 2]] = True
+        self.three = np.packbits(three, bitorder="little")
+
+    def cuts(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """All places where a part of a word begins, of bytes and the places where words begin."""
+        new = np.zeros(len(raw) + 2, bool)
+        new[begins] = new[len(raw) :] = True
+        b = raw.astype(np.int32)
+        reach = self.two[b[:-1] << 8 | b[1:]]  # from i to i + 1
+        key = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        long = (self.three[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool)  # from i to i + 2
+        inside = ~new[1 : len(raw)]
+        reach[1:] |= long & inside[:-1]
+        reach[:-1] |= long & inside[1:]
+        new[1 : len(raw)] |= ~reach
+        return np.flatnonzero(new[: len(raw)])
+
+
+def unreachable(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens that the merges of their own bytes do not give: they are found as whole words only."""
+    out = []
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            best, i = min((ranks.get(a + b, LIMIT), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == LIMIT:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) > 1:
+            out.append(token)
+    return out
+
+
+class RankMap:
+    """A perfect hash map of the keys of pairs to the rank of what they make, as two literal arrays.
+
+    Keys of one group (the key modulo ``groups``) are moved by the same distance, so that all keys have a
+    cell of their own; a cell holds key and rank.
+    """
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps, found by the hash of the key."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        buckets[_bucket(key)][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    BITS = 17  # of a rank
+    EMPTY = 1 << 52
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    pairs[a * LIMIT + b] = rank
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        self.groups, self.size = len(keys) // 2 + 1, 2 * len(keys) + 1
+        group = keys % self.groups
+        order, size = np.argsort(group, kind="stable"), np.bincount(group, minlength=self.groups)
+        first = np.cumsum(size) - size
+        free, self.moves, self.cells = np.ones(self.size, bool), np.zeros(self.groups, np.int64), np.full(self.size, self.EMPTY)
+        for g in np.argsort(-size, kind="stable").tolist():
+            mine = order[first[g] : first[g] + size[g]]
+            move = 0
+            while not (free[at := (keys[mine] + move) % self.size].all() and len(set(at.tolist())) == len(at)):
+                move += 1
+            free[at], self.moves[g], self.cells[at] = False, move, keys[mine] << self.BITS | values[mine]
+
+    def literals(self) -> Column:
+        return F.from_json(F.lit(json.dumps([self.cells.tolist(), self.moves.tolist()])), "array<array<bigint>>")
+
+    def rank(self, key: Column, table: Column) -> Column:
+        """The rank of a pair, or a number above all ranks; null for a null key."""
+        cell = F.get(F.get(table, F.lit(0)), F.pmod(key + F.get(F.get(table, F.lit(1)), F.pmod(key, F.lit(self.groups))), F.lit(self.size)))
+        return cell.bitwiseXOR(F.shiftleft(key, self.BITS))
 
 
 def _let(value: Column, body) -> Column:
@@ -122,71 +162,66 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged_ids(word: Column, ranks: Column) -> Column:
-    """Token ids of a word whose bytes are the characters U+0000 to U+00FF of ``word``."""
-
-    def rank(piece):
-        return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
-
-    def step(state, _):
-        # t: parts; r: rank of each part's pair with the next; the leftmost of the lowest rank is merged by whole-array functions
-        def merge(p):
-            def with_whole(whole):
-                before = F.when(p > 1, F.concat(F.slice(state.r, F.lit(1), p - 2), F.array(rank(F.concat(F.get(state.t, p - 2), whole))))).otherwise(F.array().cast("array<int>"))
-                after = F.slice(state.r, p + 2, F.size(state.r))
-                return F.struct(
-                    F.concat(F.slice(state.t, F.lit(1), p - 1), F.array(whole), F.slice(state.t, p + 2, F.size(state.t))).alias("t"),
-                    F.concat(before, F.array(rank(F.concat(whole, F.get(state.t, p + 1)))), after).alias("r"),
-                )
-
-            return _let(F.concat(F.get(state.t, p - 1), F.get(state.t, p)), with_whole)
+def merged_ids(word: Column, ranks: RankMap, table: Column) -> Column:
+    """Token ids of a word (array<bigint>: the ids of its bytes)."""
 
-        return _let(F.array_position(state.r, F.array_min(state.r)).cast("int"), lambda p: F.when(p.isNull(), state).otherwise(merge(p)))
+    def state(tokens):
+        keys = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: a * F.lit(LIMIT) + b)
+        return _let(F.transform(keys, lambda k: ranks.rank(k, table)), lambda r: F.struct(tokens.alias("t"), r.alias("r"), F.array_min(r).alias("least")))
 
-    places = F.sequence(F.lit(1), F.length(word))
-    single = F.struct(
-        F.transform(places, lambda i: F.substring(word, i, F.lit(1))).alias("t"),
-        F.transform(places, lambda i: F.when(i < F.length(word), rank(F.substring(word, i, F.lit(2))))).alias("r"),
-    )
-    folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), single, step, lambda state: F.transform(state.t, rank))
-    return _let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) <= LONG_WORD, folded))
+    def step(s, _):
+        # places of the lowest rank as text, as a place that touches the one merged before it is not merged
+        places = F.array_join(F.transform(s.r, lambda x: F.when(x == s.least, F.lit("1")).otherwise(F.lit("0"))), "")
+        merged = _let(
+            F.split(F.replace(places, F.lit("11"), F.lit("1-")), ""),
+            lambda f: F.filter(F.transform(s.t, lambda x, i: F.when(F.get(f, i) == "1", s.least).when(F.get(f, i - 1) == "1", F.lit(None)).otherwise(x)), lambda x: x.isNotNull()),
+        )
+        return F.when(s.least < LIMIT, _let(merged, state)).otherwise(s)
 
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), _let(word, state), step, lambda s: s.t)
 
-def _latin(word: str) -> str:
-    return word.encode("utf-8", "surrogatepass").decode("latin-1")
 
-
-def _chunk_words(texts: list[str]):
-    """Distinct words of some texts: hashes, second hashes, the words themselves by a function of their numbers, which
-    of them each word is, how often each occurs, and the number of words of each text."""
+def _chunk_words(texts: list[str], joints: Joints | None):
+    """The bytes of some texts, where each distinct word begins and ends in them, which of these each word is, and the number of words of each text."""
     codes, cuts, counts = split_words(texts)
-    stops = np.append(cuts[1:], len(codes.points))[: len(cuts)]
-    h, g, one, which = distinct_spans(codes.points, cuts, stops)
-    text, a, b = codes.text, cuts[one], stops[one]
-    return h, g, lambda use: [text[x:y] for x, y in zip(a[use].tolist(), b[use].tolist())], which, np.bincount(which, minlength=len(h)), counts
-
-
-def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """``word`` (bytes as characters) of the words with the highest counts in the column ``text``, at most ``most`` and
-    none that occur once."""
+    if not len(cuts):
+        return np.zeros(0, np.uint8), cuts, cuts, cuts, counts
+    p = codes.points
+    width = 1 + (p >= 0x80).astype(np.int64) + (p >= 0x800) + (p >= 0x10000)
+    place = np.concatenate([[0], np.cumsum(width)])
+    raw = np.frombuffer(codes.text.encode(), np.uint8)
+    first, ends = place[cuts], place[codes.ends]
+    if joints is not None:
+        first = joints.cuts(raw, first)
+        counts = np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
+    last = np.append(first[1:], len(raw))
+    one, which = distinct_spans(raw, first, last)
+    return raw, first[one], last[one], which, counts
+
+
+def frequent_words(src: DataFrame, joints, most: int = FREQUENT) -> DataFrame:
+    """``word`` (binary) of the words with the highest counts in the column ``text``, at most ``most`` and none that
+    occur once. ``joints`` is a broadcast."""
 
     def count(batches):
-        seen: dict[str, int] = {}
+        seen: dict[bytes, int] = {}
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(map(_latin, seen)), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for a, b in text_chunks(batch.column(0)):
-                _, _, words, _, n, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist())
-                for w, k in zip(words(slice(None)), n.tolist()):
+                raw, first, last, which, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist(), joints.value)
+                text = raw.tobytes()
+                for x, y, k in zip(first.tolist(), last.tolist(), np.bincount(which, minlength=len(first)).tolist()):
+                    w = text[x:y]
                     seen[w] = seen.get(w, 0) + k
-                if len(seen) > 150_000:
+                if len(seen) > COUNTED:
                     yield rows()
                     seen = {}
         yield rows()
 
-    counted = stored(src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
+    counted = stored(src.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
     # the least count that keeps the number of words in bounds, found on the counts of counts
     level = F.floor(F.log2("n") * 8).cast("int")
     held, least = 0, None
@@ -195,45 +230,37 @@ def frequent_words(src: DataFrame, most: int = FREQUENT) -> DataFrame:
         if held > most:
             break
         least = r.n
-    return counted.where(F.lit(False) if least is None else F.col("n") >= least).where(F.length("word") <= LONG_WORD).select("word")
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
 
 
 class Known:
-    """Ids of frequent words in flat arrays, found by two 64-bit hashes of the word's code points."""
-
-    def __init__(self, h: np.ndarray, g: np.ndarray, size: np.ndarray, flat: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.g, self.flat = h[order], g[order], flat
-        self.first, self.size = (np.cumsum(size) - size)[order], size[order]
-
-    @staticmethod
-    def hashed(batches):
-        """Words and their ids as rows of flat arrays, so that what is shared is small and no object for each word."""
-        for batch in batches:
-            words = [w.encode("latin-1").decode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
-            codes = Codes(words)
-            h, g, one, _ = distinct_spans(codes.points, codes.ends - np.fromiter(map(len, words), np.int64, len(words)), codes.ends)
-            ids = batch.column("ids").take(pa.array(one))
-            arrays = (h, g, ids.value_lengths().to_numpy().astype("<i4"), ids.flatten().to_numpy().astype("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["h", "g", "size", "flat"])
-
-    @classmethod
-    def of(cls, words: DataFrame) -> Known:
-        """Of a bounded table of words (column word, bytes as characters) with their ids."""
-        rows = words.mapInArrow(cls.hashed, "h binary, g binary, size binary, flat binary").toArrow()
-        h, g, size, flat = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", "<u8"), ("g", "<u8"), ("size", "<i4"), ("flat", "<u4")))
-        return cls(h, g, size.astype(np.int64), flat)
-
-    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Ids of frequent words in flat arrays, found by a hash of the word and then compared byte by byte."""
+
+    def __init__(self, words: list[bytes], lists: list[list[int]] | pa.ListArray):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        h = span_hashes(raw, np.cumsum(size) - size, np.cumsum(size))
+        order = np.argsort(h, kind="stable")
+        order = order[np.append(True, h[order[1:]] != h[order[:-1]])] if len(order) else order  # of two with one hash only one is known
+        self.h, self.raw, self.begin, self.long = h[order], raw, (np.cumsum(size) - size)[order], size[order]
+        lists = lists if isinstance(lists, pa.ListArray) else pa.array(lists, pa.list_(pa.int64()))
+        many = lists.value_lengths().to_numpy().astype(np.int64)
+        self.flat, self.first, self.size = lists.flatten().to_numpy().astype("<u4"), (np.cumsum(many) - many)[order], many[order]
+
+    def find(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Places of the words, -1 where unknown."""
         if not len(self.h):
-            return np.full(len(h), -1, np.int64)
+            return np.full(len(first), -1, np.int64)
+        h = span_hashes(raw, first, last)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where((self.h[at] == h) & (self.g[at] == g), at, -1)
+        hit = np.flatnonzero((self.h[at] == h) & (self.long[at] == last - first))
+        hit = hit[~differing(raw, first[hit], self.raw, self.begin[at[hit]], self.long[at[hit]])]
+        out = np.full(len(first), -1, np.int64)
+        out[hit] = at[hit]
+        return out
 
     def lists(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[places]
-        return self.flat[np.repeat(self.first[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+        return self.flat[ranges(self.first[places], self.size[places])], self.size[places]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, frequent: int = FREQUENT) -> DataFrame:
@@ -241,36 +268,42 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     src = id_text(docs, id_col, text_col)
     kind = dict(src.dtypes)["doc_id"]
     context = docs.sparkSession.sparkContext
-    literal = rank_map(ranks)
-    often = frequent_words(src, frequent).repartition(max(8, context.defaultParallelism), "word")
-    known = Known.of(often.select("word", merged_ids(F.col("word"), literal).alias("ids")))  # at most ``frequent`` words
-    shared, shared_ranks = context.broadcast(known), context.broadcast(ranks)  # bounded by ``frequent`` and the vocabulary
+    pairs, alone = RankMap(ranks), unreachable(ranks)
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    joints = context.broadcast(None if alone else Joints(ranks))  # 2 MB; words stay whole where a whole word may be a token that merges do not give
+    started = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(F.lit(byte_ids.tolist()).cast("array<bigint>"), F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int")))
+    often = frequent_words(src, joints, frequent).repartition(max(8, context.defaultParallelism), "word")
+    found = often.select("word", _let(pairs.literals(), lambda table: merged_ids(started, pairs, table)).alias("ids")).toArrow()  # at most ``frequent`` words
+    ids = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
+    single = pa.array([[ranks[w]] for w in alone], pa.list_(pa.int64()))
+    shared = context.broadcast(Known([*alone, *found["word"].to_pylist()], pa.concat_arrays([single, ids.cast(single.type)])))  # bounded by ``frequent`` and the vocabulary
 
     def pack(batches):
         known = shared.value
         ids, counts, chunks, held = [], [], [], 0
 
         def block():
-            # the distinct words of all chunks: known ones by their place, others by their hashes
+            # the distinct words of all chunks: known ones by their place, others by their bytes
             place = np.concatenate([c[0] for c in chunks])
-            h, g = np.concatenate([c[1] for c in chunks]), np.concatenate([c[2] for c in chunks])
-            names = [w for c in chunks for w in c[3]]
+            raw, size = np.concatenate([c[1] for c in chunks]), np.concatenate([c[2] for c in chunks])
+            end = np.cumsum(size)
+            new_one, new_which = distinct_spans(raw, end - size, end)
             old, old_which = np.unique(place[place >= 0], return_inverse=True)
-            new = np.flatnonzero(place < 0)
-            _, new_one, new_which = np.unique(np.stack([h[new], g[new]], 1).view("u8,u8").ravel(), return_index=True, return_inverse=True)
             code = np.empty(len(place), np.int64)
             code[place >= 0] = old_which
-            code[new] = len(old) + new_which
-            flat, size = known.lists(old)
+            code[place < 0] = len(old) + new_which
+            flat, many = known.lists(old)
             offset, out = 0, []
             for c in chunks:
-                out.append(code[offset : offset + len(c[0])][c[4]])
+                out.append(code[offset : offset + len(c[0])][c[3]])
                 offset += len(c[0])
+            words = pa.array(byte_ids[raw[ranges((end - size)[new_one], size[new_one])]])
+            cuts = pa.array(np.concatenate([[0], np.cumsum(size[new_one])]), pa.int32())
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([[_latin(names[i]) for i in new_one.tolist()]], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array([0, len(new_one)], pa.int32()), pa.ListArray.from_arrays(cuts, words)),
                     pa.array([flat.tobytes()], pa.binary()),
-                    pa.array([size.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([many.astype("<i4").tobytes()], pa.binary()),
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([np.concatenate(counts).astype("<i4").tobytes()], pa.binary()),
                     pa.array([np.concatenate(out).astype("<i4").tobytes()], pa.binary()),
@@ -282,12 +315,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
             id_type = batch.column(0).type
             for a, b in text_chunks(batch.column("text")):
                 texts = batch.column("text").slice(a, b - a).to_pylist()
-                h, g, words, which, _, n = _chunk_words(texts)
-                place = known.find(h, g)
-                chunks.append((place, h, g, words(place < 0), which.astype(np.int32)))
+                raw, first, last, which, n = _chunk_words(texts, joints.value)
+                place = known.find(raw, first, last)
+                new = place < 0
+                size = (last - first)[new]
+                chunks.append((place, raw[ranges(first[new], size)], size, which.astype(np.int32)))
                 counts.append(n)
                 ids += batch.column(0).slice(a, b - a).to_pylist()
-                held += sum(map(len, texts))
+                held += len(raw)
                 if held >= block_bytes:
                     yield block()
                     ids, counts, chunks, held = [], [], [], 0
@@ -299,13 +334,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 pieces = one.column("pieces").flatten()
-                if pieces.null_count:
-                    words = one.column("words").flatten()
-                    full = pieces.to_pylist()
-                    for i in np.flatnonzero(pieces.is_null().to_numpy(zero_copy_only=False)):
-                        full[i] = merge_long(words[int(i)].as_py().encode("latin-1"), shared_ranks.value)
-                    pieces = pa.array(full, pa.list_(pa.int32()))
-                size = np.concatenate([np.frombuffer(one.column("known_sizes")[0].as_py(), "<i4"), pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False)]).astype(np.int64)
+                size = np.concatenate([np.frombuffer(one.column("known_sizes")[0].as_py(), "<i4"), pieces.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
                 first = np.cumsum(size) - size
                 flat = np.concatenate([np.frombuffer(one.column("known_ids")[0].as_py(), "<u4"), pieces.flatten().to_numpy().astype("<u4")])
                 counts = np.frombuffer(one.column("counts")[0].as_py(), "<i4").astype(np.int64)
@@ -318,9 +347,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     b = max(a + 1, int(np.searchsorted(word_ends, w0 + 200_000)))
                     use = codes[w0 : word_ends[b - 1]]
                     n = size[use]
-                    ends = np.cumsum(n)
-                    tokens = flat[np.repeat(first[use] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-                    cuts = np.concatenate([[0], ends])[np.concatenate([[0], word_ends[a:b] - w0])]
+                    tokens = flat[ranges(first[use], n)]
+                    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], word_ends[a:b] - w0])]
                     raw = tokens.tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -332,15 +360,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     )
                     a = b
 
-    blocks = src.mapInArrow(pack, f"words array<string>, known_ids binary, known_sizes binary, doc_ids array<{kind}>, counts binary, codes binary")
-    blocks = blocks.withColumn("pieces", F.transform("words", lambda w: merged_ids(w, literal)))
-    return blocks.mapInArrow(unpack, f"doc_id {kind}, ids array<int>, ids_bytes binary")
+    # stored, so that a task of either half has one Python worker
+    blocks = stored(src.mapInArrow(pack, f"words array<array<bigint>>, known_ids binary, known_sizes binary, doc_ids array<{kind}>, counts binary, codes binary"), "blocks", large_rows=True)
+    folded = blocks.withColumn("pieces", _let(pairs.literals(), lambda table: F.transform("words", lambda w: merged_ids(w, pairs, table)))).drop("words")
+    return folded.mapInArrow(unpack, f"doc_id {kind}, ids array<int>, ids_bytes binary")
+
+
+#: Pieces that are concatenated at once.
+JOINED = 64
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> Column:
-    """Bytes of the text: the binary pieces of the ids one after the other. Null ids give null, unknown ids nothing."""
+    """Bytes of the text: the binary pieces of the ids, concatenated. Null ids give null, unknown ids nothing."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(encoded[ids_col], lambda i: F.get(vocabulary, i)), ""))
+        pieces[rank] = base64.b64encode(piece).decode()
+    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+    none = F.lit(b"")
+
+    def groups(parts, piece):
+        """One binary value for each ``JOINED`` parts."""
+        last = F.greatest(F.floor((F.size(parts) - 1) / JOINED).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda g: F.aggregate(F.slice(parts, g * JOINED + 1, JOINED), none, lambda held, x: F.concat(held, piece(x))))
+
+    def joined(table):
+        small = groups(encoded[ids_col], lambda i: F.coalesce(F.get(table, i), none))
+        return _let(_let(small, lambda s: groups(s, lambda x: x)), lambda large: F.aggregate(large, none, lambda held, x: F.concat(held, x)))
+
+    return F.when(encoded[ids_col].isNotNull(), _let(vocabulary, joined))

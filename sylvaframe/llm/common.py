@@ -94,45 +94,67 @@ class Codes:
         return np.flatnonzero(new)
 
 
-#: Odd multipliers of the two running polynomials modulo 2^64, each with an inverse.
-PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd multiplier of the running polynomial modulo 2^64, which has an inverse.
+PRIME = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-def _prime_powers(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a multiplier and of its inverse."""
-    if prime not in _powers or len(_powers[prime][0]) < n:
-        pair = []
-        for base in (prime, pow(prime, -1, 1 << 64)):
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (PRIME, pow(PRIME, -1, 1 << 64)):
             steps = np.full(max(n, CHUNK_BYTES + 64), base, np.uint64)
             steps[0] = 1
-            pair.append(np.multiply.accumulate(steps))
-        _powers[prime] = (pair[0], pair[1])
-    up, down = _powers[prime]
-    return up[:n], down[:n]
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray, prime: int = PRIMES[0]) -> np.ndarray:
-    """A 64-bit hash of each stretch of values, from one running polynomial."""
-    up, down = _prime_powers(prime, len(values) + 1)
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of values, from one running polynomial: to group by, never to tell stretches apart."""
+    up, down = _prime_powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     h = (total[last] - total[first]) * down[first]
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def distinct_spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct stretches by two 64-bit hashes: (hash, second hash, one stretch that has them) of each, and which of them every stretch is."""
-    h, g = span_hashes(values, first, last), span_hashes(values, first, last, PRIMES[1])
-    order = np.argsort(h)
-    if len(h) and np.any((h[order[1:]] == h[order[:-1]]) & (g[order[1:]] != g[order[:-1]])):
-        order = np.lexsort((g, h))
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each stretch, one stretch after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def differing(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which stretches of ``a`` and ``b``, pair by pair of one size, are not the same."""
+    off = np.flatnonzero(a[ranges(a_first, size)] != b[ranges(b_first, size)])
+    out = np.zeros(len(size), bool)
+    out[np.searchsorted(np.cumsum(size), off, side="right")] = True
+    return out
+
+
+def distinct_spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One stretch of each distinct content, and which of these every stretch has. Stretches of one hash are
+    compared value by value, so equal hashes of different stretches do no harm."""
+    h, size = span_hashes(values, first, last), last - first
+    order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    new[1:] = h[order[1:]] != h[order[:-1]]
     which = np.empty(len(h), np.int64)
     which[order] = np.cumsum(new) - 1
     one = order[new]
-    return h[one], g[one], one, which
+    rest = order[~new]
+    bad = size[rest] != size[one[which[rest]]]
+    same = rest[~bad]
+    bad[~bad] = differing(values, first[same], values, first[one[which[same]]], size[same])
+    found: dict[tuple[int, bytes], int] = {}
+    more = []
+    for i in rest[bad].tolist():  # another content with the hash of the first
+        key = (int(h[i]), values[first[i] : last[i]].tobytes())
+        if key not in found:
+            found[key] = len(one) + len(more)
+            more.append(i)
+        which[i] = found[key]
+    return np.append(one, np.array(more, np.int64)), which
 
 
 #: Contractions that the split patterns take as one piece (fixed values).

@@ -114,7 +114,7 @@ class WordIds:
         """The ids of all words in a row, and the number of ids of each word."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        _, _, one, which = distinct_spans(codes.points, first, last)
+        one, which = distinct_spans(codes.points, first, last)
         text = codes.text
         words = [text[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())]
         new = [w for w in words if w not in self.known]

@@ -83,7 +83,7 @@ class Counter:
             self.known, self.counts, self.scores = {}, [], []
         codes = Codes([MARK + t.replace(" ", MARK) if t else "" for t in texts])
         first, last, ends = self.words(codes)
-        _, _, one, which = distinct_spans(codes.points, first, last)
+        one, which = distinct_spans(codes.points, first, last)
         words = [codes.text[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())]
         for w in words:
             if w not in self.known:

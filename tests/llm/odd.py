@@ -6,12 +6,17 @@ WORDS = "the of license mit License Apache gnu General PUBLIC license ünder ét
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label int, score double, fp bigint, features string, key string, n int, sequence_id bigint, word string, _block int"
 
 
+#: Two words whose polynomial hashes modulo 2^64 agree for every odd multiplier.
+TWINS = tuple("".join(ab[bin(i).count("1") % 2] for i in range(1024)) for ab in ("ab", "ba"))
+
+
 def odd_texts(seed=1, n=40):
     r = random.Random(seed)
     texts = [None, "", " ", "\n\n\t ", "a", "MIT License", "mit\nlicense mit license", "Licensed under the Apache License, Version 2.0.", "general  public-license", "x" * 700, "ab" * 300, "😀 é́   end", "Σίσυφος ΟΔΟΣ ſ İ", "don't they'LL I'd'", "!!! ??? ...", "１２٣४ 42", "a\x00b \x1c\x1d c", " x　y​\u0085z", "tab\tsep\x0bvt\x0cff\r\n"]
     for _ in range(n):
         texts.append(r.choice([" ", "  ", "\n"]).join(r.choice(WORDS) for _ in range(r.randint(1, 60))))
     texts += texts[-5:] + [texts[-1] + " more"]
+    texts += [*TWINS, f"{TWINS[1]} {TWINS[0]} twins"]
     texts.append(" ".join(r.choice(WORDS) + str(r.randint(0, 3000)) for _ in range(30_000)))
     return texts
 

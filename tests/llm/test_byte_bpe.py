@@ -58,8 +58,29 @@ def test_split_is_the_pattern():
         at += n
 
 
-def test_long_words_by_heap(ranks, plain):
+def test_long_words(spark, ranks, plain):
     r = random.Random(5)
-    for _ in range(50):
-        word = "".join(r.choice("abcdeé ") for _ in range(r.randint(1, 300))).encode()
-        assert byte_bpe.merge_long(word, ranks) == plain._core_bpe.encode_single_piece(word)
+    words = ["a" * 5000, "abc" * 700, "=" * 3001, "".join(r.choice("ABCDEFabcdef") for _ in range(5000)), "".join(r.choice("thinger") for _ in range(1200)), "中文字" * 300]
+    words += ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 300))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id int, text string")
+    got = dict(byte_bpe.encode(docs, ranks, frequent=0).select("doc_id", "ids").collect())
+    for i, w in enumerate(words):
+        assert got[i] == plain.encode_ordinary(w), w[:50]
+
+
+def test_tokens_that_merges_do_not_give(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"xyz": 258}
+    assert byte_bpe.unreachable(ranks) == [b"xyz"]
+    plain = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["xyz", "xyz xyzz", "abc xyz,xyz", "abcabc bc xy"]
+    got = dict(byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), ranks).select("doc_id", "ids").collect())
+    assert [got[i] for i in range(len(texts))] == [plain.encode_ordinary(t) for t in texts]
+
+
+def test_decoding_long_lists(spark, ranks):
+    r = random.Random(6)
+    ids = [[r.randrange(len(ranks)) for _ in range(n)] for n in (0, 1, 63, 64, 65, 4096, 4097, 9000)] + [None, [5, 10_000_000, 6]]
+    rows = spark.createDataFrame(list(enumerate(ids)), "doc_id int, ids array<int>")
+    by = {v: k for k, v in ranks.items()}
+    for i, raw in rows.select("doc_id", byte_bpe.decode(rows, ranks)).collect():
+        assert raw is None if ids[i] is None else bytes(raw) == b"".join(by.get(t, b"") for t in ids[i])
