@@ -2,8 +2,8 @@
 
 A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a block
 row holds its distinct words once, as arrays of the ids of their bytes, and each document as word numbers. Spark's higher-order
-functions fold the merges over every distinct word: a step merges all places of the pair with the lowest rank, from the left. Ranks
-come from a literal rank map of integers: of every two tokens that together are a token. A last step expands
+functions fold the merges over every distinct word: a step merges the leftmost place of the pair with the lowest rank, in long words all its places from the left. Ranks
+come from a constant rank map of integers: of every two tokens that together are a token. A last step expands
 the word numbers into token ids. No text is shuffled, and a lost executor costs only its own splits.
 
 Words that many tasks meet are folded once for all: a first pass counts words over the corpus, the
@@ -20,11 +20,10 @@ columns are not carried.
 from __future__ import annotations
 
 import base64
-import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Codes, contractions, differing, distinct_spans, id_text, ranges, span_hashes, stored, text_chunks
@@ -34,6 +33,8 @@ BLOCK_BYTES = 8 << 20
 FREQUENT = 300_000
 #: Words that a task counts before it sends their numbers on.
 COUNTED = 150_000
+#: Tokens of a word above which a step merges all places of the lowest pair, not the first.
+MANY = 64
 #: Ids are below LIMIT; two of them make a pair's key.
 LIMIT = 131_071
 
@@ -148,15 +149,22 @@ class RankMap:
                 move += 1
             free[at], self.moves[g], self.cells[at] = False, move, keys[mine] << self.BITS | values[mine]
 
-    def literals(self) -> Column:
-        return F.from_json(F.lit(json.dumps([self.cells.tolist(), self.moves.tolist()])), "array<array<bigint>>")
+    def constant(self, spark: SparkSession) -> Column:
+        return constant(spark, cells=self.cells, moves=self.moves)
 
     def rank(self, key: Column, table: Column) -> Column:
         """The rank of a pair, or a number above all ranks; null for a null key."""
-        cell = F.get(F.get(table, F.lit(0)), F.pmod(key + F.get(F.get(table, F.lit(1)), F.pmod(key, F.lit(self.groups))), F.lit(self.size)))
+        cell = F.get(table.cells, F.pmod(key + F.get(table.moves, F.pmod(key, F.lit(self.groups))), F.lit(self.size)))
         return cell.bitwiseXOR(F.shiftleft(key, self.BITS))
 
 
+def constant(spark: SparkSession, **arrays) -> Column:
+    """Arrays as the fields of one constant of a plan, to be a column of its own. It comes as a scalar from a table of one
+    row, so that the texts of plans, which the driver keeps, don't spell it out."""
+    row = pa.table({name: pa.array([a], pa.list_(pa.array(a).type)) for name, a in arrays.items()})
+    return stored(spark.createDataFrame(row), "constant").select(F.struct(*arrays).alias("constant")).scalar()
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -165,18 +173,43 @@ def _let(value: Column, body) -> Column:
 def merged_ids(word: Column, ranks: RankMap, table: Column) -> Column:
     """Token ids of a word (array<bigint>: the ids of its bytes)."""
 
+    def rank(key):
+        return F.coalesce(ranks.rank(key, table), F.lit(RankMap.EMPTY))
+
+    def struct(tokens, r):
+        return F.struct(tokens.alias("t"), r.alias("r"), F.array_min(r).alias("least"))
+
     def state(tokens):
         keys = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: a * F.lit(LIMIT) + b)
-        return _let(F.transform(keys, lambda k: ranks.rank(k, table)), lambda r: F.struct(tokens.alias("t"), r.alias("r"), F.array_min(r).alias("least")))
+        return _let(F.transform(keys, rank), lambda r: struct(tokens, r))
 
-    def step(s, _):
-        # places of the lowest rank as text, as a place that touches the one merged before it is not merged
+    def without(array, change):
+        """The array with changes by place, without what becomes null."""
+        return F.filter(F.transform(array, change), lambda x: x.isNotNull())
+
+    def first_place(s):
+        def at(p):
+            def joined(new):
+                tokens = without(s.t, lambda x, i: F.when(i == p, F.lit(None)).when(i == p - 1, s.least).otherwise(x))
+                r = without(s.r, lambda x, i: F.when(i == p, F.lit(None)).when(i == p - 1, F.get(new, F.lit(1))).when(i == p - 2, F.get(new, F.lit(0))).otherwise(x))
+                return _let(r, lambda r: struct(tokens, r))
+
+            return _let(F.transform(F.array(F.get(s.t, p - 2) * F.lit(LIMIT) + s.least, s.least * F.lit(LIMIT) + F.get(s.t, p + 1)), rank), joined)
+
+        return _let(F.array_position(s.r, s.least).cast("int"), at)
+
+    def many_places(s):
+        # the places as text, as one that touches the place merged before it is not merged
         places = F.array_join(F.transform(s.r, lambda x: F.when(x == s.least, F.lit("1")).otherwise(F.lit("0"))), "")
         merged = _let(
             F.split(F.replace(places, F.lit("11"), F.lit("1-")), ""),
-            lambda f: F.filter(F.transform(s.t, lambda x, i: F.when(F.get(f, i) == "1", s.least).when(F.get(f, i - 1) == "1", F.lit(None)).otherwise(x)), lambda x: x.isNotNull()),
+            lambda f: without(s.t, lambda x, i: F.when(F.get(f, i) == "1", s.least).when(F.get(f, i - 1) == "1", F.lit(None)).otherwise(x)),
         )
-        return F.when(s.least < LIMIT, _let(merged, state)).otherwise(s)
+        return _let(merged, state)
+
+    def step(s, _):
+        # both give the same; all places at once pay where a word has many
+        return F.when(s.least < LIMIT, F.when(F.size(s.t) > MANY, many_places(s)).otherwise(first_place(s))).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(2), F.size(word)), _let(word, state), step, lambda s: s.t)
 
@@ -269,11 +302,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     kind = dict(src.dtypes)["doc_id"]
     context = docs.sparkSession.sparkContext
     pairs, alone = RankMap(ranks), unreachable(ranks)
+    table = pairs.constant(docs.sparkSession)
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     joints = context.broadcast(None if alone else Joints(ranks))  # 2 MB; words stay whole where a whole word may be a token that merges do not give
     started = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(F.lit(byte_ids.tolist()).cast("array<bigint>"), F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int")))
     often = frequent_words(src, joints, frequent).repartition(max(8, context.defaultParallelism), "word")
-    found = often.select("word", _let(pairs.literals(), lambda table: merged_ids(started, pairs, table)).alias("ids")).toArrow()  # at most ``frequent`` words
+    found = often.withColumn("_ranks", table).select("word", merged_ids(started, pairs, F.col("_ranks")).alias("ids")).toArrow()  # at most ``frequent`` words
     ids = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
     single = pa.array([[ranks[w]] for w in alone], pa.list_(pa.int64()))
     shared = context.broadcast(Known([*alone, *found["word"].to_pylist()], pa.concat_arrays([single, ids.cast(single.type)])))  # bounded by ``frequent`` and the vocabulary
@@ -362,7 +396,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
 
     # stored, so that a task of either half has one Python worker
     blocks = stored(src.mapInArrow(pack, f"words array<array<bigint>>, known_ids binary, known_sizes binary, doc_ids array<{kind}>, counts binary, codes binary"), "blocks", large_rows=True)
-    folded = blocks.withColumn("pieces", _let(pairs.literals(), lambda table: F.transform("words", lambda w: merged_ids(w, pairs, table)))).drop("words")
+    folded = blocks.withColumn("_ranks", table).withColumn("pieces", F.transform("words", lambda w: merged_ids(w, pairs, F.col("_ranks")))).drop("words", "_ranks")
     return folded.mapInArrow(unpack, f"doc_id {kind}, ids array<int>, ids_bytes binary")
 
 
@@ -370,12 +404,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
 JOINED = 64
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> Column:
-    """Bytes of the text: the binary pieces of the ids, concatenated. Null ids give null, unknown ids nothing."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes of the text: the binary pieces of the ids, concatenated. Null ids give null, unknown ids nothing."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    vocabulary = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+        pieces[rank] = piece
+    vocabulary = constant(encoded.sparkSession, pieces=pieces)
     none = F.lit(b"")
 
     def groups(parts, piece):
@@ -383,8 +417,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
         last = F.greatest(F.floor((F.size(parts) - 1) / JOINED).cast("int"), F.lit(0))
         return F.transform(F.sequence(F.lit(0), last), lambda g: F.aggregate(F.slice(parts, g * JOINED + 1, JOINED), none, lambda held, x: F.concat(held, piece(x))))
 
-    def joined(table):
-        small = groups(encoded[ids_col], lambda i: F.coalesce(F.get(table, i), none))
-        return _let(_let(small, lambda s: groups(s, lambda x: x)), lambda large: F.aggregate(large, none, lambda held, x: F.concat(held, x)))
-
-    return F.when(encoded[ids_col].isNotNull(), _let(vocabulary, joined))
+    table = "_pieces" + "_" * max(map(len, encoded.columns))  # no column's name
+    small = groups(F.col(ids_col), lambda i: F.coalesce(F.get(F.col(table).pieces, i), none))
+    joined = _let(_let(small, lambda s: groups(s, lambda x: x)), lambda large: F.aggregate(large, none, lambda held, x: F.concat(held, x)))
+    return encoded.withColumn(table, vocabulary).withColumn(name, F.when(F.col(ids_col).isNotNull(), joined)).drop(table)

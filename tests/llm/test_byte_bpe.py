@@ -37,7 +37,7 @@ def test_whole_table_against_tiktoken(spark, plain):
 def test_odd_rows(spark, ranks, plain, frequent, block):
     docs, rows = odd_documents(spark)
     got = byte_bpe.encode(docs, ranks, frequent=frequent, block_bytes=block)
-    got = got.select("doc_id", "ids", byte_bpe.decode(got, ranks).alias("raw"))
+    got = byte_bpe.decode(got, ranks, name="raw")
     same_rows(got.selectExpr("doc_id", "ids", "cast(raw as binary) as raw"), [(d, plain.encode_ordinary(t), bytearray(t.encode())) for d, t in rows])
     assert byte_bpe.encode(empty_documents(spark), ranks).count() == 0
 
@@ -82,5 +82,5 @@ def test_decoding_long_lists(spark, ranks):
     ids = [[r.randrange(len(ranks)) for _ in range(n)] for n in (0, 1, 63, 64, 65, 4096, 4097, 9000)] + [None, [5, 10_000_000, 6]]
     rows = spark.createDataFrame(list(enumerate(ids)), "doc_id int, ids array<int>")
     by = {v: k for k, v in ranks.items()}
-    for i, raw in rows.select("doc_id", byte_bpe.decode(rows, ranks)).collect():
+    for i, raw in byte_bpe.decode(rows, ranks).select("doc_id", "decoded").collect():
         assert raw is None if ids[i] is None else bytes(raw) == b"".join(by.get(t, b"") for t in ids[i])
