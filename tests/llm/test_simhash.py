@@ -84,9 +84,48 @@ def test_crowded_keys_keep_components(spark):
     arr = np.array(signed, np.int64).view(np.uint64)
     pairs = {tuple(sorted((signed[i], signed[j]))) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 3) if i < j}
     assert {tuple(sorted((x.a, x.b))) for x in whole.collect()} == pairs
-    few = simhash.links(nodes, crowd=4)
-    assert {tuple(sorted((x.a, x.b))) for x in few.collect()} <= pairs
-    assert {(x.node, x.root) for x in connected_components(few).distinct().collect()} == {(x.node, x.root) for x in connected_components(whole).distinct().collect()}
+    for few in (simhash.links(nodes, crowd=4), simhash.links(nodes, crowd=4, forest=30)):
+        assert {tuple(sorted((x.a, x.b))) for x in few.collect()} <= pairs
+        assert {(x.node, x.root) for x in connected_components(few).distinct().collect()} == {(x.node, x.root) for x in connected_components(whole).distinct().collect()}
+
+
+def test_a_crowd_emits_a_multiple_of_its_size(spark):
+    """20,000 fingerprints that agree in two segments, in a spread of 18 bits: far more links than are given."""
+    r = random.Random(9)
+    open_ = [b for b in range(32)]
+    r.shuffle(open_)
+    prints = set()
+    while len(prints) < 20_000:
+        bits = r.getrandbits(18)
+        prints.add(0x1234ABCD << 32 | sum((bits >> i & 1) << b for i, b in enumerate(open_[:18])))
+    arr = np.array(sorted(prints), np.uint64)
+    few = simhash.links(spark.createDataFrame([(int(f),) for f in arr], "fp bigint")).cache()
+    assert few.count() < 20 * len(arr)
+    got = {x.node: x.root for x in connected_components(few).distinct().collect()}
+    root = {int(f): int(f) for f in arr}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    places = {int(f) for f in arr}
+    flips = [1 << b for b in open_[:18]]
+    for f in places:
+        for i in range(18):
+            for j in range(i, 18):
+                for k in range(j, 18):
+                    g = f ^ flips[i] ^ (flips[j] if j > i else 0) ^ (flips[k] if k > j else 0)
+                    if g > f and g in places:
+                        root[find(f)] = find(g)
+    groups = {}
+    for f in places:
+        groups.setdefault(find(f), set()).add(f)
+    mine = {}
+    for f in places:
+        mine.setdefault(got.get(f, f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
 def test_components(spark):
@@ -100,7 +139,31 @@ def test_one_of_each_stays(spark):
     docs, rows = odd_documents(spark)
     kept = simhash.keep_one(docs)
     assert kept.schema == docs.schema
-    least = sorted({c for _, _, c in brute(rows) if c is not None})
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == least
+    first = {}  # of each component the row with the least id, of rows with this id one
+    for (d, t), (_, _, c) in zip(rows, brute(rows)):
+        if d is not None and d == c:
+            first.setdefault(component(rows, t), set()).add((d, t))
+    got = [(r.doc_id, r.text or "") for r in kept.where("doc_id is not null").collect()]
+    assert len(got) == len(first) and all(sum(g in f for g in got) == 1 for f in first.values())
     assert kept.where("doc_id is null").count() == 2
     assert simhash.keep_one(empty_documents(spark)).count() == 0
+
+
+def component(rows, text):
+    """The least fingerprint that can be reached from a text's."""
+    prints = {fingerprint(t) for _, t in rows}
+    seen, front = {fingerprint(text)}, [fingerprint(text)]
+    while front:
+        f = front.pop()
+        new = {g for g in prints - seen if (f ^ g).bit_count() <= 3}
+        seen |= new
+        front += new
+    return min(seen)
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    a, b = "one text of five words", "some other words that nothing else has"
+    docs = spark.createDataFrame([(1, a, "x"), (5, a, "y"), (5, b, "z"), (9, b, "w"), (9, b, "w")], "doc_id int, text string, source string")
+    assert sorted((r.doc_id, r.source) for r in simhash.keep_one(docs).collect()) == [(1, "x"), (5, "z")]
+    docs = spark.createDataFrame([(3, a, "x"), (3, a, "x"), (3, b, "z")], "doc_id int, text string, source string")
+    assert sorted((r.doc_id, r.source) for r in simhash.keep_one(docs).collect()) == [(3, "x"), (3, "z")]
