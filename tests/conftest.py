@@ -30,9 +30,9 @@ TESTDATA = os.environ.get("TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def plant(spark):
+def orchard(spark):
     from sylvaframe.sources.mtg_text import read_mtg
 
-    tree = read_mtg(spark, f"{FILES}/plant.mtg")
+    tree = read_mtg(spark, f"{FILES}/orchard.mtg")
     tree.indexed
     return tree

@@ -21,28 +21,34 @@ def column(df, name, by="node_id"):
 
 
 # --- reading and writing ------------------------------------------------------------------------------------
-def test_plant_values(plant):
-    assert column(plant.nodes, "parent_id") == [None, 1, 2, 3, 4, 4, 6]
-    assert column(plant.nodes, "Length") == [None, None, None, 0.1, 0.2, 0.1, 0.2]
-    assert column(plant.nodes, "Width") == [None, None, None, 0.02, 0.1, 0.02, 0.1]
-    assert column(plant.nodes, "isAlive") == [None, None, None, None, False, True, True]
-    assert str(column(plant.nodes, "dateDeath")[4]) == "2022-08-24"
-    assert column(plant.nodes, "symbol") == ["Scene", "Individual", "Axis", "Internode", "Leaf", "Internode", "Leaf"]
-    assert {r.RELTYPE: r.RIGHT for r in plant.header["description"].collect()} == {"+": ["Internode", "Leaf"], "<": ["Internode", "Leaf"]}
-
-
-@pytest.mark.parametrize("other", ["plant_blanks", "plant_oneline"])
-def test_same_plant(spark, plant, other):
+def test_orchard_values(orchard):
+    nodes = orchard.nodes
+    assert column(nodes, "parent_id") == [None, 1, 2, 3, 4, 5, 4, 7, 7, 2]
+    assert column(nodes, "symbol") == ["Scene", "Tree", "Limb", "Shoot", "Bud", "Fruit", "Shoot", "Shoot", "Bud", "Limb"]
+    assert column(nodes, "index") == [3, 4, 1, 1, 1, 1, 2, 7, 2, -9999]
+    assert column(nodes, "link") == ["/", "/", "/", "/", "+", "<", "<", "+", "+", "/"]
+    assert column(nodes, "Length") == [None, None, None, 4.5, None, None, 3.0, 1.5, None, None]
+    assert column(nodes, "girth") == [None, None, None, 1.25, None, 6.0, 0.75, None, None, None]
+    assert column(nodes, "buds") == [None, None, None, 3, None, None, 2, 0, None, None]
+    assert column(nodes, "open")[4] is True and column(nodes, "open")[8] is False
+    assert str(column(nodes, "picked")[5]) == "2021-09-03"
+    assert column(nodes, "note") == [None] * 5 + ["sweet", None, None, "dry", None]
+    assert {r.RELTYPE: r.RIGHT for r in orchard.header["description"].collect()} == {"+": ["Shoot", "Bud"], "<": ["Fruit"]}
+
+
+@pytest.mark.parametrize("other", ["orchard_gaps", "orchard_chain"])
+def test_same_orchard(spark, orchard, other):
     tree = read_mtg(spark, f"{FILES}/{other}.mtg")
-    assert [r[1:] for r in tree.nodes.orderBy("node_id").collect()] == [r[1:] for r in plant.nodes.orderBy("node_id").collect()]
+    assert [r[1:] for r in tree.nodes.orderBy("node_id").collect()] == [r[1:] for r in orchard.nodes.orderBy("node_id").collect()]
 
 
 def test_several_files_and_no_attributes(spark):
-    trees = read_mtg(spark, [f"{FILES}/bare.mtg", f"{FILES}/plant.mtg"])
-    bare = trees.nodes.where("tree_id = 'bare.mtg'")
-    assert column(bare, "parent_id") == [None, 1, 2, 3, 4, 1]
-    assert column(bare, "scale") == [1, 2, 3, 4, 4, 2]
-    assert trees.nodes.count() == 13
+    trees = read_mtg(spark, [f"{FILES}/hedge.mtg", f"{FILES}/orchard.mtg"])
+    hedge = trees.nodes.where("tree_id = 'hedge.mtg'")
+    assert column(hedge, "parent_id") == [None, 1, 2, 3, 3, 1]
+    assert column(hedge, "scale") == [1, 2, 2, 3, 3, 2]
+    assert column(hedge, "index") == [2, 1, 2, 1, -9999, 9]
+    assert trees.nodes.count() == 16
 
 
 def test_ranges(spark):
@@ -52,7 +58,7 @@ def test_ranges(spark):
     assert column(tree.nodes, "mass") == [None, None, None, None, 2.5, 7.0, 7.0, 7.0, None]
 
 
-@pytest.mark.parametrize("name", ["plant", "bare", "ranges"])
+@pytest.mark.parametrize("name", ["orchard", "hedge", "ranges"])
 def test_round_trip(spark, tmp_path, name):
     tree = read_mtg(spark, f"{FILES}/{name}.mtg")
     write_mtg(tree, str(tmp_path / "out"), description=tree.header["description"])
@@ -65,16 +71,16 @@ def test_round_trip(spark, tmp_path, name):
 @pytest.mark.parametrize(
     "bad, said",
     [
-        (("/Scene0", "Scene0"), "no proper link"),
-        (("Leaf\t3", "Lief\t3"), "not declared"),
+        (("/$3", "$3"), "no proper link"),
+        (("Shoot\t3", "Shot\t3"), "not declared"),
         (("Length\tALPHA\n", ""), "attributes"),
-        (("0.02\t1\n", "0.02\tx\n"), "can't be REAL"),
+        (("\t1.25\t", "\tx\t"), "can't be REAL"),
         (("SYMBOL\tSCALE", "SYMBOL\tSKALE"), "header"),
-        (("Internode\tInternode,Leaf\t+\t?\n", ""), "both"),
+        (("Shoot\tShoot,Bud\t+\t?\n", ""), "both"),
     ],
 )
 def test_bad_files(spark, bad, said):
-    text = open(f"{FILES}/plant.mtg").read().replace(*bad)
+    text = open(f"{FILES}/orchard.mtg").read().replace(*bad)
     with pytest.raises(Exception, match=said):
         parse_mtg(spark.createDataFrame([("f", text)], "file string, text string")).nodes.collect()
 
@@ -82,7 +88,7 @@ def test_bad_files(spark, bad, said):
 def test_spreadsheet(spark, tmp_path):
     import zipfile
 
-    rows = [line.split("\t") for line in open(f"{FILES}/plant.mtg").read().split("\n")]
+    rows = [line.split("\t") for line in open(f"{FILES}/orchard.mtg").read().split("\n")]
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
     cells = "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for j, v in enumerate(r) if v) + "</row>" for i, r in enumerate(rows))
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -91,7 +97,7 @@ def test_spreadsheet(spark, tmp_path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>")
     tree = read_mtg(spark, str(tmp_path / "p.xlsx"))
-    assert column(tree.nodes, "Width") == [None, None, None, 0.02, 0.1, 0.02, 0.1]
+    assert column(tree.nodes, "girth") == [None, None, None, 1.25, None, 6.0, 0.75, None, None, None]
 
 
 # --- the model ----------------------------------------------------------------------------------------------
@@ -135,106 +141,107 @@ def test_empty_tree(spark):
 
 
 # --- golden values ------------------------------------------------------------------------------------------
-def test_branching_order(plant):
-    assert column(A.branching_order(plant), "branching_order") == [1, 1, 1, 1, 2, 1, 2]
-    # a leaf counts 1 without its own "+", and no inner node branches here
-    assert column(A.branching_order(plant, False), "branching_order") == [1] * 7
+def test_branching_order(orchard):
+    assert column(A.branching_order(orchard), "branching_order") == [1, 1, 1, 1, 2, 2, 1, 2, 2, 1]
+    # a leaf counts 1 without its own "+"; the bud with a fruit is inner and branches
+    assert column(A.branching_order(orchard, False), "branching_order") == [2, 2, 2, 2, 2, 1, 1, 1, 1, 1]
 
 
-def test_total_length(plant):
-    rows = {r.start_id: r.s for r in A.subtree_agg(plant, self=True, s=F.round(F.sum("Length"), 6)).collect()}
-    assert rows[1] == 0.6
+def test_total_length(orchard):
+    rows = {r.start_id: r.s for r in A.subtree_agg(orchard, self=True, s=F.round(F.sum("Length"), 6)).collect()}
+    assert rows[1] == 9.0 and rows[7] == 4.5
 
 
-def test_descendants_and_ancestors(plant):
-    lists = {r.start_id: r.Width for r in Q.values(Q.descendants(plant, "Width"), "Width").collect()}
-    assert lists[1] == [None, None, 0.02, 0.1, 0.02, 0.1]
-    up = {r.start_id: r.Width for r in Q.values(Q.ancestors(plant, "Width"), "Width", "dist").collect()}
-    assert up[7] == [0.02, 0.02, None, None, None]
-    assert [r.node_id for r in Q.ancestors(plant, None, 7, symbol="Internode", recursivity_level=1).collect()] == [6]
-    assert [r.node_id for r in Q.descendants(plant, None, 1, symbol=["Leaf"]).orderBy("tin").collect()] == [5, 7]
-    closure = Q.descendants(plant.with_nodes(plant.nodes, strategy="closure"), "Width", 4, symbol="Leaf")
-    assert sorted(closure.collect()) == sorted(Q.descendants(plant, "Width", 4, symbol="Leaf").collect())
-    assert [r.node_id for r in Q.traverse(plant, symbol=["Scene", "Individual", "Axis", "Leaf"], all=False).orderBy("tin").collect()] == [1, 2, 3]
-    assert [r.node_id for r in Q.get_descendant(plant, [1, 1, 1, 2]).collect()] == [6]
+def test_descendants_and_ancestors(orchard):
+    lists = {r.start_id: r.Length for r in Q.values(Q.descendants(orchard, "Length"), "Length").collect()}
+    assert lists[1] == [None, None, 4.5, None, None, 3.0, 1.5, None, None]
+    up = {r.start_id: r.Length for r in Q.values(Q.ancestors(orchard, "Length"), "Length", "dist").collect()}
+    assert up[8] == [3.0, 4.5, None, None, None]
+    assert [r.node_id for r in Q.ancestors(orchard, None, 8, symbol="Shoot", recursivity_level=1).collect()] == [7]
+    assert [r.node_id for r in Q.descendants(orchard, None, 1, symbol=["Bud"]).orderBy("tin").collect()] == [5, 9]
+    closure = Q.descendants(orchard.with_nodes(orchard.nodes, strategy="closure"), "Length", 4, symbol="Shoot")
+    assert sorted(closure.collect()) == sorted(Q.descendants(orchard, "Length", 4, symbol="Shoot").collect())
+    assert [r.node_id for r in Q.traverse(orchard, symbol=["Scene", "Tree", "Limb", "Bud"], all=False).orderBy("tin").collect()] == [1, 2, 3, 10]
+    assert [r.node_id for r in Q.get_descendant(orchard, [1, 1, 1, 2]).collect()] == [7]
 
 
-def test_delete_and_prune(plant):
-    tree = E.delete_node(plant, 3)
-    assert tree.nodes.count() == 6
+def test_delete_and_prune(orchard):
+    tree = E.delete_node(orchard, 3)
+    assert tree.nodes.count() == 9
     tree = E.delete_node(tree, 4)
-    assert {r.node_id: r.link for r in tree.nodes.collect()}[6] == "/"
-    assert sorted(column(E.prune(plant, 6).nodes, "node_id")) == [1, 2, 3, 4, 5]
-    root = E.delete_node(plant, 1)
+    links = {r.node_id: (r.parent_id, r.link) for r in tree.nodes.collect()}
+    assert links[7] == (2, "/") and links[5] == (2, "+")
+    assert sorted(column(E.prune(orchard, 7).nodes, "node_id")) == [1, 2, 3, 4, 5, 6, 10]
+    root = E.delete_node(orchard, 1)
     assert [r.node_id for r in root.nodes.where("parent_id is null").collect()] == [2]
     with pytest.raises(Exception, match="prune"):
-        E.prune(plant, 1).nodes.collect()
-    two = E.delete_nodes(plant, symbol=["Individual", "Axis", "Internode"])
+        E.prune(orchard, 1).nodes.collect()
+    two = E.delete_nodes(orchard, symbol=["Tree", "Limb", "Shoot"])
     with pytest.raises(Exception, match="root"):
         E.delete_node(two, 1).nodes.collect()
 
 
-def test_inserts(plant):
+def test_inserts(orchard):
     new = {"link": "/", "symbol": "X", "index": 0, "scale": 1}
-    top = E.insert_parent(plant, 1, new)
-    assert {r.node_id: r.parent_id for r in top.nodes.collect()}[1] == 8
+    top = E.insert_parent(orchard, 1, new)
+    assert {r.node_id: r.parent_id for r in top.nodes.collect()}[1] == 11
     with pytest.raises(Exception, match="siblings"):
-        E.insert_sibling(plant, 1, new).nodes.collect()
-    tree = E.insert_children(plant, new, {"total": F.col("Length") * 2}, symbol="Internode")
-    assert [(r.node_id, r.parent_id, r.child_ord, r.total) for r in tree.nodes.where("symbol = 'X'").orderBy("node_id").collect()] == [(8, 6, 2, 0.2), (9, 4, 3, 0.2)]
-    tree = E.insert_generations(plant, new, symbol="Internode", all=False)
-    assert {r.node_id: r.parent_id for r in tree.nodes.collect()} == {1: None, 2: 1, 3: 2, 4: 3, 5: 8, 6: 8, 7: 6, 8: 4}
+        E.insert_sibling(orchard, 1, new).nodes.collect()
+    tree = E.insert_children(orchard, new, {"total": F.col("Length") * 2}, symbol="Shoot")
+    assert [(r.node_id, r.parent_id, r.child_ord, r.total) for r in tree.nodes.where("symbol = 'X'").orderBy("node_id").collect()] == [(11, 8, 1, 3.0), (12, 7, 3, 6.0), (13, 4, 3, 9.0)]
+    tree = E.insert_generations(orchard, new, symbol="Shoot", all=False)
+    assert {r.node_id: r.parent_id for r in tree.nodes.collect()} == {1: None, 2: 1, 3: 2, 4: 3, 5: 11, 6: 5, 7: 11, 8: 7, 9: 7, 10: 2, 11: 4}
     assert A.get_classes(tree).where("SYMBOL = 'X'").count() == 1
 
 
-def test_transform_forms(plant):
-    tree = C.transform(plant, ("Length", "L"), ("L", lambda x: x * 2, "M"), (["L", "M"], lambda a, b: a + b), ("L", F.sqrt), (lambda t: F.col("index"), "i"), "L", symbol="Leaf")
-    assert set(tree.attributes) >= {"L", "M", "L_M_function", "L_sqrt", "i", "Length"}
-    assert column(tree.nodes.where("symbol = 'Leaf'"), "M") == [0.4, 0.4]
-    assert column(tree.nodes.where("symbol = 'Internode'"), "Length") == [0.1, 0.1]
-    assert C.select(plant, ("Length", lambda x: x, "l"), "Width").attributes == ["Width", "l"]
+def test_transform_forms(orchard):
+    tree = C.transform(orchard, ("girth", "L"), ("L", lambda x: x * 2, "M"), (["L", "M"], lambda a, b: a + b), ("L", F.sqrt), (lambda t: F.col("index"), "i"), "L", symbol="Shoot")
+    assert set(tree.attributes) >= {"L", "M", "L_M_function", "L_sqrt", "i", "girth"}
+    assert column(tree.nodes.where("symbol = 'Shoot'"), "M") == [2.5, 1.5, None]
+    assert column(tree.nodes.where("symbol = 'Fruit'"), "girth") == [6.0]
+    assert C.select(orchard, ("Length", lambda x: x, "l"), "girth").attributes == ["girth", "l"]
 
 
-def test_schema(plant):
+def test_schema(orchard):
     with pytest.raises(ValueError):
-        S.add_column(plant, "Leaf", "Length", "double")
-    tree = S.drop_column(S.add_column(plant, ["Leaf", "Fruit"], "sugar", "double", 1.0), "Leaf", "Width")
-    assert tree.has("Fruit", "sugar") and not tree.has("Leaf", "Width") and tree.has("Internode", "Width")
+        S.add_column(orchard, "Shoot", "Length", "double")
+    tree = S.drop_column(S.add_column(orchard, ["Bud", "Leaf"], "sugar", "double", 1.0), "Shoot", "girth")
+    assert tree.has("Leaf", "sugar") and not tree.has("Shoot", "girth") and tree.has("Fruit", "girth")
     with pytest.raises(ValueError):
-        S.rename_column(plant, "Leaf", "Length", "Width")
-    assert S.rename_column(plant, "Axis", "Length", "Wide") is plant
-    values, rest = C.pop(plant, "Width", "Leaf")
-    assert [r.Width for r in values.collect()] == [0.1, 0.1] and not rest.has("Leaf", "Width")
+        S.rename_column(orchard, "Shoot", "Length", "girth")
+    assert S.rename_column(orchard, "Limb", "Length", "Wide") is orchard
+    values, rest = C.pop(orchard, "Length", "Shoot")
+    assert sorted(r.Length for r in values.collect()) == [1.5, 3.0, 4.5] and not rest.has("Shoot", "Length")
 
 
-def test_tables_and_drawing(plant):
-    assert X.to_table(plant, "Leaf", sink=lambda df: df.count()) == 2
-    assert X.symbol_table(plant, "Nothing").count() == 0
-    assert X.to_table(plant, variables=["Length", "none"]).columns[-3:] == ["Length", "none", "tin"]
+def test_tables_and_drawing(orchard):
+    assert X.to_table(orchard, "Bud", sink=lambda df: df.count()) == 2
+    assert X.symbol_table(orchard, "Nothing").count() == 0
+    assert X.to_table(orchard, variables=["Length", "none"]).columns[-3:] == ["Length", "none", "tin"]
     with pytest.raises(TypeError):
-        X.to_table(plant, sink=3)
-    vertices, edges = X.to_graph(plant)
-    assert (vertices.count(), edges.count()) == (7, 6)
-    assert X.drawing(plant, limit=3).split("\n")[-1] == "⋮"
-    assert "├─ 5: +Leaf0" in X.drawing(plant)
+        X.to_table(orchard, sink=3)
+    vertices, edges = X.to_graph(orchard)
+    assert (vertices.count(), edges.count()) == (10, 9)
+    assert X.drawing(orchard, limit=3).split("\n")[-1] == "⋮"
+    assert "├─ 5: +Bud1" in X.drawing(orchard)
 
 
-def test_warnings_and_cache(plant):
+def test_warnings_and_cache(orchard):
     with pytest.warns(UserWarning, match="Flower"):
-        check_filters(plant, symbol="Flower")
-    cache = Q.NodeCache(plant)
-    assert cache.cache_nodes(symbol="Leaf").count() == 2
+        check_filters(orchard, symbol="Flower")
+    cache = Q.NodeCache(orchard)
+    assert cache.cache_nodes(symbol="Bud").count() == 2
     with pytest.raises(ValueError):
-        cache.cache_nodes(symbol="Leaf")
-    assert cache.nodes(symbol="Leaf") is not None and len(cache.clean_cache()) == 1 and cache.nodes(symbol="Leaf") is None
+        cache.cache_nodes(symbol="Bud")
+    assert cache.nodes(symbol="Bud") is not None and len(cache.clean_cache()) == 1 and cache.nodes(symbol="Bud") is None
 
 
-def test_equality_and_rechildren(plant):
-    assert C.trees_equal(plant, plant)
-    changed = C.set_attribute(plant, "Width", 9.0, F.col("node_id") == 7)
-    assert [r.node_id for r in C.equal_nodes(plant, changed).where("not equal").collect()] == [7]
-    tree = E.rechildren(plant, 4, [7, 5])
-    assert {(r.node_id, r.parent_id, r.child_ord) for r in tree.nodes.where("node_id in (5, 6, 7)").collect()} == {(7, 4, 1), (5, 4, 2), (6, None, 2)}
+def test_equality_and_rechildren(orchard):
+    assert C.trees_equal(orchard, orchard)
+    changed = C.set_attribute(orchard, "girth", 9.0, F.col("node_id") == 8)
+    assert [r.node_id for r in C.equal_nodes(orchard, changed).where("not equal").collect()] == [8]
+    tree = E.rechildren(orchard, 4, [9, 5])
+    assert {(r.node_id, r.parent_id, r.child_ord) for r in tree.nodes.where("node_id in (5, 7, 9)").collect()} == {(9, 4, 1), (5, 4, 2), (7, None, 2)}
 
 
 def test_unify_widens(spark):
