@@ -26,6 +26,6 @@ def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     ``large_rows``: rows of megabytes, so the writer looks at its memory after each of them.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    options = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)} if large_rows else {}
+    options = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20), "compression": "zstd"} if large_rows else {}
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
