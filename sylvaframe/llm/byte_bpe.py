@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the distinct words of a block of documents.
 
 A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a block
-row holds its distinct words once, as arrays of the ids of their bytes, and each document as word numbers. Spark's higher-order
+row holds its distinct words once, as arrays of their bytes' ids and of the ranks of neighbours, and each document as word numbers. Spark's higher-order
 functions fold the merges over every distinct word: a step merges the leftmost place of the pair with the lowest rank, in long words all its places from the left. Ranks
 come from a constant rank map of integers: of every two tokens that together are a token. A last step expands
 the word numbers into token ids. No text is shuffled, and a lost executor costs only its own splits.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Codes, contractions, differing, distinct_spans, id_text, ranges, span_hashes, stored, text_chunks
+from .common import CHUNK_BYTES, Codes, contractions, differing, distinct_spans, id_text, ranges, span_hashes, stored, text_chunks
 
 BLOCK_BYTES = 8 << 20
 #: The most words whose ids are shared by all tasks (about 50 bytes each).
@@ -35,8 +35,8 @@ FREQUENT = 300_000
 COUNTED = 150_000
 #: Tokens of a word above which a step merges all places of the lowest pair, not the first.
 MANY = 64
-#: Ids are below LIMIT; two of them make a pair's key.
-LIMIT = 131_071
+#: Ids are below LIMIT, two of them make a pair's key; NONE is no id and no rank.
+LIMIT = NONE = 131_071
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -149,13 +149,30 @@ class RankMap:
                 move += 1
             free[at], self.moves[g], self.cells[at] = False, move, keys[mine] << self.BITS | values[mine]
 
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.first = np.full(1 << 16, NONE, np.int64)  # of two bytes the rank and the first one's id
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0] << 8 | token[1]] = rank
+        self.first = self.first << self.BITS | np.repeat(byte_ids, 256)
+        self.last = NONE << self.BITS | byte_ids
+
     def constant(self, spark: SparkSession) -> Column:
         return constant(spark, cells=self.cells, moves=self.moves)
 
+    def start(self, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.ListArray:
+        """Words of bytes as the fold takes them: a mark, a number for each byte (the rank of its pair with the next, and its id), a mark."""
+        ends = np.cumsum(size + 2)
+        out = np.full(ends[-1] if len(ends) else 0, NONE << self.BITS | NONE, np.int64)
+        at, b = ranges(ends - size - 1, size), raw[ranges(first, size)].astype(np.int64)
+        out[at] = self.first[b << 8 | np.append(b[1:], 0)]
+        out[ends - 2] = self.last[b[np.cumsum(size) - 1]]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+
     def rank(self, key: Column, table: Column) -> Column:
-        """The rank of a pair, or a number above all ranks; null for a null key."""
+        """The rank of a pair, or NONE."""
         cell = F.get(table.cells, F.pmod(key + F.get(table.moves, F.pmod(key, F.lit(self.groups))), F.lit(self.size)))
-        return cell.bitwiseXOR(F.shiftleft(key, self.BITS))
+        return F.least(cell.bitwiseXOR(F.shiftleft(key, self.BITS)), F.lit(NONE))
 
 
 def constant(spark: SparkSession, **arrays) -> Column:
@@ -171,47 +188,47 @@ def _let(value: Column, body) -> Column:
 
 
 def merged_ids(word: Column, ranks: RankMap, table: Column) -> Column:
-    """Token ids of a word (array<bigint>: the ids of its bytes)."""
+    """Token ids (array<bigint>) of a word as ``RankMap.start`` gives it."""
+    bits, one = RankMap.BITS, F.lit(1 << RankMap.BITS)
 
-    def rank(key):
-        return F.coalesce(ranks.rank(key, table), F.lit(RankMap.EMPTY))
-
-    def struct(tokens, r):
-        return F.struct(tokens.alias("t"), r.alias("r"), F.array_min(r).alias("least"))
+    def token(x):
+        return x.bitwiseAND(F.lit(NONE))
 
-    def state(tokens):
-        keys = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: a * F.lit(LIMIT) + b)
-        return _let(F.transform(keys, rank), lambda r: struct(tokens, r))
+    def rank(key):
+        return ranks.rank(key, table)
 
     def without(array, change):
         """The array with changes by place, without what becomes null."""
         return F.filter(F.transform(array, change), lambda x: x.isNotNull())
 
-    def first_place(s):
-        def at(p):
-            def joined(new):
-                tokens = without(s.t, lambda x, i: F.when(i == p, F.lit(None)).when(i == p - 1, s.least).otherwise(x))
-                r = without(s.r, lambda x, i: F.when(i == p, F.lit(None)).when(i == p - 1, F.get(new, F.lit(1))).when(i == p - 2, F.get(new, F.lit(0))).otherwise(x))
-                return _let(r, lambda r: struct(tokens, r))
-
-            return _let(F.transform(F.array(F.get(s.t, p - 2) * F.lit(LIMIT) + s.least, s.least * F.lit(LIMIT) + F.get(s.t, p + 1)), rank), joined)
+    def first_place(parts, new, p):
+        def joined(two):
+            return without(
+                parts,
+                lambda x, i: F.when(i > p, x).when(i == p, F.lit(None)).when(i == p - 1, F.get(two, F.lit(1)) * one + new).when(i == p - 2, F.get(two, F.lit(0)) * one + token(x)).otherwise(x),
+            )
 
-        return _let(F.array_position(s.r, s.least).cast("int"), at)
+        return _let(F.transform(F.array(token(F.get(parts, p - 2)) * F.lit(LIMIT) + new, new * F.lit(LIMIT) + token(F.get(parts, p + 1))), rank), joined)
 
-    def many_places(s):
+    def every_place(parts, places, new):
         # the places as text, as one that touches the place merged before it is not merged
-        places = F.array_join(F.transform(s.r, lambda x: F.when(x == s.least, F.lit("1")).otherwise(F.lit("0"))), "")
-        merged = _let(
-            F.split(F.replace(places, F.lit("11"), F.lit("1-")), ""),
-            lambda f: without(s.t, lambda x, i: F.when(F.get(f, i) == "1", s.least).when(F.get(f, i - 1) == "1", F.lit(None)).otherwise(x)),
+        marks = F.array_join(F.transform(places, lambda x: F.when(x == new, F.lit("1")).otherwise(F.lit("0"))), "")
+        tokens = _let(
+            F.split(F.replace(marks, F.lit("11"), F.lit("1-")), ""),
+            lambda f: without(parts, lambda x, i: F.when(F.get(f, i) == "1", new).when(F.get(f, i - 1) == "1", F.lit(None)).otherwise(token(x))),
         )
-        return _let(merged, state)
+        return _let(tokens, lambda t: F.transform(t, lambda x, i: rank(x * F.lit(LIMIT) + F.coalesce(F.get(t, i + 1), F.lit(NONE))) * one + x))
+
+    def step(parts, _):
+        def lowest(places, new):
+            # both give the same; all places at once pay where a word has many
+            many = F.size(parts) > MANY
+            return F.when(new == NONE, parts).when(many, every_place(parts, places, new)).otherwise(_let(F.array_position(places, new).cast("int"), lambda p: first_place(parts, new, p)))
 
-    def step(s, _):
-        # both give the same; all places at once pay where a word has many
-        return F.when(s.least < LIMIT, F.when(F.size(s.t) > MANY, many_places(s)).otherwise(first_place(s))).otherwise(s)
+        return _let(F.transform(parts, lambda x: F.shiftright(x, bits)), lambda places: _let(F.array_min(places), lambda new: lowest(places, new)))
 
-    return F.aggregate(F.sequence(F.lit(2), F.size(word)), _let(word, state), step, lambda s: s.t)
+    whole = F.aggregate(F.sequence(F.lit(4), F.greatest(F.size(word), F.lit(4))), word, step)
+    return F.filter(F.transform(whole, token), lambda x: x != NONE)
 
 
 def _chunk_words(texts: list[str], joints: Joints | None):
@@ -243,7 +260,7 @@ def frequent_words(src: DataFrame, joints, most: int = FREQUENT) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for a, b in text_chunks(batch.column(0)):
+            for a, b in text_chunks(batch.column(0), CHUNK_BYTES // 2):
                 raw, first, last, which, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist(), joints.value)
                 text = raw.tobytes()
                 for x, y, k in zip(first.tolist(), last.tolist(), np.bincount(which, minlength=len(first)).tolist()):
@@ -303,11 +320,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     context = docs.sparkSession.sparkContext
     pairs, alone = RankMap(ranks), unreachable(ranks)
     table = pairs.constant(docs.sparkSession)
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     joints = context.broadcast(None if alone else Joints(ranks))  # 2 MB; words stay whole where a whole word may be a token that merges do not give
-    started = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(F.lit(byte_ids.tolist()).cast("array<bigint>"), F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int")))
-    often = frequent_words(src, joints, frequent).repartition(max(8, context.defaultParallelism), "word")
-    found = often.withColumn("_ranks", table).select("word", merged_ids(started, pairs, F.col("_ranks")).alias("ids")).toArrow()  # at most ``frequent`` words
+
+    def started(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pairs.start(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)], ["word", "start"])
+
+    often = frequent_words(src, joints, frequent).repartition(max(8, context.defaultParallelism), "word").mapInArrow(started, "word binary, start array<bigint>")
+    found = often.withColumn("_ranks", table).select("word", merged_ids(F.col("start"), pairs, F.col("_ranks")).alias("ids")).toArrow()  # at most ``frequent`` words
     ids = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
     single = pa.array([[ranks[w]] for w in alone], pa.list_(pa.int64()))
     shared = context.broadcast(Known([*alone, *found["word"].to_pylist()], pa.concat_arrays([single, ids.cast(single.type)])))  # bounded by ``frequent`` and the vocabulary
@@ -331,11 +353,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
             for c in chunks:
                 out.append(code[offset : offset + len(c[0])][c[3]])
                 offset += len(c[0])
-            words = pa.array(byte_ids[raw[ranges((end - size)[new_one], size[new_one])]])
-            cuts = pa.array(np.concatenate([[0], np.cumsum(size[new_one])]), pa.int32())
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(new_one)], pa.int32()), pa.ListArray.from_arrays(cuts, words)),
+                    pa.ListArray.from_arrays(pa.array([0, len(new_one)], pa.int32()), pairs.start(raw, (end - size)[new_one], size[new_one])),
                     pa.array([flat.tobytes()], pa.binary()),
                     pa.array([many.astype("<i4").tobytes()], pa.binary()),
                     pa.array([ids], pa.list_(id_type)),
@@ -347,7 +367,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
 
         for batch in batches:
             id_type = batch.column(0).type
-            for a, b in text_chunks(batch.column("text")):
+            for a, b in text_chunks(batch.column("text"), CHUNK_BYTES // 2):
                 texts = batch.column("text").slice(a, b - a).to_pylist()
                 raw, first, last, which, n = _chunk_words(texts, joints.value)
                 place = known.find(raw, first, last)
