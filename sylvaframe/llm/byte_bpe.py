@@ -1,14 +1,11 @@
 """Byte-level BPE: ranked merges folded over the distinct words of a block of documents.
 
 A task splits its texts into words with numpy and gathers blocks of about ``BLOCK_BYTES`` of text; a block
-row holds its distinct words once, as arrays of their bytes' ids and of the ranks of neighbours, and each document as word numbers. Spark's higher-order
-functions fold the merges over every distinct word: a step merges the leftmost place of the pair with the lowest rank, in long words all its places from the left. Ranks
-come from a constant rank map of integers: of every two tokens that together are a token. A last step expands
-the word numbers into token ids. No text is shuffled, and a lost executor costs only its own splits.
-
-Words that many tasks meet are folded once for all: a first pass counts words over the corpus, the
-most frequent ones (at most ``FREQUENT``) go through the same fold, and their ids reach the
-tasks as one broadcast of bounded size. All other words are folded where their block is.
+row holds its distinct words once, as arrays of their bytes' ids and of the ranks of neighbours, and each document as word numbers.
+Spark's higher-order functions fold the merges over every distinct word: a step merges the leftmost place of the pair with the
+lowest rank, in long words all its places from the left. Ranks come from a constant rank map of integers: of every two tokens that
+together are a token. A last step expands the word numbers into token ids. No text is shuffled, nothing is collected,
+and a lost executor costs only its own splits.
 
 A word is cut where no token of the vocabulary can reach across, judged by the two and three bytes around
 the place; its parts are then words of their own. So long words cost little more than their length, whatever it is.
@@ -26,13 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Codes, contractions, differing, distinct_spans, id_text, ranges, span_hashes, stored, text_chunks
+from .common import CHUNK_BYTES, Codes, contractions, distinct_spans, id_text, ranges, stored, text_chunks
 
-BLOCK_BYTES = 8 << 20
-#: The most words whose ids are shared by all tasks (about 50 bytes each).
-FREQUENT = 300_000
-#: Words that a task counts before it sends their numbers on.
-COUNTED = 150_000
+BLOCK_BYTES = 32 << 20
 #: Tokens of a word above which a step merges all places of the lowest pair, not the first.
 MANY = 64
 #: Ids are below LIMIT, two of them make a pair's key; NONE is no id and no rank.
@@ -249,131 +242,49 @@ def _chunk_words(texts: list[str], joints: Joints | None):
     return raw, first[one], last[one], which, counts
 
 
-def frequent_words(src: DataFrame, joints, most: int = FREQUENT) -> DataFrame:
-    """``word`` (binary) of the words with the highest counts in the column ``text``, at most ``most`` and none that
-    occur once. ``joints`` is a broadcast."""
-
-    def count(batches):
-        seen: dict[bytes, int] = {}
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for a, b in text_chunks(batch.column(0), CHUNK_BYTES // 2):
-                raw, first, last, which, _ = _chunk_words(batch.column(0).slice(a, b - a).to_pylist(), joints.value)
-                text = raw.tobytes()
-                for x, y, k in zip(first.tolist(), last.tolist(), np.bincount(which, minlength=len(first)).tolist()):
-                    w = text[x:y]
-                    seen[w] = seen.get(w, 0) + k
-                if len(seen) > COUNTED:
-                    yield rows()
-                    seen = {}
-        yield rows()
-
-    counted = stored(src.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
-    # the least count that keeps the number of words in bounds, found on the counts of counts
-    level = F.floor(F.log2("n") * 8).cast("int")
-    held, least = 0, None
-    for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():  # at most 512 rows
-        held += r.words
-        if held > most:
-            break
-        least = r.n
-    return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
-
-
-class Known:
-    """Ids of frequent words in flat arrays, found by a hash of the word and then compared byte by byte."""
-
-    def __init__(self, words: list[bytes], lists: list[list[int]] | pa.ListArray):
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        h = span_hashes(raw, np.cumsum(size) - size, np.cumsum(size))
-        order = np.argsort(h, kind="stable")
-        order = order[np.append(True, h[order[1:]] != h[order[:-1]])] if len(order) else order  # of two with one hash only one is known
-        self.h, self.raw, self.begin, self.long = h[order], raw, (np.cumsum(size) - size)[order], size[order]
-        lists = lists if isinstance(lists, pa.ListArray) else pa.array(lists, pa.list_(pa.int64()))
-        many = lists.value_lengths().to_numpy().astype(np.int64)
-        self.flat, self.first, self.size = lists.flatten().to_numpy().astype("<u4"), (np.cumsum(many) - many)[order], many[order]
-
-    def find(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Places of the words, -1 where unknown."""
-        if not len(self.h):
-            return np.full(len(first), -1, np.int64)
-        h = span_hashes(raw, first, last)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = np.flatnonzero((self.h[at] == h) & (self.long[at] == last - first))
-        hit = hit[~differing(raw, first[hit], self.raw, self.begin[at[hit]], self.long[at[hit]])]
-        out = np.full(len(first), -1, np.int64)
-        out[hit] = at[hit]
-        return out
-
-    def lists(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.flat[ranges(self.first[places], self.size[places])], self.size[places]
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, frequent: int = FREQUENT) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id``, ``ids`` (array<int>) and ``ids_bytes`` (the ids as little-endian unsigned 32-bit) of each row."""
     src = id_text(docs, id_col, text_col)
     kind = dict(src.dtypes)["doc_id"]
-    context = docs.sparkSession.sparkContext
-    pairs, alone = RankMap(ranks), unreachable(ranks)
-    table = pairs.constant(docs.sparkSession)
-    joints = context.broadcast(None if alone else Joints(ranks))  # 2 MB; words stay whole where a whole word may be a token that merges do not give
-
-    def started(batches):
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pairs.start(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)], ["word", "start"])
-
-    often = frequent_words(src, joints, frequent).repartition(max(8, context.defaultParallelism), "word").mapInArrow(started, "word binary, start array<bigint>")
-    found = often.withColumn("_ranks", table).select("word", merged_ids(F.col("start"), pairs, F.col("_ranks")).alias("ids")).toArrow()  # at most ``frequent`` words
-    ids = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
-    single = pa.array([[ranks[w]] for w in alone], pa.list_(pa.int64()))
-    shared = context.broadcast(Known([*alone, *found["word"].to_pylist()], pa.concat_arrays([single, ids.cast(single.type)])))  # bounded by ``frequent`` and the vocabulary
+    pairs, alone = RankMap(ranks), {w: ranks[w] for w in unreachable(ranks)}
+    # 2 MB; words stay whole where a whole word may be a token that merges do not give
+    joints = docs.sparkSession.sparkContext.broadcast(None if alone else Joints(ranks))
+
+    def started(raw, first, size):
+        words = pairs.start(raw, first, size)
+        if alone:
+            text, mark = raw.tobytes(), NONE << RankMap.BITS
+            found = (alone.get(text[a : a + n]) for a, n in zip(first.tolist(), size.tolist()))
+            words = pa.array([w if i is None else [mark | NONE, mark | i, mark | NONE] for w, i in zip(words.to_pylist(), found)], words.type)
+        return words
 
     def pack(batches):
-        known = shared.value
         ids, counts, chunks, held = [], [], [], 0
 
         def block():
-            # the distinct words of all chunks: known ones by their place, others by their bytes
-            place = np.concatenate([c[0] for c in chunks])
-            raw, size = np.concatenate([c[1] for c in chunks]), np.concatenate([c[2] for c in chunks])
+            # the distinct words of all chunks
+            raw, size = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
             end = np.cumsum(size)
-            new_one, new_which = distinct_spans(raw, end - size, end)
-            old, old_which = np.unique(place[place >= 0], return_inverse=True)
-            code = np.empty(len(place), np.int64)
-            code[place >= 0] = old_which
-            code[place < 0] = len(old) + new_which
-            flat, many = known.lists(old)
+            one, code = distinct_spans(raw, end - size, end)
             offset, out = 0, []
             for c in chunks:
-                out.append(code[offset : offset + len(c[0])][c[3]])
-                offset += len(c[0])
+                out.append(code[offset : offset + len(c[1])][c[2]])
+                offset += len(c[1])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(new_one)], pa.int32()), pairs.start(raw, (end - size)[new_one], size[new_one])),
-                    pa.array([flat.tobytes()], pa.binary()),
-                    pa.array([many.astype("<i4").tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), started(raw, (end - size)[one], size[one])),
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([np.concatenate(counts).astype("<i4").tobytes()], pa.binary()),
                     pa.array([np.concatenate(out).astype("<i4").tobytes()], pa.binary()),
                 ],
-                ["words", "known_ids", "known_sizes", "doc_ids", "counts", "codes"],
+                ["words", "doc_ids", "counts", "codes"],
             )
 
         for batch in batches:
             id_type = batch.column(0).type
             for a, b in text_chunks(batch.column("text"), CHUNK_BYTES // 2):
-                texts = batch.column("text").slice(a, b - a).to_pylist()
-                raw, first, last, which, n = _chunk_words(texts, joints.value)
-                place = known.find(raw, first, last)
-                new = place < 0
-                size = (last - first)[new]
-                chunks.append((place, raw[ranges(first[new], size)], size, which.astype(np.int32)))
+                raw, first, last, which, n = _chunk_words(batch.column("text").slice(a, b - a).to_pylist(), joints.value)
+                chunks.append((raw[ranges(first, last - first)], last - first, which.astype(np.int32)))
                 counts.append(n)
                 ids += batch.column(0).slice(a, b - a).to_pylist()
                 held += len(raw)
@@ -388,9 +299,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 pieces = one.column("pieces").flatten()
-                size = np.concatenate([np.frombuffer(one.column("known_sizes")[0].as_py(), "<i4"), pieces.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
+                size = pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.cumsum(size) - size
-                flat = np.concatenate([np.frombuffer(one.column("known_ids")[0].as_py(), "<u4"), pieces.flatten().to_numpy().astype("<u4")])
+                flat = pieces.flatten().to_numpy().astype("<u4")
                 counts = np.frombuffer(one.column("counts")[0].as_py(), "<i4").astype(np.int64)
                 codes = np.frombuffer(one.column("codes")[0].as_py(), "<i4")
                 doc_ids = one.column("doc_ids").flatten()
@@ -415,8 +326,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     a = b
 
     # stored, so that a task of either half has one Python worker
-    blocks = stored(src.mapInArrow(pack, f"words array<array<bigint>>, known_ids binary, known_sizes binary, doc_ids array<{kind}>, counts binary, codes binary"), "blocks", large_rows=True)
-    folded = blocks.withColumn("_ranks", table).withColumn("pieces", F.transform("words", lambda w: merged_ids(w, pairs, F.col("_ranks")))).drop("words", "_ranks")
+    blocks = stored(src.mapInArrow(pack, f"words array<array<bigint>>, doc_ids array<{kind}>, counts binary, codes binary"), "blocks", large_rows=True)
+    folded = blocks.withColumn("_ranks", pairs.constant(docs.sparkSession)).withColumn("pieces", F.transform("words", lambda w: merged_ids(w, pairs, F.col("_ranks")))).drop("words", "_ranks")
     return folded.mapInArrow(unpack, f"doc_id {kind}, ids array<int>, ids_bytes binary")
 
 
