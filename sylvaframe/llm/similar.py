@@ -31,7 +31,7 @@ from .simhash import first_rows, near_codewords
 SHINGLE = 5
 SIMILARITY = 0.8
 DISTANCE = 24
-CROWD = 256
+CROWD = 8
 SEGMENTS, WIDTH = 4, 23
 _WORD = np.uint64((1 << WIDTH) - 1)
 
@@ -188,15 +188,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = stored(pairs.union(shared.where("content <> hub").select("hub", "content")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     found = _similar(pairs, nodes, src, shingle, similarity)
 
-    # crowds: keys with many fingerprints, fingerprints with several contents, and fingerprints that met only by their first contents
-    crowds = met.where("crowd <> -1").select("low", "high", F.col("crowd").cast("string").alias("crowd"))
+    # crowds (two of one number only mean more comparisons): keys with many fingerprints, fingerprints with several contents, and fingerprints that met only by their first contents
+    crowds = met.where("crowd <> -1").select("low", "high", "crowd")
     crowds = crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high")
     several = prints.where("n > 1").select("low", "high")
     linked = met.where("crowd = -1").select(*_PAIR)
     ends = linked.join(several, ["low", "high"]).union(linked.select("low2", "high2", "low", "high").toDF(*_PAIR).join(several, ["low", "high"]))
     ends = ends.select(F.least(F.struct("low", "high"), F.struct(F.col("low2").alias("low"), F.col("high2").alias("high"))).alias("p"), F.greatest(F.struct("low", "high"), F.struct(F.col("low2").alias("low"), F.col("high2").alias("high"))).alias("q")).distinct()
-    named = ends.select(F.explode(F.array("p", "q")).alias("e"), F.concat_ws(",", F.col("p.low"), F.col("p.high"), F.col("q.low"), F.col("q.high")).alias("crowd")).select("crowd", "e.low", "e.high")
-    named = named.union(several.select(F.concat_ws(",", "low", "high"), "low", "high"))
+    named = ends.select(F.explode(F.array("p", "q")).alias("e"), F.xxhash64("p", "q").alias("crowd")).select("crowd", "e.low", "e.high")
+    named = named.union(several.select(F.xxhash64("low", "high"), "low", "high"))
     crowds = stored(crowds.union(named.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high")), "crowds")
     roots = connected_components(found)
     if not crowds.isEmpty():
