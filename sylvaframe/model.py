@@ -30,6 +30,10 @@ class TreeFrame:
     strategy: str = "auto"  # of descendants: closure, interval or auto
     topology: TreeFrame | None = None  # a frame with the same nodes and parents, whose index holds here, too
 
+    def __post_init__(self):
+        if self.strategy not in ("auto", "closure", "interval"):
+            raise ValueError("strategy must be auto, closure or interval")
+
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession

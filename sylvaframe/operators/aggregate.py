@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored
-from .filters import Filter
-from .index import KEY, closure, path_sums, sum_before
+from .filters import Filter, navigating
+from .index import KEY, closure, path_sums, subtree_sums, sum_before
 
 
+@navigating
 def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: Column) -> DataFrame:
     """One row per start node with aggregates over the columns of the nodes below it.
 
@@ -28,6 +29,7 @@ def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, l
     return rows.groupBy("tree_id", F.col("anc_id").alias("start_id")).agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
+@navigating
 def path_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: Column) -> DataFrame:
     """One row per start node with aggregates over the columns of the nodes above it."""
     columns = [c for c in tree.nodes.columns if c not in KEY]
@@ -42,14 +44,42 @@ def path_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link
     return rows.join(up, ["tree_id", "anc_id"]).groupBy("tree_id", F.col("node_id").alias("start_id")).agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
+@navigating
+def subtree_totals(tree, self: bool = False, scale=None, symbol=None, link=None, where=None, **columns: str) -> DataFrame:
+    """``start_id``, ``n``, the number of passing nodes below each node, and by name the sums of columns of whole numbers over
+    them (null where none has a value). Start nodes without passing nodes have no row.
+
+    The result of ``subtree_agg`` with counts and sums, by sums over the pre-order: a few rows for each node, however deep the trees.
+    """
+    passes = Filter(scale, symbol, link, where).column()
+    rows = tree.indexed.withColumn("_passes", passes)
+
+    def parts():  # sums of positive and of negative numbers apart, as running sums go up only
+        yield F.col("_passes").cast("int"), "n"
+        for k, c in columns.items():
+            v = F.when(F.col("_passes"), F.col(c).cast("bigint"))
+            yield F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)), f"_up_{k}"
+            yield F.greatest(-F.coalesce(v, F.lit(0)), F.lit(0)), f"_down_{k}"
+            yield v.isNotNull().cast("int"), f"_has_{k}"
+
+    wanted = [(v if self else v, n) for v, n in parts()]
+    whole = subtree_sums(rows, wanted[0][0], wanted[0][1], *[x for pair in wanted[1:] for x in pair])
+    if not self:
+        own = rows.select(*KEY, *[v.cast("bigint").alias(f"_own{n}") for v, n in wanted])
+        whole = whole.join(own, KEY).select(*KEY, *[(F.col(n) - F.col(f"_own{n}")).alias(n) for _, n in wanted])
+    sums = [F.when(F.col(f"_has_{k}") > 0, F.col(f"_up_{k}") - F.col(f"_down_{k}")).alias(k) for k in columns]
+    return whole.where("n > 0").select("tree_id", F.col("node_id").alias("start_id"), "n", *sums)
+
+
 def subtree_size(tree) -> DataFrame:
     return tree.indexed.select(*KEY, F.col("size").alias("n_nodes"))
 
 
 def leaf_count(tree) -> DataFrame:
     """Leaves strictly below each node."""
-    n = F.count(F.when(F.col("is_leaf") & (F.col("dist") > 0), 1))
-    return closure(tree.indexed, "is_leaf").groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(n.alias("n_leaves"))
+    rows = tree.indexed
+    found = subtree_sums(rows, F.col("is_leaf").cast("int"), "_leaves")
+    return rows.select(*KEY, "is_leaf").join(found, KEY).select(*KEY, (F.col("_leaves") - F.col("is_leaf").cast("bigint")).alias("n_leaves"))
 
 
 def nleaves(tree) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filters import Filter
+from .filters import Filter, navigating
 from .index import KEY
 
 
@@ -66,6 +66,7 @@ def _strings(x) -> bool:
     return isinstance(x, str) or (isinstance(x, (list, tuple)) and bool(x) and all(isinstance(i, str) for i in x))
 
 
+@navigating
 def transform(tree, *forms, scale=None, symbol=None, link=None, where=None, ignore_nothing: bool = False):
     """Apply forms in order: ``("a", "b")`` renames; ``("a", f, "b")`` and ``(["a", "b"], f, "c")`` compute from
     attributes; ``("a", f)`` names the result itself; ``(f, "b")`` computes from the whole tree; ``f`` takes and gives a tree;
@@ -134,6 +135,7 @@ def select(tree, *forms, **filters):
     return done.with_nodes(nodes, True, catalog={s: {a: k for a, k in c.items() if a in keep} for s, c in done.catalog.items()})
 
 
+@navigating
 def mutate(tree, assignments: dict[str, Column | str], scale=None, symbol=None, link=None, where=None, all: bool = True):
     """Assign expressions in order; later ones see earlier ones. ``all=False`` ends at the first node, in pre-order,
     that the filter does not pass."""

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import new_child_link, segment_child_link
-from .filters import Filter
-from .index import KEY, closure, path_sums, sum_before
+from .filters import Filter, navigating
+from .index import KEY, closure, path_sums, subtree_sums, sum_before
 from .schema import unify
 
 
@@ -21,6 +21,12 @@ def _column(x) -> Column:
     return x() if callable(x) else x if isinstance(x, Column) else F.lit(x)
 
 
+def _is(node_id: int, tree_id: str | None, column: str = "node_id") -> Column:
+    """The node of one tree, or of every tree that has the id."""
+    here = F.col(column) == node_id
+    return here if tree_id is None else here & (F.col("tree_id") == tree_id)
+
+
 def _matched(tree, scale=None, symbol=None, link=None, where=None, all: bool = True, start=None) -> DataFrame:
     """The index rows that an edit matches; ``all=False`` leaves out those below another match."""
     rows = tree.indexed.withColumn("_m", Filter(scale, symbol, link, where).column())
@@ -88,6 +94,7 @@ def _insert(tree, kind: str, template, attributes: dict | None, matched: DataFra
 
 
 def _bulk(kind: str) -> Callable:
+    @navigating
     def insert(tree, template, attributes: dict | None = None, scale=None, symbol=None, link=None, where=None, all: bool = True, start=None):
         return _insert(tree, kind, template, attributes, _matched(tree, scale, symbol, link, where, all, start))
 
@@ -100,10 +107,10 @@ def _bulk(kind: str) -> Callable:
 
 
 def _single(kind: str) -> Callable:
-    def insert(tree, node_id: int, template, attributes: dict | None = None):
-        return _insert(tree, kind, template, attributes, _matched(tree, where=F.col("node_id") == node_id))
+    def insert(tree, node_id: int, template, attributes: dict | None = None, tree_id: str | None = None):
+        return _insert(tree, kind, template, attributes, _matched(tree, where=_is(node_id, tree_id)))
 
-    insert.__doc__ = f"Insert a {kind} for one node (of every tree that has the id)."
+    insert.__doc__ = f"Insert a {kind} for one node (without ``tree_id``: of every tree that has the id)."
     return insert
 
 
@@ -152,11 +159,21 @@ def _delete(tree, gone: DataFrame, child_link) -> object:
     return tree.with_nodes(_ordered(out, "_key").select(*tree.nodes.columns))
 
 
-def delete_node(tree, node_id: int, child_link=new_child_link):
-    """Delete one node. A root goes only if it has one child, which becomes the root."""
-    return _delete(tree, tree.nodes.where(F.col("node_id") == node_id), child_link)
+def delete_node(tree, node_id: int, child_link=new_child_link, tree_id: str | None = None):
+    """Delete one node (without ``tree_id``: of every tree that has the id). A root goes only if it has one child, which becomes the root."""
+    return _delete(tree, tree.nodes.where(_is(node_id, tree_id)), child_link)
+
 
+@navigating
+def delete_bare(tree, scale=None, symbol=None, link=None, where=None):
+    """Delete leaves that match, then nodes that match and have become leaves by that, and so on: every node
+    of whose subtree all nodes match. Roots are kept."""
+    fails = F.when(Filter(scale, symbol, link, where).column() & F.col("parent_id").isNotNull(), 0).otherwise(1)
+    rows = tree.indexed.join(subtree_sums(tree.indexed, fails, "_kept"), KEY)
+    return tree.with_nodes(_ordered(rows.where("_kept > 0"), "child_ord").select(*tree.nodes.columns))
 
+
+@navigating
 def delete_nodes(tree, scale=None, symbol=None, link=None, where=None, all: bool = True, start=None, child_link=new_child_link):
     """Delete all nodes that match, judged on the tree as it was. ``child_link(child, deleted)`` gives the new link
     of a child, for each deleted node on its way up. ``all=False`` deletes only the start nodes (roots) that match."""
@@ -181,18 +198,20 @@ def delete_segments(tree):
     return _delete(tree, is_segment(tree).where("is_segment"), segment_child_link)
 
 
-def prune(tree, node_id: int):
-    """Remove a node and all below it; an error for a root."""
-    cut = F.array_contains("path", node_id)
+def prune(tree, node_id: int, tree_id: str | None = None):
+    """Remove a node and all below it (without ``tree_id``: in every tree that has the id); an error for a root."""
+    cut = F.array_contains("path", node_id) & (F.lit(True) if tree_id is None else F.col("tree_id") == tree_id)
     stop = F.raise_error(F.lit("can't prune at the root")).cast("string")
     rows = tree.indexed.where(~cut | F.col("parent_id").isNull())
-    rows = rows.withColumn("tree_id", F.when(F.col("node_id") == node_id, stop).otherwise(F.col("tree_id")))
+    rows = rows.withColumn("tree_id", F.when(_is(node_id, tree_id), stop).otherwise(F.col("tree_id")))
     return tree.with_nodes(_ordered(rows, "child_ord").select(*tree.nodes.columns))
 
 
-def attach(tree, other, parent_id: int):
-    """Hang the trees of ``other`` under a node of the trees with the same ``tree_id``. Returns the new frame and the
+def attach(tree, other, parent_id: int, tree_id: str | None = None):
+    """Hang the trees of ``other`` under a node of the trees with the same ``tree_id``, or of the one that is named. Returns the new frame and the
     mapping (tree_id, old_id, node_id): attached nodes get new ids after the largest, in pre-order."""
+    if tree_id is not None:
+        other = other.with_nodes(other.nodes.where(F.col("tree_id") == tree_id))
     last = tree.nodes.groupBy("tree_id").agg(F.max("node_id").alias("_max"))
     kids = tree.nodes.where(F.col("parent_id") == parent_id).groupBy("tree_id").agg(F.max("child_ord").alias("_kids"))
     mapping = other.indexed.join(last, "tree_id").select("tree_id", F.col("node_id").alias("old_id"), (F.col("_max") + F.col("tin")).alias("node_id"))
@@ -204,9 +223,9 @@ def attach(tree, other, parent_id: int):
     return unify(tree, other.with_nodes(rows.select(*other.nodes.columns))), mapping
 
 
-def move(tree, node_id: int, parent_id: int):
-    """Give a node, with all below it, a new parent, as its last child."""
-    here = F.col("node_id") == node_id
+def move(tree, node_id: int, parent_id: int, tree_id: str | None = None):
+    """Give a node, with all below it, a new parent in the same tree, as its last child (without ``tree_id``: in every tree that has the id)."""
+    here = _is(node_id, tree_id)
     rows = tree.nodes.withColumns({"parent_id": F.when(here, F.lit(parent_id)).otherwise(F.col("parent_id")), "_last": here.cast("int")})
     return tree.with_nodes(_ordered(rows, "_last", "child_ord").select(*tree.nodes.columns))
 
@@ -214,15 +233,31 @@ def move(tree, node_id: int, parent_id: int):
 reparent = move
 
 
-def rechildren(tree, node_id: int, children: list[int]):
+def rechildren(tree, node_id: int, children: list[int], tree_id: str | None = None):
     """Make the listed nodes the children of a node, in that order. Nodes that were its children and are not listed
     become roots of their own."""
+    here = F.lit(True) if tree_id is None else F.col("tree_id") == tree_id
     place = F.array_position(F.lit(children), F.col("node_id")).cast("int")
-    listed = place > 0
+    listed = here & (place > 0)
     rows = tree.nodes.withColumns(
         {
-            "parent_id": F.when(listed, F.lit(node_id)).when(F.col("parent_id") == node_id, F.lit(None)).otherwise(F.col("parent_id")),
+            "parent_id": F.when(listed, F.lit(node_id)).when(_is(node_id, tree_id, "parent_id"), F.lit(None)).otherwise(F.col("parent_id")),
             "_by": F.when(listed, place).otherwise(F.col("child_ord")),
         }
     )
     return tree.with_nodes(_ordered(rows, "_by").select(*tree.nodes.columns))
+
+
+def replace_child(tree, node_id: int, nth: int, child_id: int, tree_id: str | None = None):
+    """Put a node, with all below it, in the place of a node's n-th child (from 1). As a node has one parent, it leaves its old
+    one, and the child that stood there becomes a root of its own."""
+    new = _is(child_id, tree_id)
+    old = _is(node_id, tree_id, "parent_id") & (F.col("child_ord") == nth)
+    rows = tree.nodes.withColumns(
+        {
+            "parent_id": F.when(new, F.lit(node_id)).when(old, F.lit(None)).otherwise(F.col("parent_id")),
+            "_by": F.when(new, F.lit(nth)).otherwise(F.col("child_ord")),
+            "_second": (~new).cast("int"),
+        }
+    )
+    return tree.with_nodes(_ordered(rows, "_by", "_second").select(*tree.nodes.columns))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import warnings
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def _values(x) -> list | None:
 
 @dataclass(frozen=True)
 class Filter:
-    """``where`` is a Column, a SQL string, or a function without arguments that returns a Column."""
+    """``where`` is a Column, a SQL string, or a function without arguments that returns a Column; operators also take a
+    function of the tree (see ``navigating``)."""
 
     scale: int | Iterable[int] | None = None
     symbol: str | Iterable[str] | None = None
@@ -39,6 +42,30 @@ class Filter:
         return F.coalesce(out, F.lit(False))
 
 
+def navigating(operator):
+    """Lets ``where`` of an operator be a function of the tree that returns the rows (tree_id, node_id or start_id) that pass,
+    so that a filter can look at parents, children or anything else that can be asked of the tree."""
+
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(tree, *args, **kwargs):
+        asked = signature.bind(tree, *args, **kwargs).arguments
+        where = asked.get("where", kwargs.get("where"))
+        if not callable(where) or not inspect.signature(where).parameters:
+            return operator(tree, *args, **kwargs)
+        rows = where(tree)
+        rows = rows.withColumnRenamed("start_id", "node_id") if "node_id" not in rows.columns else rows
+        marked = tree.nodes.join(rows.select("tree_id", "node_id").distinct().withColumn("_reached", F.lit(True)), ["tree_id", "node_id"], "left")
+        bound = signature.bind(tree.with_nodes(marked, True), *args, **kwargs)
+        bound.arguments["where"] = F.coalesce("_reached", F.lit(False))
+        out = operator(*bound.args, **bound.kwargs)
+        nodes = getattr(out, "nodes", None)
+        return out if nodes is None else replace(out, nodes=nodes.drop("_reached"))
+
+    return run
+
+
 def check_filters(tree, scale=None, symbol=None, link=None) -> list[str]:
     """Warn of filter values that the header does not know; returns the warnings."""
     known = {"scale": tree.header.get("scales"), "symbol": tree.header.get("symbols"), "link": ["/", "<", "+"]}

@@ -69,6 +69,35 @@ def path_sums(indexed: DataFrame, value, name: str) -> DataFrame:
     return summed.where("_at % 2 = 0").select(*KEY, (F.col("_open") + F.col("_value")).alias(name))
 
 
+def subtree_sums(indexed: DataFrame, value, name: str, *more) -> DataFrame:
+    """``tree_id, node_id`` and the sum of ``value``, a whole number of 0 or more, over the node's subtree, itself included; ``more`` are
+    further pairs of value and name.
+
+    In pre-order a subtree is a stretch, so its sum is the sum before its end less the sum before its beginning: two rows for each node.
+    """
+    pairs = [(value, name), *zip(more[::2], more[1::2])]
+    out = None
+    for v, n in pairs:
+        rows = indexed.select(*KEY, "tin", "tout", v.cast("bigint").alias("_value"))
+        opens = rows.select(*KEY, (F.col("tin") * 2).alias("_at"), "_value")
+        closes = rows.select(*KEY, (F.col("tout") * 2 + 1).alias("_at"), F.lit(0).cast("bigint").alias("_value"))
+        summed = sum_before(opens.union(closes), ["tree_id"], "_at", F.col("_value"), "_sum")
+        one = summed.groupBy(*KEY).agg((F.max("_sum") - F.min("_sum")).alias(n))
+        out = one if out is None else out.join(one, KEY)
+    return out
+
+
+def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the last value that is not null of the rows of the same keys that come before by ``order``, in stretches as ``sum_before``."""
+    rows = rows.withColumn("_stretch", F.floor(F.col(order) / WIDTH))
+    lasts = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_stretch").agg(F.max_by(value, order).alias("_last"))
+    held = rows.select(*keys, "_stretch").distinct().join(lasts, [*keys, "_stretch"], "left")
+    start = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = held.select(*keys, "_stretch", start.alias("_start"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, inside).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.coalesce(name, "_start")).drop("_stretch", "_start")
+
+
 def build(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``depth`` (0 at the root), ``path, n_children, is_leaf, size, tin, tout`` (pre-order, from 1)."""
     found = stored(paths(nodes).withColumn("depth", F.size("path") - 1), "paths")

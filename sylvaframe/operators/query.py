@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import Filter
+from .filters import Filter, navigating
 from .index import KEY, closure, path_sums
 
 
@@ -114,6 +114,7 @@ def _only(rows: DataFrame, tree, id_col: str, start) -> DataFrame:
     return rows.join(keep, ["tree_id", id_col], "left_semi")
 
 
+@navigating
 def descendants(tree, key=None, start=None, scale=None, symbol=None, link=None, where=None, all: bool = True, self: bool = False, recursivity_level: int | None = None, ignore_nothing: bool = False) -> DataFrame:
     """(tree_id, start_id, node_id, dist, tin, keys...): the nodes below each start node that pass; ``tin`` is their order.
 
@@ -150,6 +151,7 @@ def descendants(tree, key=None, start=None, scale=None, symbol=None, link=None,
     return rows.select("tree_id", F.col("anc_id").alias("start_id"), "node_id", "dist", "tin", *[k for k in keys if k not in ("tin", *KEY)])
 
 
+@navigating
 def ancestors(tree, key=None, start=None, scale=None, symbol=None, link=None, where=None, all: bool = True, self: bool = False, recursivity_level: int | None = None, ignore_nothing: bool = False) -> DataFrame:
     """(tree_id, start_id, node_id, dist, keys...): the nodes above each start node that pass, nearest first by ``dist``.
 
@@ -219,25 +221,46 @@ def get_descendant(tree, places: list[int], start="parent_id is null") -> DataFr
 
 
 class NodeCache:
-    """Filtered node tables that are kept for reuse, by filter; one for each immutable tree."""
+    """Filtered node tables and value lists that are kept for reuse, by filter; one for each immutable tree.
+
+    ``traverse`` and ``descendants`` of the cache give what the functions of these names give, from what is kept where the filter is the same.
+    """
 
     def __init__(self, tree):
         self.tree, self.kept = tree, {}
 
     @staticmethod
     def name(*parts) -> str:
-        return "_cache_" + hashlib.sha1("".join(map(str, parts)).encode()).hexdigest()
+        return "_cache_" + hashlib.sha1(repr(parts).encode()).hexdigest()
 
-    def cache_nodes(self, scale=None, symbol=None, link=None, where=None, all: bool = True, overwrite: bool = False) -> DataFrame:
-        name = self.name(scale, symbol, link, where, all)
-        if name in self.kept and not overwrite:
-            raise ValueError("these nodes are cached already; use overwrite=True")
-        self.kept[name] = traverse(self.tree, *self.tree.nodes.columns[2:], scale=scale, symbol=symbol, link=link, where=where, all=all).persist()
+    def _keep(self, name: str, rows: DataFrame, overwrite: bool) -> DataFrame:
+        if name in self.kept:
+            if not overwrite:
+                raise ValueError("this is cached already; use overwrite=True")
+            self.kept.pop(name).unpersist()
+        self.kept[name] = rows.persist()
         return self.kept[name]
 
+    def cache_nodes(self, scale=None, symbol=None, link=None, where=None, all: bool = True, overwrite: bool = False) -> DataFrame:
+        rows = traverse(self.tree, *self.tree.nodes.columns[2:], scale=scale, symbol=symbol, link=link, where=where, all=all)
+        return self._keep(self.name(scale, symbol, link, where, all), rows, overwrite)
+
     def nodes(self, scale=None, symbol=None, link=None, where=None, all: bool = True) -> DataFrame | None:
         return self.kept.get(self.name(scale, symbol, link, where, all))
 
+    def traverse(self, *results: Column | str, **filters) -> DataFrame:
+        """The nodes of the whole trees that pass, with the given results over their columns."""
+        kept = self.nodes(**filters)
+        return traverse(self.tree, *results, **filters) if kept is None else kept.select("tree_id", "start_id", "node_id", "tin", *results)
+
+    def cache_values(self, key: str, overwrite: bool = False, **options) -> DataFrame:
+        """The list of an attribute below every node."""
+        return self._keep(self.name("values", key, sorted(options.items())), values(descendants(self.tree, key, **options), key), overwrite)
+
+    def descendants(self, key: str, **options) -> DataFrame:
+        kept = self.kept.get(self.name("values", key, sorted(options.items())))
+        return values(descendants(self.tree, key, **options), key) if kept is None else kept
+
     def clean_cache(self) -> list[str]:
         gone = list(self.kept)
         for name in gone:

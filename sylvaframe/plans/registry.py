@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import links
+from ..model import node
 from ..operators import aggregate as A
 from ..operators import compute as C
 from ..operators import convert as X
 from ..operators import edit as E
 from ..operators import query as Q
 from ..operators import schema as S
-from ..sources.mtg_text import mtg_lines, parse_mtg
+from ..operators.filters import is_filtered
+from ..sources.mtg_text import mtg_lines, parse_lines
 from ..storage import stored
-from .sample_trees import conversation_trees, event_trees, events_sql, sales_sql, sales_tree, small_tree
+from .sample_trees import conversation_trees, event_trees, events_sql, sales_sql, sales_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,25 +49,12 @@ def _sales(name: str, body: str, more: str = ""):
     return _add(name, sales_sql(body, more=more))
 
 
-def _small(name: str, body: str, more: str = ""):
-    """The query on the tree without line items, and as ``NAME_whole`` on the whole tree."""
-
-    def register(fn):
-        _sales(name + "_whole", body, more)(fn)
-        return _add(name, sales_sql(body, small=True, more=more), small_tree)(fn)
-
-    return register
-
-
 # --- navigation -----------------------------------------------------------------------------------------------
 _sales("parent_values", "SELECT n.node_id, n.parent_id, p.symbol AS parent_symbol, p.cents AS parent_cents FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id")(lambda t: Q.parents(t, "symbol", "cents"))
 _sales("children_count", "SELECT parent_id AS node_id, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")(lambda t: Q.children(t).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
 _sales("second_child", "SELECT parent_id AS node_id, child_ord, node_id AS child_id FROM nodes WHERE parent_id IS NOT NULL AND child_ord = 2")(lambda t: Q.children(t, 2))
 _sales("last_child", "SELECT parent_id AS node_id, arg_max(node_id, child_ord) AS child_id FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")(Q.last_child)
-_sales("siblings", "SELECT n.node_id, count(*) AS n, sum(m.node_id)::BIGINT AS total FROM nodes n JOIN nodes m ON m.parent_id = n.parent_id AND m.node_id <> n.node_id WHERE n.symbol IN ('Lineitem', 'Order', 'Nation') GROUP BY 1")(
-    lambda t: Q.sibling_totals(t, total="node_id").join(t.nodes.where("symbol in ('Lineitem', 'Order', 'Nation')").select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
-)
-_sales("siblings_all", "SELECT * FROM (SELECT node_id, count(*) OVER w - 1 AS n, (sum(node_id) OVER w - node_id)::BIGINT AS total, (sum(cents) OVER w - coalesce(cents, 0))::BIGINT AS cents FROM nodes WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id)) WHERE n > 0")(lambda t: Q.sibling_totals(t, total="node_id", cents="cents"))
+_sales("siblings", "SELECT * FROM (SELECT node_id, count(*) OVER w - 1 AS n, (sum(node_id) OVER w - node_id)::BIGINT AS total, (sum(cents) OVER w - coalesce(cents, 0))::BIGINT AS cents FROM nodes WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id)) WHERE n > 0")(lambda t: Q.sibling_totals(t, total="node_id", cents="cents"))
 for _n, _f, _s in (("next_sibling", Q.next_sibling, "lead(node_id) OVER (PARTITION BY parent_id ORDER BY child_ord)"), ("previous_sibling", Q.previous_sibling, "lag(node_id) OVER (PARTITION BY parent_id ORDER BY child_ord)"), ("last_sibling", Q.last_sibling, "arg_max(node_id, child_ord) OVER (PARTITION BY parent_id)")):
     _sales(_n, f"SELECT node_id, CASE WHEN parent_id IS NOT NULL THEN {_s} END AS sibling_id FROM nodes")(_f)
 _sales("root_of", "SELECT a.node_id, a.anc_id AS root_id FROM anc a JOIN nodes n ON n.node_id = a.anc_id WHERE n.parent_id IS NULL")(Q.root_of)
@@ -180,15 +169,15 @@ _TOPO = ["node_id", "parent_id", "child_ord", "link", "symbol"]
 _NEW = {"link": "/", "symbol": "Group", "index": 1, "scale": 9}
 _RANK = "m AS (SELECT n.node_id, n.parent_id, n.child_ord, (SELECT max(node_id) FROM nodes) + row_number() OVER (ORDER BY p.tin + s.size - 1, p.depth DESC) AS new FROM nodes n JOIN pre p USING (node_id) JOIN sizes s USING (node_id) WHERE n.symbol = 'Customer')"
 _ALLROWS = "SELECT node_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY f, o, node_id) AS child_ord, link, symbol FROM ("
-_small("insert_parents", _ALLROWS + "SELECT n.node_id, coalesce(m.new, n.parent_id) AS parent_id, 0 AS f, n.child_ord AS o, n.link, n.symbol FROM nodes n LEFT JOIN m USING (node_id) UNION ALL SELECT new, parent_id, 1, child_ord, '/', 'Group' FROM m)", _RANK)(
+_sales("insert_parents", _ALLROWS + "SELECT n.node_id, coalesce(m.new, n.parent_id) AS parent_id, 0 AS f, n.child_ord AS o, n.link, n.symbol FROM nodes n LEFT JOIN m USING (node_id) UNION ALL SELECT new, parent_id, 1, child_ord, '/', 'Group' FROM m)", _RANK)(
     lambda t: E.insert_parents(t, _NEW, symbol="Customer").nodes.select(*_TOPO)
 )
-_small("insert_children", _ALLROWS + "SELECT node_id, parent_id, 0 AS f, child_ord AS o, link, symbol FROM nodes UNION ALL SELECT new, node_id, 1, 0, '/', 'Group' FROM m)", _RANK)(lambda t: E.insert_children(t, _NEW, symbol="Customer").nodes.select(*_TOPO))
-_small("insert_siblings", _ALLROWS + "SELECT node_id, parent_id, 0 AS f, child_ord AS o, link, symbol FROM nodes UNION ALL SELECT new, parent_id, 1, child_ord, '/', 'Group' FROM m)", _RANK)(lambda t: E.insert_siblings(t, _NEW, symbol="Customer").nodes.select(*_TOPO))
-_small("insert_generations", _ALLROWS + "SELECT n.node_id, coalesce(m.new, n.parent_id) AS parent_id, 0 AS f, n.child_ord AS o, n.link, n.symbol FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id UNION ALL SELECT new, node_id, 1, 0, '/', 'Group' FROM m)", _RANK)(
+_sales("insert_children", _ALLROWS + "SELECT node_id, parent_id, 0 AS f, child_ord AS o, link, symbol FROM nodes UNION ALL SELECT new, node_id, 1, 0, '/', 'Group' FROM m)", _RANK)(lambda t: E.insert_children(t, _NEW, symbol="Customer").nodes.select(*_TOPO))
+_sales("insert_siblings", _ALLROWS + "SELECT node_id, parent_id, 0 AS f, child_ord AS o, link, symbol FROM nodes UNION ALL SELECT new, parent_id, 1, child_ord, '/', 'Group' FROM m)", _RANK)(lambda t: E.insert_siblings(t, _NEW, symbol="Customer").nodes.select(*_TOPO))
+_sales("insert_generations", _ALLROWS + "SELECT n.node_id, coalesce(m.new, n.parent_id) AS parent_id, 0 AS f, n.child_ord AS o, n.link, n.symbol FROM nodes n LEFT JOIN m ON m.node_id = n.parent_id UNION ALL SELECT new, node_id, 1, 0, '/', 'Group' FROM m)", _RANK)(
     lambda t: E.insert_generations(t, _NEW, symbol="Customer").nodes.select(*_TOPO)
 )
-_small("insert_child_attributes", "SELECT (SELECT max(node_id) FROM nodes) + 1 AS node_id, node_id AS parent_id, cents * 2 AS cents FROM nodes WHERE node_id = " + str(ORDER_7))(
+_sales("insert_child_attributes", "SELECT (SELECT max(node_id) FROM nodes) + 1 AS node_id, node_id AS parent_id, cents * 2 AS cents FROM nodes WHERE node_id = " + str(ORDER_7))(
     lambda t: E.insert_child(t, ORDER_7, _NEW, {"cents": F.col("cents") * 2}).nodes.where("symbol = 'Group'").select("node_id", "parent_id", "cents")
 )
 # new parents, links and order keys by climbing over deleted nodes one by one
@@ -205,13 +194,13 @@ _sales("delete_nodes_link_rules", _DONE, _CLIMB.format(gone="symbol = 'Order' AN
 _sales("delete_nodes_keep_link", _DONE, _CLIMB.format(gone="symbol = 'Order' AND status <> 'F'", rule="c.link"))(lambda t: E.delete_nodes(t, symbol="Order", where="status <> 'F'", child_link=lambda c, d: c).nodes.select(*_TOPO))
 _sales("delete_node", _DONE, _CLIMB.format(gone=f"node_id = {ORDER_7}", rule=_RULE))(lambda t: E.delete_node(t, ORDER_7).nodes.select(*_TOPO))
 _SEG = "seg AS (SELECT s.node_id FROM shape s JOIN nodes p ON p.node_id = s.parent_id JOIN nodes c ON c.parent_id = s.node_id WHERE s.n_children = 1 AND p.parent_id IS NOT NULL AND c.link <> '+')"
-_small("is_segment", "SELECT node_id, node_id IN (SELECT node_id FROM seg) AS is_segment FROM nodes", _SEG)(E.is_segment)
-_small("delete_segments", _DONE, _SEG + ", " + _CLIMB.format(gone="node_id IN (SELECT node_id FROM seg)", rule="CASE WHEN d.link IN ('/', '+') THEN d.link ELSE c.link END"))(lambda t: E.delete_segments(t).nodes.select(*_TOPO))
+_sales("is_segment", "SELECT node_id, node_id IN (SELECT node_id FROM seg) AS is_segment FROM nodes", _SEG)(E.is_segment)
+_sales("delete_segments", _DONE, _SEG + ", " + _CLIMB.format(gone="node_id IN (SELECT node_id FROM seg)", rule="CASE WHEN d.link IN ('/', '+') THEN d.link ELSE c.link END"))(lambda t: E.delete_segments(t).nodes.select(*_TOPO))
 _sales("prune", f"SELECT node_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY child_ord) AS child_ord, link, symbol FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM anc a WHERE a.node_id = n.node_id AND a.anc_id = {REGION_1})")(lambda t: E.prune(t, REGION_1).nodes.select(*_TOPO))
-_small("attach_subtree", "SELECT node_id, parent_id, symbol FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + p.tin, coalesce((SELECT max(node_id) FROM nodes) + q.tin, " + str(REGION_1) + "), n.symbol FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id")(
+_sales("attach_subtree", "SELECT node_id, parent_id, symbol FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + p.tin, coalesce((SELECT max(node_id) FROM nodes) + q.tin, " + str(REGION_1) + "), n.symbol FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id")(
     lambda t: E.attach(t, t, REGION_1)[0].nodes.select("node_id", "parent_id", "symbol")
 )
-_small("move_subtree", f"SELECT node_id, CASE WHEN node_id = {REGION_1} THEN {10**12} ELSE parent_id END AS parent_id FROM nodes")(lambda t: E.move(t, REGION_1, 10**12).nodes.select("node_id", "parent_id"))
+_sales("move_subtree", f"SELECT node_id, CASE WHEN node_id = {REGION_1} THEN {10**12} ELSE parent_id END AS parent_id FROM nodes")(lambda t: E.move(t, REGION_1, 10**12).nodes.select("node_id", "parent_id"))
 
 # --- the text format ------------------------------------------------------------------------------------------
 _LEADS = "last AS (SELECT *, parent_id IS NULL OR row_number() OVER (PARTITION BY parent_id ORDER BY child_ord DESC) = 1 AS is_last FROM nodes), lead AS (SELECT a.node_id, sum(CASE WHEN l.is_last THEN 0 ELSE 1 END) AS k FROM anc a JOIN last l ON l.node_id = a.anc_id GROUP BY 1)"
@@ -226,18 +215,16 @@ _sales("mtg_write_lead", "SELECT p.tin AS seq, k::BIGINT AS tabs FROM lead JOIN
 
 def _written_and_read(t, *attributes):
     lines = mtg_lines(t, features=[(n, "STRING" if n == "status" else "INT") for n in attributes])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "seq", "line"))), lambda x: x.line), "\n")
-    files = lines.groupBy(F.col("tree_id").alias("file")).agg(text.alias("text"))
-    return parse_mtg(stored(files, "mtg-files")).nodes.select("node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", *attributes)
+    numbered = lines.select(F.col("tree_id").alias("file"), (F.col("section") * (1 << 48) + F.col("seq")).alias("n"), "line")
+    return parse_lines(stored(numbered, "mtg-lines")).nodes.select("node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", *attributes)
 
 
-_READ = 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, {} FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id'
-_add("mtg_read", sales_sql(_READ.format("n.cents, n.status"), small=True), small_tree)(lambda t: _written_and_read(t, "cents", "status"))
-_sales("mtg_read_whole", _READ.format("n.cents, n.quantity, n.status"))(lambda t: _written_and_read(t, "cents", "quantity", "status"))
+_READ = 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, n.cents, n.quantity, n.status FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id'
+_sales("mtg_read", _READ)(lambda t: _written_and_read(t, "cents", "quantity", "status"))
 
 # --- many trees with long chains ------------------------------------------------------------------------------
 _add("events_subtree_sum", events_sql("SELECT a.tree_id, a.anc_id AS start_id, sum(n.cents)::BIGINT AS cents, count(*) AS n FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.node_id WHERE a.dist > 0 GROUP BY 1, 2"), event_trees, False)(
-    lambda t: A.subtree_agg(t, cents=F.sum("cents"), n=F.count(F.lit(1)))
+    lambda t: A.subtree_totals(t, cents="cents")
 )
 _add("events_previous_purchases", events_sql("SELECT tree_id, start_id, node_id, dist, cents FROM (SELECT a.tree_id, a.node_id AS start_id, a.anc_id AS node_id, a.dist::BIGINT AS dist, n.cents, row_number() OVER (PARTITION BY a.tree_id, a.node_id ORDER BY a.dist) AS rn FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.anc_id WHERE a.dist > 0 AND n.symbol = 'purchase') WHERE rn <= 3"), event_trees, False)(
     lambda t: Q.ancestors(t, "cents", symbol="purchase", recursivity_level=3).withColumn("dist", F.col("dist").cast("bigint"))
@@ -245,3 +232,89 @@ _add("events_previous_purchases", events_sql("SELECT tree_id, start_id, node_id,
 _add("conversation_paths", "SELECT conv_id::VARCHAR AS tree_id, turn AS start_id, sum(length(coalesce(text, ''))) OVER w::BIGINT AS chars, count(*) FILTER (role = 'user') OVER w AS asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", conversation_trees, False)(
     lambda t: A.path_agg(t, self=True, chars=F.sum("chars"), asked=F.count(F.when(F.col("symbol") == "user", 1)))
 )
+
+# --- filters that navigate, single attributes, caches ----------------------------------------------------------
+_sales("filter_by_parent", _DOWN + " AND a.dist > 0 AND x.symbol = 'Lineitem' AND (SELECT o.status FROM nodes o WHERE o.node_id = x.parent_id) = 'F'")(
+    lambda t: Q.descendants(t, "cents", "symbol = 'Customer'", symbol="Lineitem", where=lambda t: Q.parents(t, "status").where("parent_status = 'F'"))
+)
+_sales("filter_by_children", "SELECT n.node_id, CASE WHEN n.symbol = 'Order' AND (SELECT count(*) FROM nodes c WHERE c.parent_id = n.node_id AND c.symbol = 'Lineitem') > 5 THEN 1 ELSE NULL END::BIGINT AS large FROM nodes n")(
+    lambda t: C.mutate(t, {"large": F.lit(1)}, symbol="Order", where=lambda t: Q.children(t).join(t.nodes.where("symbol = 'Lineitem'").select("tree_id", F.col("node_id").alias("child_id")), ["tree_id", "child_id"]).groupBy("tree_id", "node_id").count().where("count > 5")).nodes.select("node_id", "large")
+)
+_sales("subtree_totals", "SELECT a.anc_id AS start_id, count(*) AS n, sum(x.cents)::BIGINT AS cents FROM anc a JOIN nodes x ON x.node_id = a.node_id WHERE x.symbol = 'Order' GROUP BY 1")(lambda t: A.subtree_totals(t, self=True, symbol="Order", cents="cents"))
+_sales("set_encoding", "SELECT node_id, CASE WHEN symbol = 'Order' THEN '+' ELSE link END AS link, CASE WHEN symbol = 'Order' THEN 'Sale' ELSE symbol END AS symbol, CASE WHEN symbol = 'Order' THEN 7 ELSE scale END::BIGINT AS scale, CASE WHEN symbol = 'Order' THEN 0 ELSE idx END::BIGINT AS \"index\" FROM nodes")(
+    lambda t: _encoded(t).nodes.select("node_id", "link", "symbol", "scale", "index")
+)
+
+
+def _encoded(t):
+    for name, value in (("link", "+"), ("scale", 7), ("index", 0), ("symbol", "Sale")):
+        t = C.set_attribute(t, name, value, "symbol = 'Order'")
+    return t
+
+
+_sales("attributes_struct", "SELECT node_id, cents, quantity, status FROM nodes")(lambda t: C.attributes(t).select("node_id", "attributes.*"))
+_sales("attributes_map", "SELECT node_id, cents::VARCHAR AS cents, status FROM nodes")(lambda t: C.attributes(t, "map").select("node_id", F.col("attributes")["cents"].alias("cents"), F.col("attributes")["status"].alias("status")))
+_sales("attribute_names", "SELECT * FROM (VALUES ('cents'), ('quantity'), ('status')) t(name)")(lambda t: t.spark.createDataFrame([(a,) for a in A.attribute_names(t)], "name string"))
+_sales("attribute_names_below", f"SELECT * FROM (VALUES ('cents'), ('quantity'), ('status')) t(name)")(lambda t: t.spark.createDataFrame([(a,) for a in A.attribute_names(t, ORDER_7)], "name string"))
+_sales("has_attribute", "SELECT DISTINCT symbol, symbol IN ('Customer', 'Order', 'Lineitem') AS cents, symbol = 'Lineitem' AS quantity FROM nodes")(
+    lambda t: t.nodes.select("symbol").distinct().withColumns({a: F.col("symbol").isin([s for s in t.catalog if t.has(s, a)]) for a in ("cents", "quantity")})
+)
+_sales("append_attributes", f"SELECT node_id, CASE WHEN node_id = {ORDER_7} THEN 5 ELSE cents END AS cents, CASE WHEN node_id = {ORDER_7} THEN 'new' END AS note FROM nodes")(lambda t: C.append(t, {"cents": 5, "note": "new"}, F.col("node_id") == ORDER_7).nodes.select("node_id", "cents", "note"))
+_sales("is_filtered", "SELECT node_id, coalesce(symbol = 'Order' AND link = '<' AND cents > 5000000, false) AS passes FROM nodes")(lambda t: t.nodes.select("node_id", is_filtered(t, symbol="Order", link="<", where="cents > 5000000").alias("passes")))
+_sales("transform_auto_name", "SELECT node_id, sqrt(quantity) AS quantity_sqrt, cents + quantity AS cents_quantity_function FROM nodes")(
+    lambda t: C.transform(t, ("quantity", F.sqrt), (["cents", "quantity"], lambda a, b: a + b)).nodes.select("node_id", "quantity_sqrt", "cents_quantity_function")
+)
+_sales("transform_tree_function", "SELECT node_id, cents, 1::BIGINT AS seen FROM nodes WHERE symbol = 'Nation'")(lambda t: C.transform(t, lambda t: C.mutate(t, {"seen": F.lit(1)}, symbol="Nation")).nodes.where("symbol = 'Nation'").select("node_id", "cents", "seen"))
+_sales("cached_nodes", "SELECT 1::BIGINT AS start_id, n.node_id, p.tin, n.cents FROM nodes n JOIN pre p USING (node_id) WHERE n.symbol = 'Order'")(lambda t: _cached(t))
+_sales("cached_values", "SELECT a.anc_id AS start_id, string_agg(x.status, '' ORDER BY p.tin) AS status FROM anc a JOIN pre p ON p.node_id = a.node_id " + _CUST + " AND a.dist > 0 AND x.symbol = 'Order' GROUP BY 1")(lambda t: _cached_values(t))
+
+
+def _cached(t):
+    cache = Q.NodeCache(t)
+    cache.cache_nodes(symbol="Order")
+    return cache.traverse("cents", symbol="Order")
+
+
+def _cached_values(t):
+    cache = Q.NodeCache(t)
+    cache.cache_values("status", start="symbol = 'Customer'", symbol="Order")
+    return cache.descendants("status", start="symbol = 'Customer'", symbol="Order").select("start_id", F.array_join("status", "").alias("status"))
+
+
+# --- more edits ---------------------------------------------------------------------------------------------
+_ONE = "SELECT node_id, parent_id, child_ord, link, symbol FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + 1, {parent}, {place}, '/', 'Group'"
+_sales("insert_parent", f"SELECT node_id, CASE WHEN node_id = {ORDER_7} THEN (SELECT max(node_id) FROM nodes) + 1 ELSE parent_id END AS parent_id, symbol FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + 1, (SELECT parent_id FROM nodes WHERE node_id = {ORDER_7}), 'Group'")(lambda t: E.insert_parent(t, ORDER_7, _NEW).nodes.select("node_id", "parent_id", "symbol"))
+_sales("insert_sibling", _ONE.format(parent=f"(SELECT parent_id FROM nodes WHERE node_id = {ORDER_7})", place=f"(SELECT count(*) + 1 FROM nodes WHERE parent_id = (SELECT parent_id FROM nodes WHERE node_id = {ORDER_7}))"))(lambda t: E.insert_sibling(t, ORDER_7, _NEW).nodes.select(*_TOPO))
+_sales("insert_generation", f"SELECT node_id, CASE WHEN parent_id = {ORDER_7} THEN (SELECT max(node_id) FROM nodes) + 1 ELSE parent_id END AS parent_id, symbol FROM nodes UNION ALL SELECT (SELECT max(node_id) FROM nodes) + 1, {ORDER_7}, 'Group'")(lambda t: E.insert_generation(t, ORDER_7, _NEW).nodes.select("node_id", "parent_id", "symbol"))
+_sales("insert_children_all_false", "SELECT (SELECT max(node_id) FROM nodes) + row_number() OVER (ORDER BY p.tin + s.size - 1, p.depth DESC) AS node_id, n.node_id AS parent_id FROM nodes n JOIN pre p USING (node_id) JOIN sizes s USING (node_id) WHERE n.symbol = 'Order' AND n.link = '/'")(lambda t: E.insert_children(t, _NEW, symbol="Order", all=False).nodes.where("symbol = 'Group'").select("node_id", "parent_id"))
+_sales("delete_nodes_all_false", "SELECT node_id, parent_id, symbol FROM nodes")(lambda t: E.delete_nodes(t, symbol="Order", all=False).nodes.select("node_id", "parent_id", "symbol"))
+_sales("delete_bare", "SELECT node_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY child_ord) AS child_ord FROM nodes n WHERE EXISTS (SELECT 1 FROM anc a JOIN nodes x ON x.node_id = a.node_id WHERE a.anc_id = n.node_id AND NOT (x.symbol IN ('Lineitem', 'Order') AND coalesce(x.status, '') <> 'F'))")(lambda t: E.delete_bare(t, symbol=["Lineitem", "Order"], where="coalesce(status, '') <> 'F'").nodes.select("node_id", "parent_id", "child_ord"))
+_sales("rechildren", f"SELECT node_id, CASE WHEN node_id = {ORDER_7} THEN {REGION_1} WHEN parent_id = {REGION_1} THEN NULL ELSE parent_id END AS parent_id FROM nodes")(lambda t: E.rechildren(t, REGION_1, [ORDER_7]).nodes.select("node_id", "parent_id"))
+_sales("replace_child", f"SELECT node_id, CASE WHEN node_id = {ORDER_7} THEN {REGION_1} WHEN parent_id = {REGION_1} AND child_ord = 2 THEN NULL ELSE parent_id END AS parent_id, CASE WHEN node_id = {ORDER_7} THEN 2 END::BIGINT AS place FROM nodes")(lambda t: E.replace_child(t, REGION_1, 2, ORDER_7).nodes.select("node_id", "parent_id", F.when(F.col("node_id") == ORDER_7, F.col("child_ord")).alias("place")))
+_sales("unify", "SELECT node_id, cents::DOUBLE AS cents, status FROM nodes UNION ALL SELECT 1, 2.5, NULL")(lambda t: S.unify(t, node(t.spark, "/", "Scene", attributes={"cents": 2.5}, tree_id="other")).nodes.select("node_id", "cents", "status"))
+
+# --- single nodes of one of many trees: every conversation has the same turn numbers ----------------------------
+_TALK = "talk AS (SELECT conv_id::VARCHAR AS tree_id, turn AS node_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id, role AS symbol FROM conversations), one AS (SELECT min(tree_id) AS tree_id FROM talk), second AS (SELECT min(node_id) AS node_id FROM talk JOIN one USING (tree_id) WHERE parent_id IS NOT NULL) "
+
+
+def _one_tree(edit):
+    """The edit of the second node of one conversation, named by its tree and id."""
+
+    def run(t):
+        tree_id = t.nodes.agg(F.min("tree_id")).head()[0]
+        node_id = t.nodes.where((F.col("tree_id") == tree_id) & F.col("parent_id").isNotNull()).agg(F.min("node_id")).head()[0]
+        return edit(t, node_id, tree_id).nodes.select("tree_id", "node_id", "parent_id", "symbol")
+
+    return run
+
+
+_add("prune_one_tree", "WITH " + _TALK + "SELECT t.* FROM talk t, one, second WHERE NOT (t.tree_id = one.tree_id AND t.node_id >= second.node_id)", conversation_trees, False)(_one_tree(lambda t, n, tree: E.prune(t, n, tree)))
+_add("delete_node_one_tree", "WITH " + _TALK + "SELECT t.tree_id, t.node_id, CASE WHEN t.tree_id = one.tree_id AND t.parent_id = second.node_id THEN (SELECT parent_id FROM talk x WHERE x.tree_id = one.tree_id AND x.node_id = second.node_id) ELSE t.parent_id END AS parent_id, t.symbol FROM talk t, one, second WHERE NOT (t.tree_id = one.tree_id AND t.node_id = second.node_id)", conversation_trees, False)(_one_tree(lambda t, n, tree: E.delete_node(t, n, tree_id=tree)))
+_add("insert_child_one_tree", "WITH " + _TALK + "SELECT * FROM talk UNION ALL SELECT tree_id, (SELECT max(node_id) + 1 FROM talk x WHERE x.tree_id = one.tree_id), second.node_id, 'Group' FROM one, second", conversation_trees, False)(_one_tree(lambda t, n, tree: E.insert_child(t, n, _NEW, tree_id=tree)))
+_add("move_one_tree", "WITH " + _TALK + "SELECT t.tree_id, t.node_id, CASE WHEN t.tree_id = one.tree_id AND t.parent_id = second.node_id THEN (SELECT parent_id FROM talk x WHERE x.tree_id = one.tree_id AND x.node_id = second.node_id) ELSE t.parent_id END AS parent_id, t.symbol FROM talk t, one, second", conversation_trees, False)(_one_tree(lambda t, n, tree: _moved(t, n, tree)))
+
+
+def _moved(t, n, tree):
+    """The child of a node goes to the node's parent."""
+    child, up = (t.nodes.where((F.col("tree_id") == tree) & c).agg(F.min(v)).head()[0] for c, v in ((F.col("parent_id") == n, "node_id"), (F.col("node_id") == n, "parent_id")))
+    return t if child is None else E.move(t, child, up, tree)

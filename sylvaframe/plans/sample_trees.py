@@ -73,13 +73,6 @@ def sales_tree(spark: SparkSession, sf_dir: str) -> TreeFrame:
     return _keep(spark, "sales", sf_dir, lambda: from_nodes(sales_nodes(spark, sf_dir), _catalog(symbols), header))
 
 
-def small_tree(spark: SparkSession, sf_dir: str) -> TreeFrame:
-    """The sales tree without line items: what the edits of single nodes are shown on."""
-    symbols = ["Scene", "Region", "Nation", "Customer", "Order"]
-    header = {"symbols": symbols, "scales": list(range(5))}
-    return _keep(spark, "small", sf_dir, lambda: from_nodes(sales_nodes(spark, sf_dir).where("symbol <> 'Lineitem'").drop("quantity"), _catalog(symbols), header))
-
-
 def event_trees(spark: SparkSession, sf_dir: str) -> TreeFrame:
     """One tree per user: User / first event < next event ..., by time: long chains in many trees."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -107,7 +100,7 @@ raw AS (
  UNION ALL SELECT {2 * _T}+n_nationkey, {_T}+n_regionkey, '/', 'Nation', n_nationkey, 2, NULL, NULL, NULL FROM nation
  UNION ALL SELECT {3 * _T}+c_custkey, {2 * _T}+c_nationkey, '/', 'Customer', c_custkey, 3, round(c_acctbal*100)::BIGINT, NULL, NULL FROM customer
  UNION ALL SELECT {4 * _T}+o_orderkey, CASE WHEN prev IS NULL THEN {3 * _T}+o_custkey ELSE {4 * _T}+prev END, CASE WHEN prev IS NULL THEN '/' ELSE '<' END, 'Order', o_orderkey, 4, round(o_totalprice*100)::BIGINT, NULL, o_orderstatus FROM ord
- UNION ALL SELECT {5 * _T}+l_orderkey*100+rn, {4 * _T}+l_orderkey, '+', 'Lineitem', rn, 5, round(l_extendedprice*100)::BIGINT, l_quantity::BIGINT, l_returnflag FROM li{{only}}
+ UNION ALL SELECT {5 * _T}+l_orderkey*100+rn, {4 * _T}+l_orderkey, '+', 'Lineitem', rn, 5, round(l_extendedprice*100)::BIGINT, l_quantity::BIGINT, l_returnflag FROM li
 ),
 nodes AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY node_id) AS child_ord FROM raw),
 anc(anc_id, node_id, dist) AS (
@@ -123,9 +116,9 @@ sizes AS (SELECT anc_id AS node_id, count(*) AS size FROM anc GROUP BY 1)
 """
 
 
-def sales_sql(body: str, small: bool = False, more: str = "") -> str:
+def sales_sql(body: str, more: str = "") -> str:
     """``body`` over the sales tree's views nodes, shape (with n_children, is_leaf), anc, pre (tin, depth), sizes."""
-    return "WITH RECURSIVE " + SALES_SQL.format(only=" WHERE false" if small else "") + (", " + more if more else "") + " " + body
+    return "WITH RECURSIVE " + SALES_SQL + (", " + more if more else "") + " " + body
 
 
 EVENTS_SQL = """

@@ -1,8 +1,8 @@
 """Reader and writer of the tab-separated ``.mtg`` text format.
 
-Many files are read at once, one tree each. A file is one row that is split into numbered lines; sections, node numbers and parents
-come from windows over the lines of a file, attributes from the feature names of its header. Nothing but the
-distinct feature names and symbols comes to the driver.
+Many files are read at once, one tree each. A file is one row that is split into numbered lines, or comes as numbered lines; node numbers and parents
+are found in stretches of lines that follow each other, attributes from the feature names of a file's header, so that
+no file is one task. Nothing but the distinct feature names and symbols comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import NO_INDEX, TreeFrame
-from ..operators.index import path_sums
+from ..operators.index import last_before, path_sums, sum_before
 from ..operators.schema import widened
+from ..storage import stored
 
 #: Section names, table headers and column types of the format (fixed values).
 SECTIONS = ("CODE", "CLASSES", "DESCRIPTION", "FEATURES", "MTG")
@@ -67,15 +68,15 @@ def expand_elements(elements: Column, where: Column) -> Column:
     return F.flatten(F.transform(elements, one))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """(file, n, line, section, marker): cleaned lines with their section. ``files`` has file and text."""
-    rows = files.select("file", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """(file, n, line, section, marker): cleaned lines with their section. ``rows`` has file, n and line."""
     rows = rows.withColumn("line", strip_comments(F.regexp_replace("line", "missing", "")))
     name = F.regexp_extract("line", f"^({'|'.join(SECTIONS)})[ \\t]*:", 1)
-    rows = rows.withColumn("marker", name != "")
-    # inside the body nothing is a section any more
-    section = F.last(F.when(F.col("marker"), name), ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
-    return rows.withColumn("section", section).where("line <> ''")
+    rows = rows.withColumn("name", name).withColumn("marker", F.col("name") != "")
+    marks = rows.where("marker").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("marks"))  # a few for each file
+    before = F.filter("marks", lambda m: m.n <= F.col("n"))
+    section = F.get(before, F.size(before) - 1)["name"]
+    return rows.join(marks, "file", "left").withColumn("section", section).where("line <> ''").drop("marks", "name")
 
 
 def _cells(line: Column) -> Column:
@@ -120,14 +121,18 @@ def read_mtg(spark: SparkSession, paths, tree_names: str = "base", sheet_name: s
 
 def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
     """Parse whole files given as rows (file, text)."""
-    spark = files.sparkSession
-    lines = _lines(files)
+    return parse_lines(files.select("file", F.posexplode(F.split("text", "\n")).alias("n", "line")), tree_names)
+
+
+def parse_lines(rows: DataFrame, tree_names: str = "base") -> TreeFrame:
+    """Parse files given as numbered lines (file, n, line); the numbers need not follow each other closely."""
+    lines = _lines(rows.select("file", F.col("n").cast("bigint").alias("n"), "line"))
     heads = _table(lines, "CLASSES", CLASSES, False).join(_table(lines, "FEATURES", FEATURES, True), "file", "left").join(_table(lines, "DESCRIPTION", DESCRIPTION, True), "file", "left")
     body = lines.where((F.col("section") == "MTG") & ~F.col("marker"))
     first = body.groupBy("file").agg(F.min("n").alias("first_n"), F.min_by("line", "n").alias("body_head"))
     names = F.transform(F.coalesce("FEATURES", F.array().cast("array<array<string>>")), lambda r: F.get(r, F.lit(0)))
     kinds = F.transform(F.coalesce("FEATURES", F.array().cast("array<array<string>>")), lambda r: F.get(r, F.lit(1)))
-    heads = files.select("file").join(heads, "file", "left").join(first, "file", "left").withColumns({"names": names, "kinds": kinds})
+    heads = rows.select("file").distinct().join(heads, "file", "left").join(first, "file", "left").withColumns({"names": names, "kinds": kinds})
     cells = _cells(F.col("body_head"))
     told = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(1))), lambda x: x != "")
     start = F.array_position(F.transform(cells, lambda x, i: (i > 0) & (x != "")), F.lit(True)).cast("int")
@@ -148,15 +153,13 @@ def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
     rows = rows.withColumn("elements", split_elements(F.get("cells", F.col("column") - 1)))
     rows = rows.withColumn("caret", F.get("elements", F.lit(0)) == "^").withColumn("elements", F.filter("elements", lambda x: x != "^"))
     rows = rows.withColumn("codes", expand_elements(F.col("elements"), line_no))
-    by_line = Window.partitionBy("file").orderBy("n")
-    rows = rows.withColumn("first_id", 1 + F.coalesce(F.sum(F.size("codes")).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = sum_before(rows.withColumn("node_id", F.col("n")), ["file"], "n", F.size("codes"), "first_id").drop("node_id").withColumn("first_id", F.col("first_id") + 1)
     rows = rows.withColumn("last_id", F.col("first_id") + F.size("codes") - 1)
 
     # a line's parent: the last node before it in the same column (after ^) or in the one before
-    asks = rows.select("file", F.when(F.col("caret"), F.col("column")).otherwise(F.col("column") - 1).alias("key"), "n", F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("last_id"))
-    tells = rows.select("file", F.col("column").alias("key"), "n", F.lit(1).alias("k"), "last_id")
-    seen = F.last("last_id", ignorenulls=True).over(Window.partitionBy("file", "key").orderBy("n", "k"))
-    found = asks.unionByName(tells).withColumn("above", seen).where("k = 0").select("file", "n", "above")
+    asks = rows.select("file", F.when(F.col("caret"), F.col("column")).otherwise(F.col("column") - 1).alias("key"), (F.col("n") * 2).alias("at"), F.lit(None).cast("bigint").alias("last_id"))
+    tells = rows.select("file", F.col("column").alias("key"), (F.col("n") * 2 + 1).alias("at"), "last_id")
+    found = last_before(asks.unionByName(tells), ["file", "key"], "at", "last_id", "above").where("at % 2 = 0").select("file", (F.col("at") / 2).cast("bigint").alias("n"), "above")
     rows = rows.join(found, ["file", "n"])
 
     nodes = rows.select("*", F.posexplode("codes").alias("pos", "e"))
@@ -169,10 +172,11 @@ def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
             "link": F.when(F.col("link") == "", _error("no proper link in line ", line_no)).otherwise(F.col("link")),
             "parent_id": F.when(F.col("pos") == 0, top).otherwise(F.col("node_id") - 1).cast("bigint"),
             "scale": F.when(scale.isNull(), _error(F.col("symbol"), " is not declared in CLASSES, line ", line_no).cast("int")).otherwise(scale),
+            "parent_key": F.when(F.col("pos") == 0, F.coalesce(top, F.lit(0))).otherwise(F.col("node_id") - 1).cast("bigint"),
             "has": (F.col("pos") == F.size("codes") - 1) | F.col("e.shared"),
         }
     )
-    nodes = nodes.withColumn("child_ord", F.row_number().over(Window.partitionBy("file", "parent_id").orderBy("node_id")))
+    nodes = sum_before(nodes, ["file", "parent_key"], "node_id", F.lit(1), "child_ord").withColumn("child_ord", (F.col("child_ord") + 1).cast("int"))
 
     features = [(r.n, r.t) for r in heads.select(F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("kinds").alias("t"))).alias("x")).select("x.n", "x.t").distinct().orderBy("n", "t").collect()]
     columns, kinds_of = {}, {}
@@ -199,6 +203,7 @@ def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
     declared = heads.select(F.explode("CLASSES").alias("c")).select(F.when(F.get("c", F.lit(0)) == "$", "Scene").otherwise(F.get("c", F.lit(0))).alias("symbol"), F.get("c", F.lit(1)).cast("int").alias("scale")).distinct().collect()
     description = heads.where(F.size("DESCRIPTION") > 0).select(tree_id.alias("tree_id"), F.explode("DESCRIPTION").alias("d")).select("tree_id", *[(F.split(F.get("d", F.lit(i)), ",") if c == "RIGHT" else F.get("d", F.lit(i))).alias(c) for i, c in enumerate(DESCRIPTION)])
     header = {"symbols": sorted({r.symbol for r in declared}), "scales": sorted({r.scale for r in declared}), "description": description}
+    nodes = stored(nodes, "mtg-nodes")  # parsed once, whatever is asked of the tree
     filled = nodes.groupBy("symbol").agg(*[F.count(a).alias(a) for a in columns], F.count(F.lit(1)).alias("_n")).collect()
     return TreeFrame(nodes, {r["symbol"]: {a: k for a, k in kinds_of.items() if r[a]} for r in filled}, header)
 
@@ -242,7 +247,28 @@ def mtg_lines(tree, classes: DataFrame | None = None, features: list[tuple[str,
     return out.union(part(body, 4, F.col("tin"), F.concat_ws("\t", place, *shown)))
 
 
-def write_mtg(tree, path: str, **parts) -> None:
-    """Write one text file per tree, in a folder ``tree_id=<name>`` each."""
+def write_mtg(tree, path: str, **parts) -> list[str]:
+    """Write one text file per tree, ``<tree>.mtg`` in the folder (the name of a tree that ends in ``.mtg`` stays as it is); returns the names."""
     lines = mtg_lines(tree, **parts)
     lines.repartition("tree_id").sortWithinPartitions("tree_id", "section", "seq").select("tree_id", F.col("line").alias("value")).write.partitionBy("tree_id").text(path)
+    return _named(tree.spark, path)
+
+
+def _named(spark: SparkSession, path: str) -> list[str]:
+    """Gives the part files ``tree_id=<name>/part-...`` their trees' names; only names pass through the driver."""
+    from urllib.parse import unquote
+
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for folder in fs.listStatus(top):
+        if not folder.isDirectory():
+            continue
+        name = unquote(folder.getPath().getName().partition("=")[2])
+        name = name if name.endswith(".mtg") else f"{name}.mtg"
+        part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(top, name))
+        fs.delete(folder.getPath(), True)
+        names.append(name)
+    return sorted(names)

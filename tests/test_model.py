@@ -61,8 +61,8 @@ def test_ranges(spark):
 @pytest.mark.parametrize("name", ["orchard", "hedge", "ranges"])
 def test_round_trip(spark, tmp_path, name):
     tree = read_mtg(spark, f"{FILES}/{name}.mtg")
-    write_mtg(tree, str(tmp_path / "out"), description=tree.header["description"])
-    again = read_mtg(spark, str(tmp_path / "out" / "*"))
+    assert write_mtg(tree, str(tmp_path / "out"), description=tree.header["description"]) == [f"{name}.mtg"]
+    again = read_mtg(spark, str(tmp_path / "out" / "*.mtg"))
     drop = ["tree_id", "node_id", "parent_id"]
     a, b = (t.indexed.orderBy("tin").drop(*drop, "path") for t in (tree, again))
     assert [r.asDict() for r in a.collect()] == [r.asDict() for r in b.collect()]
@@ -233,6 +233,12 @@ def test_warnings_and_cache(orchard):
     assert cache.cache_nodes(symbol="Bud").count() == 2
     with pytest.raises(ValueError):
         cache.cache_nodes(symbol="Bud")
+    assert [r.node_id for r in cache.traverse("symbol", symbol="Bud").collect()] == [5, 9]
+    assert cache.name(1, "2") != cache.name("1", 2)
+    lists = {r.start_id: r.buds for r in cache.cache_values("buds", symbol="Shoot").collect()}
+    assert lists == {r.start_id: r.buds for r in cache.descendants("buds", symbol="Shoot").collect()} and lists[1] == [3, 2, 0]
+    assert len(cache.kept) == 2 and cache.kept[cache.name("values", "buds", [("symbol", "Shoot")])] is cache.descendants("buds", symbol="Shoot")
+    cache.kept.popitem()
     assert cache.nodes(symbol="Bud") is not None and len(cache.clean_cache()) == 1 and cache.nodes(symbol="Bud") is None
 
 
@@ -244,6 +250,75 @@ def test_equality_and_rechildren(orchard):
     assert {(r.node_id, r.parent_id, r.child_ord) for r in tree.nodes.where("node_id in (5, 7, 9)").collect()} == {(9, 4, 1), (5, 4, 2), (7, None, 2)}
 
 
+def test_edits_of_one_of_several_trees(spark, orchard):
+    """Two trees with the same ids: an edit that names a tree leaves the other as it was."""
+    both = orchard.with_nodes(orchard.nodes.unionByName(orchard.nodes.withColumn("tree_id", F.lit("b"))))
+    new = {"link": "/", "symbol": "X", "index": 0, "scale": 1}
+    edits = [
+        lambda t, **k: E.prune(t, 7, **k),
+        lambda t, **k: E.delete_node(t, 4, **k),
+        lambda t, **k: E.move(t, 10, 4, **k),
+        lambda t, **k: E.rechildren(t, 4, [9, 5], **k),
+        lambda t, **k: E.replace_child(t, 4, 1, 10, **k),
+        lambda t, **k: E.insert_parent(t, 4, new, **k),
+        lambda t, **k: E.insert_sibling(t, 4, new, **k),
+        lambda t, **k: E.insert_child(t, 4, new, **k),
+        lambda t, **k: E.insert_generation(t, 4, new, **k),
+        lambda t, **k: E.attach(t, t, 4, **k)[0],
+    ]
+    columns = ["node_id", "parent_id", "child_ord", "link", "symbol"]
+    for edit in edits:
+        got = edit(both, tree_id="b").nodes
+        assert sorted(got.where("tree_id <> 'b'").select(columns).collect()) == sorted(orchard.nodes.select(columns).collect())
+        alone = edit(orchard).nodes.select(columns).collect()
+        assert sorted(map(repr, got.where("tree_id = 'b'").select(columns).collect())) == sorted(map(repr, alone))
+
+
+def test_filters_that_navigate(orchard):
+    below_first = lambda t: Q.parents(t, "index").where("parent_index = 1")
+    assert [r.node_id for r in Q.descendants(orchard, None, 1, where=below_first).orderBy("tin").collect()] == [4, 5, 6, 7]
+    assert [r.node_id for r in Q.ancestors(orchard, None, 8, where=below_first).orderBy("dist").collect()] == [7, 4]
+    assert sorted(column(E.delete_nodes(orchard, symbol="Bud", where=lambda t: Q.is_leaf(t).where("is_leaf")).nodes, "node_id")) == [1, 2, 3, 4, 5, 6, 7, 8, 10]
+    tree = C.mutate(orchard, {"seen": F.lit(1)}, where=below_first)
+    assert column(tree.nodes, "seen") == [None, None, None, 1, 1, 1, 1, None, None, None] and "_reached" not in tree.nodes.columns
+
+
+def test_delete_bare(orchard):
+    # 8 and 9 are leaves that match, and by that 7; 4 keeps the bud with its fruit
+    assert column(E.delete_bare(orchard, symbol=["Shoot", "Bud"]).nodes, "node_id") == [1, 2, 3, 4, 5, 6, 10]
+    assert column(E.delete_bare(orchard).nodes, "node_id") == [1]
+
+
+def test_totals_are_the_aggregates(orchard):
+    tree = C.mutate(orchard, {"x": (F.col("node_id") - 6) * 3})
+    for own in (False, True):
+        want = A.subtree_agg(tree, self=own, symbol=["Shoot", "Bud"], n=F.count(F.lit(1)), x=F.sum("x"), buds=F.sum("buds"))
+        got = A.subtree_totals(tree, self=own, symbol=["Shoot", "Bud"], x="x", buds="buds")
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_long_file_in_stretches(spark, monkeypatch):
+    """A file of many lines, numbered in stretches of 16: nodes and parents as in a plain walk."""
+    from sylvaframe.operators import index
+
+    monkeypatch.setattr(index, "WIDTH", 16)
+    r = random.Random(4)
+    lines, depth, last, want = [], 0, {}, []
+    for i in range(1, 400):
+        depth = r.randint(1, min(depth + 1, 6)) if i > 1 else 0
+        lines.append("\t" * depth + f"{r.choice('/<+')}S{i}" + "\t" * (7 - depth) + str(i))
+        want.append((i, last.get(depth - 1), i))
+        last[depth] = i
+    text = "CODE:\tFORM-A\nCLASSES:\nSYMBOL\tSCALE\tDECOMPOSITION\tINDEXATION\tDEFINITION\nS\t1\tFREE\tFREE\tIMPLICIT\nDESCRIPTION:\nLEFT\tRIGHT\tRELTYPE\tMAX\nFEATURES:\nNAME\tTYPE\nmass\tINT\nMTG:\nENTITY-CODE" + "\t" * 7 + "mass\n" + "\n".join(lines)
+    tree = parse_mtg(spark.createDataFrame([("f", text)], "file string, text string"))
+    assert [(x.node_id, x.parent_id, x.mass) for x in tree.nodes.orderBy("node_id").collect()] == want
+
+
+def test_strategy_is_checked(orchard):
+    with pytest.raises(ValueError):
+        orchard.with_nodes(orchard.nodes, strategy="recursive")
+
+
 def test_unify_widens(spark):
     a = model.node(spark, "/", "A", attributes={"x": 1})
     b = model.node(spark, "/", "A", attributes={"x": 2.5, "y": "z"}, tree_id="other")
