@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Codes, contractions, distinct_spans, id_text, ranges, stored, text_chunks
+from .common import CHUNK_BYTES, Codes, contractions, distinct_spans, id_text, ranges, stored, stretches, text_chunks
 
 BLOCK_BYTES = 32 << 20
 #: Tokens of a word above which a step merges all places of the lowest pair, not the first.
@@ -157,9 +157,11 @@ class RankMap:
         """Words of bytes as the fold takes them: a mark, a number for each byte (the rank of its pair with the next, and its id), a mark."""
         ends = np.cumsum(size + 2)
         out = np.full(ends[-1] if len(ends) else 0, NONE << self.BITS | NONE, np.int64)
-        at, b = ranges(ends - size - 1, size), raw[ranges(first, size)].astype(np.int64)
-        out[at] = self.first[b << 8 | np.append(b[1:], 0)]
-        out[ends - 2] = self.last[b[np.cumsum(size) - 1]]
+        for s in stretches(size):
+            n = size[s]
+            b = raw[ranges(first[s], n)].astype(np.int32)
+            out[ranges(ends[s] - n - 1, n)] = self.first[b << 8 | np.append(b[1:], 0)]
+            out[ends[s] - 2] = self.last[b[np.cumsum(n) - 1]]
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
 
     def rank(self, key: Column, table: Column) -> Column:
@@ -266,16 +268,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
             raw, size = np.concatenate([c[0] for c in chunks]), np.concatenate([c[1] for c in chunks])
             end = np.cumsum(size)
             one, code = distinct_spans(raw, end - size, end)
-            offset, out = 0, []
+            code, offset, out = code.astype("<i4"), 0, []
             for c in chunks:
-                out.append(code[offset : offset + len(c[1])][c[2]])
+                out.append(code[offset : offset + len(c[1])][c[2]].tobytes())
                 offset += len(c[1])
             return pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), started(raw, (end - size)[one], size[one])),
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([np.concatenate(counts).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([np.concatenate(out).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([b"".join(out)], pa.binary()),
                 ],
                 ["words", "doc_ids", "counts", "codes"],
             )

@@ -132,10 +132,23 @@ def differing(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.nda
     return out
 
 
+def stretches(size: np.ndarray, limit: int = CHUNK_BYTES // 4) -> Iterator[slice]:
+    """Stretches of spans with about ``limit`` values in all, so that work on them stays small."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def distinct_spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One stretch of each distinct content, and which of these every stretch has. Stretches of one hash are
-    compared value by value, so equal hashes of different stretches do no harm."""
-    h, size = span_hashes(values, first, last), last - first
+    """One stretch of each distinct content, and which of these every stretch has; stretches come in order of their place. Stretches
+    of one hash are compared value by value, so equal hashes of different stretches do no harm."""
+    size = last - first
+    h = np.empty(len(first), np.uint64)
+    for s in stretches(size):
+        at = first[s.start]
+        h[s] = span_hashes(values[at : last[s.stop - 1]], first[s] - at, last[s] - at)
     order = np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
     new[1:] = h[order[1:]] != h[order[:-1]]
@@ -144,8 +157,10 @@ def distinct_spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> t
     one = order[new]
     rest = order[~new]
     bad = size[rest] != size[one[which[rest]]]
-    same = rest[~bad]
-    bad[~bad] = differing(values, first[same], values, first[one[which[same]]], size[same])
+    same = np.flatnonzero(~bad)
+    for s in stretches(size[rest[same]]):
+        x = rest[same[s]]
+        bad[same[s]] = differing(values, first[x], values, first[one[which[x]]], size[x])
     found: dict[tuple[int, bytes], int] = {}
     more = []
     for i in rest[bad].tolist():  # another content with the hash of the first
