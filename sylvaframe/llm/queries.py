@@ -61,6 +61,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         fingerprint.resemblance(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
         fingerprint.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        fingerprint.containment(F.col("own"), F.col("edited_sketch")).alias("own_in_edited"),
+        fingerprint.containment(F.col("edited_sketch"), F.col("own")).alias("edited_in_own"),
     )
 
 

@@ -47,7 +47,7 @@ def brute(rows):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         a, b, c = (sketch(words_of(x)) for x in (text, edited, after))
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), likeness(a, b), likeness(a, c)))
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), likeness(a, b), likeness(a, c), len(set(a) & set(b)) / len(a), len(set(a) & set(b)) / len(b)))
     return out
 
 
@@ -88,5 +88,28 @@ def test_sketches_merge(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p"), (2, "q r s t u v w x y z")], "doc_id bigint, text string")
     a, b = (r.sketch for r in P.fingerprints(df, scale=1).orderBy("doc_id").collect())
     both = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
-    row = both.select(P.merged(F.col("a"), F.col("b")).alias("m"), P.containment(F.col("a"), P.merged(F.col("a"), F.col("b"))).alias("c"), P.resemblance(F.col("a"), F.col("b")).alias("r")).head()
+    row = both.select(P.merged(F.col("a"), F.col("b"), 1).alias("m"), P.containment(F.col("a"), P.merged(F.col("a"), F.col("b"), 1)).alias("c"), P.resemblance(F.col("a"), F.col("b")).alias("r")).head()
     assert row.m == sorted({*a, *b}) and row.c == 1.0 and row.r == 0.0
+
+
+def test_sketches_merge_by_the_threshold(spark):
+    """The sketch of a whole is that of its parts' sketches, also where a part has no hash under the threshold."""
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(n))) for i, n in enumerate([5, 5, 5, 6, 7, 5, 40, 5, 5, 6, 5, 200])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    parts = {r.doc_id: r.sketch for r in P.fingerprints(df).collect()}
+    top = -(1 << 63) + (1 << 64) // P.SCALE - 1
+    assert any(s[0] > top for s in parts.values()) and any(s[0] <= top for s in parts.values())
+    hashes = {r.doc_id: r.sketch for r in P.fingerprints(df, scale=1).collect()}
+    pairs = [(i, j) for i in parts for j in parts if i < j]
+    table = spark.createDataFrame([(i, j, parts[i], parts[j]) for i, j in pairs], "i int, j int, a array<bigint>, b array<bigint>")
+    for r in table.select("i", "j", P.merged(F.col("a"), F.col("b")).alias("m")).collect():
+        both = {*hashes[r.i], *hashes[r.j]}
+        assert r.m == (sorted(h for h in both if h <= top) or [min(both)])
+
+
+def test_ids_of_other_types(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_ROWS", 3)
+    texts = [f"text {i} of some words" for i in range(23)]
+    df = spark.createDataFrame([(f"id-{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(4)
+    want = [(f"id-{i:03}", t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2]) for i, t in enumerate(texts)]
+    same_rows(P.edited_pairs(df).select("doc_id", "edited"), want)
