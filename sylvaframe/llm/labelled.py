@@ -16,8 +16,9 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled documents: of the labelled ids among ``docs`` that ``train`` keeps, those with
-    the least hash. Ids labelled twice with different values, and null ids or labels, are left out."""
+    """At most ``max_rows`` labelled documents (doc_id, text, label): of the labelled ids among ``docs`` (doc_id, text) that ``train``
+    keeps, those with the least hash; of rows that share an id the one whose text has the least hash. Ids labelled twice with different
+    values, and null ids or labels, are left out."""
     at_hand = docs.select("doc_id").where("doc_id is not null").distinct()
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
@@ -29,7 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(max_rows)
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
-    return docs.join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
+    rows = docs.join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def fitted(examples: DataFrame, fit) -> dict[str, np.ndarray]:

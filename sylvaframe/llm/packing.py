@@ -34,6 +34,9 @@ CAPACITY = 2048
 CLOSING_ID = 0
 #: What ends the last piece of a word (fixed value).
 WORD_END = "</w>"
+#: How the tokenizer's file must normalise and split (fixed values): what ``split_words`` does.
+NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked together.
@@ -65,6 +68,21 @@ def split_words(texts: list[str]) -> tuple[Codes, np.ndarray, np.ndarray, np.nda
     return codes, first, last, counts
 
 
+def check_file(path: str) -> None:
+    """Raises an error if the tokenizer's file normalises or splits in another way."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = [(n.get("type"), n.get("pattern", {}).get("Regex")) for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    split, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
+    level = [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest]
+    if steps != NORMALIZER or split.get("pattern") != {"Regex": SPLIT} or not split.get("invert") or split.get("behavior") != "Removed" or level != [("ByteLevel", False, False)]:
+        raise ValueError(f"{path} does not normalise and split as this operator does")
+    if file["model"].get("end_of_word_suffix") != WORD_END:
+        raise ValueError(f"words of {path} do not end in {WORD_END}")
+
+
 class WordIds:
     """Ids of words by a tokenizer file, each word tokenised once while it is remembered.
 
@@ -131,6 +149,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if wanted, ``ids`` of every piece of every document."""
+    check_file(tokenizer_path)
     src = id_text(docs, id_col, text_col)
 
     def cut(batch):
