@@ -57,13 +57,11 @@ def sales_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keep(spark: SparkSession, name: str, sf_dir: str, make) -> TreeFrame:
-    """The tree with its index, built once per session and folder."""
+    """The tree, stored once per session and folder; its index is built when a query first needs it, and then kept with it."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _kept:
         tree = make()
-        tree = tree.with_nodes(stored(tree.nodes, name))
-        tree.indexed
-        _kept[key] = tree
+        _kept[key] = tree.with_nodes(stored(tree.nodes, name))
     return _kept[key]
 
 
