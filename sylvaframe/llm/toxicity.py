@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z) and read as UTF-8 bytes with every ASCII byte that is no letter as a space.
 Its features are the distinct 4- and 5-grams of these bytes, hashed to ``BUCKETS`` values. On the
 labelled sample each feature gets the log of the ratio of its (smoothed) frequencies in both classes; a
-logistic regression is fitted on the features times their ratios, and the product of weight and ratio is
-all that scoring needs.
+logistic regression, in which both classes weigh the same, is fitted on the features times their ratios, and the product of
+weight and ratio is all that scoring needs.
 
 The fit uses at most ``MAX_ROWS`` labelled documents (those with the least hash of the id) in one task;
 scoring covers every row where it lies, without a shuffle. Labels, language, source and id are no inputs.
@@ -79,11 +79,12 @@ def _fit(rows: pa.Table) -> dict[str, np.ndarray]:
     parts = [(number[ids[keep]], row[keep].astype(np.int32)) for ids, row in _slices(rows) for keep in [used[ids]]]
     col, row = np.concatenate([c for c, _ in parts]), np.concatenate([o for _, o in parts])
     r = ratio[used] / 3
-    w, b = np.zeros(len(r)), np.log(share / (1 - share))
+    w, b = np.zeros(len(r)), 0.0
+    weighed = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
     m, v, mb, vb = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
     for t in range(1, 301):  # Adam over the whole sample, with an L2 penalty
         z = np.bincount(row, (w * r)[col], minlength=len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weighed
         g = np.bincount(col, e[row], minlength=len(r)) * r + 1e-4 * w
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
