@@ -112,13 +112,11 @@ def test_a_crowd_emits_a_multiple_of_its_size(spark):
 
     places = {int(f) for f in arr}
     flips = [1 << b for b in open_[:18]]
-    for f in places:
-        for i in range(18):
-            for j in range(i, 18):
-                for k in range(j, 18):
-                    g = f ^ flips[i] ^ (flips[j] if j > i else 0) ^ (flips[k] if k > j else 0)
-                    if g > f and g in places:
-                        root[find(f)] = find(g)
+    for m in {a | b | c for a in flips for b in flips for c in flips}:
+        other = arr ^ np.uint64(m)
+        at = np.minimum(np.searchsorted(arr, other), len(arr) - 1)
+        for f, g in zip(arr[(arr[at] == other) & (other > arr)].tolist(), other[(arr[at] == other) & (other > arr)].tolist()):
+            root[find(f)] = find(g)
     groups = {}
     for f in places:
         groups.setdefault(find(f), set()).add(f)
