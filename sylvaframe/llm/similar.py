@@ -9,9 +9,10 @@ pair of segments a key for each pair of their codewords. Candidates with at most
 shingle sets. What is linked is exact; which links are found is not: a pair at similarity 0.8 meets with
 probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one link of many is enough.
 
-Texts with the same shingles are one node. A key with at most ``CROWD`` members gives all its pairs. In a larger one each member meets
-the first; once these links are joined to components, the members outside the largest component of the key meet
-all members that are not in their own. So no link between components is left out, and a crowd of near copies costs no more than its size.
+Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
+Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key, and
+after that, all members that are not in their own component. So no link between components is left out, and a crowd
+of near copies costs about its size, not the square of it.
 
 Words are those of ``simhash``; a text of fewer words is one shingle, an empty or null text has none and is a copy of the others. Rows are
 taken one by one: equal ids are rows of their own, rows without an id are linked but never named. Other columns are not carried.
@@ -31,7 +32,8 @@ from .simhash import first_rows, near_codewords
 SHINGLE = 5
 SIMILARITY = 0.8
 DISTANCE = 24
-CROWD = 8
+#: Rows of a key that are compared with each other at once; larger keys are kept whole.
+CROWD = 256
 SEGMENTS, WIDTH = 4, 23
 _WORD = np.uint64((1 << WIDTH) - 1)
 
@@ -105,6 +107,7 @@ def _keyed(batches):
 
 
 _PAIR = ["low", "high", "low2", "high2"]
+_MET = [*_PAIR, "size", "crowd"]
 
 
 def _differ(low, high, low2, high2):
@@ -112,23 +115,31 @@ def _differ(low, high, low2, high2):
 
 
 def _meet(distance: int, crowd: int):
-    """Of rows sorted by key: pairs of members, and (as a pair of a member with the key) the members of crowded keys."""
+    """Of rows sorted by key: every member of a key in which some are close, with one that is close to it (or itself), the number of
+    members, and a number for the set of members, so that keys with the same members count once."""
 
     def runs(key, low, high):
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(cut, len(key)))
-        hub = np.repeat(cut, size)
-        many = np.repeat(size, size) > crowd
-        out = [(np.flatnonzero(many), hub[many])]
+        hub, each = np.repeat(cut, size), np.repeat(size, size)
+        row = np.arange(len(key))
+        partner = np.where(_differ(low, high, low[hub], high[hub]) <= distance, hub, row)
+        close = partner != row
+        small = each <= crowd
         for d in range(1, min(crowd, int(size.max(initial=1)))):
-            at = np.flatnonzero(~many[d:] & (hub[d:] == hub[:-d])) + d
+            at = np.flatnonzero(small[d:] & (hub[d:] == hub[:-d])) + d
             if not len(at):
                 break
-            out.append((at, at - d))
-        for i, j in out:
-            ok = (i != j) & (_differ(low[i], high[i], low[j], high[j]) <= distance)
-            yield low[j[ok]], high[j[ok]], low[i[ok]], high[i[ok]], np.full(ok.sum(), -1, np.int64)
-        yield low[many], high[many], low[many], high[many], key[many]
+            near = at[_differ(low[at], high[at], low[at - d], high[at - d]) <= distance]
+            close[near] = close[near - d] = True
+            alone = near[partner[near] == near]
+            partner[alone] = alone - d
+        mixed = (low * 0x9E3779B97F4A7C1) ^ (high * 0x2545F4914F6CDD1)
+        members = np.add.reduceat(mixed * mixed + mixed, cut) if len(key) else mixed
+        name = np.where(size > crowd, key[cut], members)
+        use = close | ~small
+        p = partner[use]
+        return low[use], high[use], low[p], high[p], each[use], np.repeat(name, size)[use]
 
     def run(batches):
         held = None
@@ -138,17 +149,15 @@ def _meet(distance: int, crowd: int):
                 packed, low = np.concatenate([held[0], packed]), np.concatenate([held[1], low])
             key = packed >> 28
             end = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if len(key) - end > 4 * crowd:  # a crowd goes on as its first member and as many as make it crowded
+            if len(key) - end > 4 * crowd:  # a large key goes on as its first member and as many as make it large
                 done, keep = len(key), np.arange(end, end + crowd + 1)
             else:
                 done, keep = end, np.arange(end, len(key))
             held = packed[keep], low[keep]
             if done:
-                for part in runs(key[:done], low[:done], packed[:done] & (1 << 28) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], [*_PAIR, "crowd"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(key[:done], low[:done], packed[:done] & (1 << 28) - 1)], _MET)
         if held is not None and len(held[0]):
-            for part in runs(held[0] >> 28, held[1], held[0] & (1 << 28) - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], [*_PAIR, "crowd"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(held[0] >> 28, held[1], held[0] & (1 << 28) - 1)], _MET)
 
     return run
 
@@ -178,38 +187,38 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = prints.select("low", "high").mapInArrow(_keyed, "key bigint, low bigint")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     sorted_ = keyed.repartition(parts, F.shiftright("key", 28)).sortWithinPartitions("key", "low")
-    met = stored(sorted_.mapInArrow(_meet(distance, crowd), ", ".join(f"{c} bigint" for c in [*_PAIR, "crowd"])).distinct(), "met")
+    rows = sorted_.mapInArrow(_meet(distance, crowd), ", ".join(f"{c} bigint" for c in _MET))
+    met = stored(rows.groupBy("crowd", "low", "high").agg(F.max(F.struct("size", "low2", "high2")).alias("best")), "met")
 
-    # pairs of fingerprints as pairs of their first contents; the other contents of a fingerprint meet its first
+    # each fingerprint meets its partner in the largest key; further contents of a fingerprint meet its first
     hub = prints.select("low", "high", "hub")
-    pairs = met.where("crowd = -1").join(hub.withColumnRenamed("hub", "a"), ["low", "high"]).select("a", F.col("low2").alias("low"), F.col("high2").alias("high"))
+    best = met.groupBy("low", "high").agg(F.max("best").alias("best")).select("low", "high", F.col("best.low2").alias("low2"), F.col("best.high2").alias("high2")).where("low <> low2 or high <> high2")
+    pairs = best.join(hub.withColumnRenamed("hub", "a"), ["low", "high"]).select("a", F.col("low2").alias("low"), F.col("high2").alias("high"))
     pairs = pairs.join(hub.withColumnRenamed("hub", "b"), ["low", "high"]).select("a", "b")
     shared = nodes.join(prints.where("n > 1"), ["low", "high"]).select("low", "high", "hub", "content")
-    pairs = stored(pairs.union(shared.where("content <> hub").select("hub", "content")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    found = _similar(pairs, nodes, src, shingle, similarity)
-
-    # crowds (two of one number only mean more comparisons): keys with many fingerprints, fingerprints with several contents, and fingerprints that met only by their first contents
-    crowds = met.where("crowd <> -1").select("low", "high", "crowd")
-    crowds = crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high")
-    several = prints.where("n > 1").select("low", "high")
-    linked = met.where("crowd = -1").select(*_PAIR)
-    ends = linked.join(several, ["low", "high"]).union(linked.select("low2", "high2", "low", "high").toDF(*_PAIR).join(several, ["low", "high"]))
-    ends = ends.select(F.least(F.struct("low", "high"), F.struct(F.col("low2").alias("low"), F.col("high2").alias("high"))).alias("p"), F.greatest(F.struct("low", "high"), F.struct(F.col("low2").alias("low"), F.col("high2").alias("high"))).alias("q")).distinct()
-    named = ends.select(F.explode(F.array("p", "q")).alias("e"), F.xxhash64("p", "q").alias("crowd")).select("crowd", "e.low", "e.high")
-    named = named.union(several.select(F.xxhash64("low", "high"), "low", "high"))
-    crowds = stored(crowds.union(named.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high")), "crowds")
+    pairs = pairs.union(shared.where("content <> hub").select("hub", "content")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stored(pairs.distinct(), "candidates")
+    found = _similar(tried, nodes, src, shingle, similarity)
     roots = connected_components(found)
-    if not crowds.isEmpty():
+    crowds = met.select("crowd", "low", "high").union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high"))
+    crowds = stored(crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high"), "crowds")
+    near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
+    for whole in (False, True):
         member = crowds.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"))
-        main = counted.groupBy("crowd").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
+        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
         member = stored(member.join(main.select("crowd", "main"), "crowd"), "crowd-members")
-        one = member.where("root <> main").select("crowd", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")])
-        near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
-        more = one.join(member, "crowd").where((F.col("root") != F.col("root1")) & near)
-        more = stored(more.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "crowd-candidates")
+        outside = member.where("root <> main.root").select("crowd", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
+        if whole:
+            more = outside.drop("first").join(member, "crowd").where((F.col("root") != F.col("root1")) & near)
+        else:
+            more = outside.select("content1", "low1", "high1", "first.*").where(near)
+        more = more.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = stored(more, "crowd-candidates")
         if not more.isEmpty():
-            roots = connected_components(found.union(_similar(more, nodes, src, shingle, similarity)))
+            found = found.union(_similar(more, nodes, src, shingle, similarity))
+            tried = tried.union(more)
+            roots = connected_components(found)
     classes = stored(nodes.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", F.coalesce("root", "content").alias("class"), F.col("rep.doc_id").alias("least")), "classes")
     names = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     return own.join(classes.join(names, "class").select("content", "class", "component_id"), "content").select("doc_id", "mark", "class", "component_id")
