@@ -1,16 +1,14 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 ``pieces`` tokenises every document, adds the closing id and cuts what is longer than a sequence.
-``pack`` then works in bulk-synchronous steps on documents and gaps that are sorted by size. As sizes
-are whole numbers up to the capacity, each side is a list of runs: so many documents of a length, so many open
-sequences with a gap. A step takes the documents of the next length, longest first, and sweeps the gaps
-upwards from that length: the run with the smallest sufficient gap is the successor of them all. Which document gets which gap is
-resolved by rank: the k-th document of the run goes to the k-th gap. The gaps shrink and the step repeats until the run is placed,
-new sequences are opened where no gap suffices, and the next length follows.
-
-The tables of the sweep have at most one row for each size, whatever the size of the corpus, so the sweep itself is done once
-on the counts; ranks of the documents, and the assignment of every document by its rank, are distributed. A length that
-very many documents share is split into buckets for its ranks.
+``pack`` then takes the lengths from the longest down. As sizes are whole numbers up to the capacity, documents and gaps, sorted by size, are lists of
+runs: so many documents of a length, so many open sequences with a gap. The run of gaps with the smallest sufficient size is the successor of the documents of a length. Which document
+gets which gap is resolved by rank: the k-th document of the run goes to the k-th gap. The gaps shrink and the step repeats until the
+run is placed, new sequences are opened where no gap suffices, and the next length follows.
+
+This sweep runs once, on the driver, over the counts of at most ``capacity`` lengths; its result has a row for each part of a run and place in a
+sequence, and their number depends on the lengths that occur, not on the number of documents. Tokenising, the ranks of the documents, and the
+assignment of every document by its rank are distributed. A length that very many documents share is split into buckets for its ranks.
 
 Null and empty texts are one closing id. Rows that repeat an id, or have none, are packed one by one. Other
 columns are not carried. No rows give no rows.

@@ -98,3 +98,38 @@ def test_sample_is_bounded_and_consistent(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (4, 1)], "doc_id bigint, toxic int")
     ids = [r.doc_id for r in labelled_sample(docs.select("doc_id", "text"), labels, "toxic", F.lit(True), 10).select("doc_id").distinct().collect()]
     assert len(ids) <= 10 and 4 not in ids  # 4 is labelled 0 and 1
+
+
+def test_toxicity_fit_against_a_dense_one():
+    """Ratios and weights of the fit against the same sums over a dense table of documents and features."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    y = (r.random(60) < 0.3).astype(int)
+    ids = [sorted({int(i) for i in r.integers(0, 40, 12)} | ({100, 101} if t else {200}) | ({300} if k % 2 else set())) for k, t in enumerate(y)]
+    rows = pa.table({"doc_id": range(60), "label": y, "features": pa.array(ids, pa.list_(pa.int32()))})
+    got = toxicity._fit(rows)
+    names = sorted({i for x in ids for i in x})
+    x = np.array([[i in row for i in names] for row in ids], float)
+    ratio, used = [], []
+    for f in range(len(names)):
+        pos = sum(1 for k in range(60) if x[k][f] and y[k])
+        neg = sum(1 for k in range(60) if x[k][f] and not y[k])
+        ratio.append(math.log((pos + 0.5) / (y.sum() + 1)) - math.log((neg + 0.5) / ((1 - y).sum() + 1)))
+        used.append(pos + neg >= toxicity.LEAST_DOCUMENTS and abs(ratio[-1]) > 3 * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
+    at = [f for f in range(len(names)) if used[f]]
+    assert {names[f] for f in at} >= {100, 101}
+    x, scale = x[:, at] * np.array(ratio)[at] / 3, np.array(ratio)[at] / 3
+    p = np.zeros(len(at) + 1)  # weights and bias, Adam on the weighted loss
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for t in range(1, 301):
+        e = (1 / (1 + np.exp(-(x @ p[:-1] + p[-1]))) - y) * each
+        g = np.append(x.T @ e + 1e-4 * p[:-1], e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p -= 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(got["weight"][[names[f] for f in at]], p[:-1] * scale, atol=1e-5) and abs(float(got["bias"]) - p[-1]) < 1e-6
+    assert np.count_nonzero(got["weight"]) == len(at)
