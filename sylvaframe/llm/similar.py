@@ -10,9 +10,10 @@ shingle sets. What is linked is exact; which links are found is not: a pair at s
 probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one link of many is enough.
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
-Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key, and
-after that, all members that are not in their own component. So no link between components is left out, and a crowd
-of near copies costs about its size, not the square of it.
+Once these links are joined to components, each member outside the largest component of a key meets a member of that component, chosen by a hash for each key, and
+this is done again, with other members, until a round links nothing. After that, in keys with at most ``SMALL`` members all members meet that are
+not in one component. So a crowd of near copies costs about its size, not the square of it; of a crowd's text only a link that none of these meetings
+shows can be missed (a text meets as many members of the crowd as it has keys, in each round).
 
 Words are those of ``simhash``; a text of fewer words is one shingle, an empty or null text has none and is a copy of the others. Rows are
 taken one by one: equal ids are rows of their own, rows without an id are linked but never named. Other columns are not carried.
@@ -34,6 +35,8 @@ SIMILARITY = 0.8
 DISTANCE = 24
 #: Rows of a key that are compared with each other at once; larger keys are kept whole.
 CROWD = 256
+#: Members of a key of which in the end all meet that are not linked.
+SMALL = 16
 SEGMENTS, WIDTH = 4, 23
 _WORD = np.uint64((1 << WIDTH) - 1)
 
@@ -176,7 +179,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, sim
     return stored(both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "similar")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD, small: int = SMALL) -> DataFrame:
     """``doc_id``, ``mark`` (a hash of the text), ``class`` and ``component_id``, the least id of the class, of every row."""
     src = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     kind = dict(src.dtypes)["doc_id"]
@@ -203,22 +206,29 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowds = met.select("crowd", "low", "high").union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high"))
     crowds = stored(crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high"), "crowds")
     near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
-    for whole in (False, True):
+    round_, whole = 0, False
+    while True:
+        round_ += 1
         member = crowds.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
-        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        member = stored(member.join(main.select("crowd", "main"), "crowd"), "crowd-members")
-        outside = member.where("root <> main.root").select("crowd", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
+        any_ = F.struct(F.xxhash64("content", "crowd", F.lit(round_)).alias("order"), "content", "low", "high")
+        counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(any_).alias("any"))
+        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "any")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all")).where("k > 1")
+        member = stored(member.join(main.select("crowd", "main", "all"), "crowd"), "crowd-members")
+        outside = member.where("root <> main.root").select("crowd", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.any", "all")
         if whole:
-            more = outside.drop("first").join(member, "crowd").where((F.col("root") != F.col("root1")) & near)
+            more = outside.where(F.col("all") <= small).drop("any", "all").join(member, "crowd").where((F.col("root") != F.col("root1")) & near)
         else:
-            more = outside.select("content1", "low1", "high1", "first.*").where(near)
+            more = outside.select("content1", "low1", "high1", "any.content", "any.low", "any.high").where(near)
         more = more.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = stored(more, "crowd-candidates")
-        if not more.isEmpty():
-            found = found.union(_similar(more, nodes, src, shingle, similarity))
-            tried = tried.union(more)
+        new = None if more.isEmpty() else _similar(more, nodes, src, shingle, similarity)
+        linked = new is not None and not new.isEmpty()
+        if linked:
+            found, tried = found.union(new), tried.union(more)
             roots = connected_components(found)
+        if whole:
+            break
+        whole = not linked
     classes = stored(nodes.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", F.coalesce("root", "content").alias("class"), F.col("rep.doc_id").alias("least")), "classes")
     names = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     return own.join(classes.join(names, "class").select("content", "class", "component_id"), "content").select("doc_id", "mark", "class", "component_id")
