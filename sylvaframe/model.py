@@ -27,7 +27,7 @@ class TreeFrame:
     nodes: DataFrame
     catalog: dict[str, dict[str, T.DataType]] = field(default_factory=dict)
     header: dict = field(default_factory=dict)
-    strategy: str = "auto"  # of descendants: closure, interval or auto
+    strategy: str = "auto"  # of pairs of nodes: by pre-order (interval, auto) or by paths (closure)
     topology: TreeFrame | None = None  # a frame with the same nodes and parents, whose index holds here, too
 
     def __post_init__(self):
@@ -44,15 +44,34 @@ class TreeFrame:
 
     @cached_property
     def indexed(self) -> DataFrame:
-        """``nodes`` with ``depth, path, n_children, is_leaf, size, tin, tout``; built once for a topology."""
+        """``nodes`` with ``root_id, depth, n_children, is_leaf, size, tin, tout``; built once for a topology."""
         if self.topology is not None:
             return self.nodes.join(self.topology.indexed.select(*_index.KEY, *_index.COLUMNS), _index.KEY)
         return _index.build(self.nodes)
 
     @cached_property
-    def closure(self) -> DataFrame:
-        """``tree_id, anc_id, node_id, dist`` of every node and each node on its path, itself included."""
-        return _index.closure(self.indexed)
+    def largest(self) -> int:
+        """Nodes of the largest tree."""
+        return self.topology.largest if self.topology is not None else self.indexed.agg(F.max("size")).head()[0] or 0
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        """``tree_id, node_id, path``, for the strategy ``closure``."""
+        return self.topology.paths if self.topology is not None else _index.paths(self.nodes)
+
+    def pairs(self, above: DataFrame, below: DataFrame, own: bool = True, upper: list[str] = (), lower: list[str] = (), most: int | None = None) -> DataFrame:
+        """``tree_id, anc_id, node_id, dist`` of rows of the index and the rows in their subtrees, with columns of both."""
+        if self.strategy == "closure":
+            rows = _index.closure(below, self.paths, *lower).join(above.select("tree_id", F.col("node_id").alias("anc_id"), *upper), ["tree_id", "anc_id"])
+            rows = rows.where(F.col("dist") >= (0 if own else 1))
+            return (rows if most is None else rows.where(F.col("dist") <= most)).select("tree_id", "anc_id", "node_id", "dist", *upper, *lower)
+        return _index.pairs(above, below, self.largest, own, list(upper), list(lower), most)
+
+    def inside(self, node_id: int, tree_id: str | None = None) -> DataFrame:
+        """The rows of the index in the subtree of a node (without ``tree_id``: in every tree that has the id)."""
+        here = F.col("node_id") == node_id
+        top = self.indexed.where(here if tree_id is None else here & (F.col("tree_id") == tree_id)).select("tree_id", F.col("tin").alias("_low"), F.col("tout").alias("_high"))
+        return self.indexed.join(top, "tree_id").where("tin between _low and _high").drop("_low", "_high")
 
     def with_nodes(self, nodes: DataFrame, same_topology: bool = False, **changes) -> TreeFrame:
         """A frame of other nodes. With ``same_topology`` only attributes differ, and the index is not built anew."""

@@ -8,7 +8,13 @@ from pyspark.sql import types as T
 
 from ..storage import stored
 from .filters import Filter, navigating
-from .index import KEY, closure, path_sums, subtree_sums, sum_before
+from .index import KEY, along, last_before, path_sums, range_agg, subtree_sums, sum_before
+
+
+def _from(tree, start) -> DataFrame:
+    from .query import _starts
+
+    return tree.indexed if start is None else tree.indexed.where(_starts(start))
 
 
 @navigating
@@ -19,13 +25,7 @@ def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, l
     without passing nodes have no row.
     """
     columns = [c for c in tree.nodes.columns if c not in KEY]
-    rows = closure(tree.indexed.where(Filter(scale, symbol, link, where).column()), *columns)
-    if not self:
-        rows = rows.where("dist > 0")
-    if start is not None:
-        from .query import _only
-
-        rows = _only(rows, tree, "anc_id", start)
+    rows = tree.pairs(_from(tree, start), tree.indexed.where(Filter(scale, symbol, link, where).column()), self, lower=columns)
     return rows.groupBy("tree_id", F.col("anc_id").alias("start_id")).agg(*[a.alias(n) for n, a in aggregates.items()])
 
 
@@ -33,42 +33,74 @@ def subtree_agg(tree, start=None, self: bool = False, scale=None, symbol=None, l
 def path_agg(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: Column) -> DataFrame:
     """One row per start node with aggregates over the columns of the nodes above it."""
     columns = [c for c in tree.nodes.columns if c not in KEY]
-    up = tree.nodes.where(Filter(scale, symbol, link, where).column()).select("tree_id", F.col("node_id").alias("anc_id"), *columns)
-    rows = closure(tree.indexed)
-    if not self:
-        rows = rows.where("dist > 0")
-    if start is not None:
-        from .query import _only
+    rows = tree.pairs(tree.indexed.where(Filter(scale, symbol, link, where).column()), _from(tree, start), self, upper=columns)
+    return rows.groupBy("tree_id", F.col("node_id").alias("start_id")).agg(*[a.alias(n) for n, a in aggregates.items()])
+
 
-        rows = _only(rows, tree, "node_id", start)
-    return rows.join(up, ["tree_id", "anc_id"]).groupBy("tree_id", F.col("node_id").alias("start_id")).agg(*[a.alias(n) for n, a in aggregates.items()])
+_WHOLE = ("tinyint", "smallint", "int", "bigint", "decimal")
+_FRACTIONAL = ("float", "double")
 
 
 @navigating
 def subtree_totals(tree, self: bool = False, scale=None, symbol=None, link=None, where=None, **columns: str) -> DataFrame:
-    """``start_id``, ``n``, the number of passing nodes below each node, and by name the sums of columns of whole numbers over
+    """``start_id``, ``n``, the number of passing nodes below each node, and by name the sums of numeric columns over
     them (null where none has a value). Start nodes without passing nodes have no row.
 
-    The result of ``subtree_agg`` with counts and sums, by sums over the pre-order: a few rows for each node, however deep the trees.
+    The result of ``subtree_agg`` with counts and sums, however deep the trees. Whole numbers and decimals are differences of running sums over the
+    pre-order, which are exact; floating-point numbers are summed block by block, as differences of them would lose digits.
     """
+    kinds = dict(tree.nodes.dtypes)
+    if odd := [c for c in columns.values() if not kinds[c].startswith(_WHOLE + _FRACTIONAL)]:
+        raise TypeError(f"only numbers can be summed, not {', '.join(odd)}")
+    exact = {k: c for k, c in columns.items() if kinds[c].startswith(_WHOLE)}
     passes = Filter(scale, symbol, link, where).column()
     rows = tree.indexed.withColumn("_passes", passes)
+    values = {k: F.when(F.col("_passes"), F.col(c)) for k, c in exact.items()}
+    wanted = [(F.col("_passes").cast("int"), "n"), *[p for k, v in values.items() for p in ((F.coalesce(v, F.lit(0)), k), (v.isNotNull().cast("int"), f"_has_{k}"))]]
+    whole = subtree_sums(rows, *[x for pair in wanted for x in pair])
+    if not self:
+        own = rows.select(*KEY, *[v.alias(f"_own_{n}") for v, n in wanted])
+        whole = whole.join(own, KEY).select(*KEY, *[(F.col(n) - F.col(f"_own_{n}")).alias(n) for _, n in wanted])
+    sums = whole.where("n > 0").select("tree_id", F.col("node_id").alias("start_id"), "n", *[F.when(F.col(f"_has_{k}") > 0, F.col(k)).alias(k) for k in exact])
+    rest = {k: ("sum", c) for k, c in columns.items() if k not in exact}
+    if rest:
+        sums = sums.join(subtree_ranges(tree, None, self, scale, symbol, link, where, **rest), ["tree_id", "start_id"], "left")
+    return sums.select("tree_id", "start_id", "n", *columns)
 
-    def parts():  # sums of positive and of negative numbers apart, as running sums go up only
-        yield F.col("_passes").cast("int"), "n"
-        for k, c in columns.items():
-            v = F.when(F.col("_passes"), F.col(c).cast("bigint"))
-            yield F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)), f"_up_{k}"
-            yield F.greatest(-F.coalesce(v, F.lit(0)), F.lit(0)), f"_down_{k}"
-            yield v.isNotNull().cast("int"), f"_has_{k}"
 
-    wanted = [(v if self else v, n) for v, n in parts()]
-    whole = subtree_sums(rows, wanted[0][0], wanted[0][1], *[x for pair in wanted[1:] for x in pair])
-    if not self:
-        own = rows.select(*KEY, *[v.cast("bigint").alias(f"_own{n}") for v, n in wanted])
-        whole = whole.join(own, KEY).select(*KEY, *[(F.col(n) - F.col(f"_own{n}")).alias(n) for _, n in wanted])
-    sums = [F.when(F.col(f"_has_{k}") > 0, F.col(f"_up_{k}") - F.col(f"_down_{k}")).alias(k) for k in columns]
-    return whole.where("n > 0").select("tree_id", F.col("node_id").alias("start_id"), "n", *sums)
+_MERGED = {"max": F.max, "min": F.min, "sum": F.sum}
+
+
+@navigating
+def subtree_ranges(tree, start=None, self: bool = False, scale=None, symbol=None, link=None, where=None, **aggregates: tuple[str, str]) -> DataFrame:
+    """One row per start node with aggregates over the passing nodes below it, without a row for each of these: ``name=("max" | "min" | "sum" | "distinct", column)``.
+
+    In pre-order the nodes below are a range, which is put together from aligned blocks. ``distinct`` counts the different values that are not null: occurrences less
+    the pairs of neighbouring occurrences of one value, each pair counted at its lowest common ancestor. Start nodes without passing nodes have no row.
+    """
+    passing = tree.indexed.where(Filter(scale, symbol, link, where).column())
+    starts = _from(tree, start).select(*KEY, (F.col("tin") + (0 if self else 1)).alias("low"), F.col("tout").alias("high")).where("low <= high")
+    merged = {n: (_MERGED[kind], c) for n, (kind, c) in aggregates.items() if kind != "distinct"}
+    rows = passing.select("tree_id", "tin", *{c for _, c in merged.values()})
+    out = range_agg(starts, KEY, rows, tree.largest, _passing=(F.max, F.lit(1)), **merged)
+    for name, (kind, column) in aggregates.items():
+        if kind == "distinct":
+            out = out.join(_distinct(tree, passing, column, name, self), KEY)
+    return out.select("tree_id", F.col("node_id").alias("start_id"), *aggregates)
+
+
+def _distinct(tree, passing: DataFrame, column: str, name: str, own: bool) -> DataFrame:
+    """``tree_id, node_id`` and the number of different values of a column over the passing nodes in the subtree (``own``: the node itself is one)."""
+    seen = passing.where(F.col(column).isNotNull()).select(*KEY, "tin", F.col(column).alias("_v"), F.struct("tin", "node_id").alias("_me"))
+    before = stored(last_before(seen, ["tree_id", "_v"], "tin", "_me", "_last").where("_last is not null").select("tree_id", "node_id", F.col("_last.node_id").alias("_last_id"), (F.col("_last.tin") + 1).alias("low"), F.col("tin").alias("high")), "neighbours")
+    # the highest node that begins after the first and not after the second is a child of their lowest common ancestor
+    top = F.struct("depth", F.col("parent_id").alias("id"))
+    ancestor = range_agg(before, ["node_id", "_last_id"], tree.indexed, tree.largest, _top=(F.min, top)).where("_top.id is not null")
+    marks = ancestor.groupBy("tree_id", F.col("_top.id").alias("node_id")).agg(F.count(F.lit(1)).alias("_pairs"), F.count(F.when(F.col("_last_id") == F.col("_top.id"), 1)).alias("_mine"))
+    rows = tree.indexed.select(*KEY, "tin", "tout").join(seen.select(*KEY, F.lit(1).alias("_one")), KEY, "left").join(marks, KEY, "left").na.fill(0, ["_one", "_pairs", "_mine"])
+    summed = subtree_sums(rows, F.col("_one"), "_ones", F.col("_pairs"), "_all").join(rows.select(*KEY, "_one", "_mine"), KEY)
+    count = F.col("_ones") - F.col("_all")
+    return summed.select(*KEY, (count if own else count - F.col("_one") + F.col("_mine")).cast("bigint").alias(name))
 
 
 def subtree_size(tree) -> DataFrame:
@@ -115,18 +147,20 @@ def branching_order(tree, ascend: bool = True) -> DataFrame:
     # P: inner nodes linked by "+" on the path; a leaf's parent has the largest P above it, and only inner nodes count
     inner = F.when((F.col("link") == "+") & ~F.col("is_leaf"), 1).otherwise(0)
     marked = rows.withColumn("_own", inner).join(path_sums(rows, inner, "_P"), KEY)
-    most = closure(marked.where("is_leaf"), "_P").groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(F.max("_P").alias("_most"))
+    leaf = marked.where("is_leaf")
+    found = range_agg(marked.where("size > 1").select(*KEY, F.col("tin").alias("low"), F.col("tout").alias("high")), KEY, leaf.select("tree_id", "tin", "_P"), tree.largest, _most=(F.max, "_P"))
+    most = found.union(leaf.select(*KEY, "_P"))
     # a leaf adds nothing itself, so its P is that of its parent
     return marked.join(most, KEY).select(*KEY, F.when(F.col("is_leaf"), 1).otherwise(1 + F.col("_most") - F.col("_P") + F.col("_own")).cast("int").alias("branching_order"))
 
 
 def pipe_model(tree, root_value: float) -> DataFrame:
     """``pipe``: the root's value shared at every node in proportion to the leaf counts of the children."""
-    rows = tree.indexed.select(*KEY, "parent_id", "child_ord", "depth", "path").join(nleaves(tree), KEY)
-    share = F.when(F.col("parent_id").isNull(), F.lit(1.0)).otherwise(F.col("nleaves") / F.sum("nleaves").over(Window.partitionBy("tree_id", "parent_id")))
-    shares = rows.select("tree_id", F.col("node_id").alias("anc_id"), share.alias("_share"))
-    along = closure(rows).join(shares, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.product("_share").alias("_part"))
-    return along.select(*KEY, (F.lit(float(root_value)) * F.col("_part")).alias("pipe"))
+    rows = stored(tree.indexed.select(*KEY, "parent_id", "is_leaf").join(nleaves(tree), KEY), "leaf-counts")
+    every = rows.where("parent_id is not null").groupBy("tree_id", "parent_id").agg(F.sum("nleaves").alias("_all"))
+    share = F.when(F.col("parent_id").isNull(), F.lit(float(root_value))).otherwise(F.col("nleaves") / F.col("_all"))
+    shares = rows.join(every, ["tree_id", "parent_id"], "left").select(*KEY, F.col("parent_id").alias("jump"), "is_leaf", share.alias("pipe"))
+    return along(shares, {"pipe": "product"})
 
 
 def pipe_model_threshold(tree, variable: str, threshold: float, allow_missing: bool = False) -> DataFrame:
@@ -153,7 +187,9 @@ def pipe_model_threshold(tree, variable: str, threshold: float, allow_missing: b
     takable = takable.groupBy(*kin).agg(F.array_sort(F.collect_list(F.struct("child_ord", "node_id", F.col("_val").alias("v"), F.col("_n").alias("n")))).alias("_kin"))
     local = rows.join(mixed.select(*KEY, "_total"), KEY, "left").join(takable, kin, "left").select("tree_id", F.col("node_id").alias("anc_id"), "parent_id", "_v", "_n", "_many", "_all", "_total", "_kin")
     facts = F.struct((-F.col("dist")).alias("o"), F.col("anc_id").alias("id"), F.col("parent_id").isNull().alias("root"), F.col("_v").alias("v"), F.col("_n").alias("n"), (F.col("_all") - F.col("_n")).alias("others"), (F.col("_many") == 1).alias("alone"), F.col("_total").alias("total"), F.col("_kin").alias("kin"))
-    along = closure(tree.indexed).join(local, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(facts)).alias("_path"))
+    carried = [c for c in local.columns if c not in ("tree_id", "anc_id")]
+    above = tree.indexed.select(*KEY, "tin", "tout", "depth", "size").join(local.withColumnRenamed("anc_id", "node_id"), KEY)
+    paths = tree.pairs(above, tree.indexed, upper=carried).groupBy(*KEY).agg(F.array_sort(F.collect_list(facts)).alias("_path"))
 
     def step(pool, x):
         def take(state, s):
@@ -165,7 +201,7 @@ def pipe_model_threshold(tree, variable: str, threshold: float, allow_missing: b
         shared = F.when(x.kin.isNull(), pool * (x.n / (x.others + x.n))).otherwise(taken)
         return F.when(x.root | F.coalesce(x.v > threshold, F.lit(False)), x.v).when(x.alone, pool).otherwise(shared)
 
-    return along.select(*KEY, F.aggregate("_path", F.lit(None).cast("double"), step).alias("pipe"))
+    return paths.select(*KEY, F.aggregate("_path", F.lit(None).cast("double"), step).alias("pipe"))
 
 
 def get_classes(tree) -> DataFrame:
@@ -216,6 +252,6 @@ def new_id(tree) -> DataFrame:
 
 def attribute_names(tree, start: int | None = None) -> list[str]:
     """Names that the symbols of the trees, or of one subtree, have."""
-    rows = tree.nodes if start is None else tree.indexed.where(F.array_contains("path", start))
+    rows = tree.nodes if start is None else tree.inside(start)
     found = {r.symbol for r in rows.select("symbol").distinct().collect()}
     return list(dict.fromkeys(a for s, names in tree.catalog.items() if s in found for a in names))

@@ -156,7 +156,7 @@ def mutate(tree, assignments: dict[str, Column | str], scale=None, symbol=None,
 def per_tree(tree, fn, schema: str | T.StructType) -> DataFrame:
     """For what no expression can say: ``fn`` takes the rows of one tree as a pandas DataFrame, in pre-order, and
     gives one. A tree must fit in a task's memory."""
-    return tree.indexed.drop("path").groupBy("tree_id").applyInPandas(lambda rows: fn(rows.sort_values("tin")), schema)
+    return tree.indexed.groupBy("tree_id").applyInPandas(lambda rows: fn(rows.sort_values("tin")), schema)
 
 
 def equal_nodes(a, b) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def mtg_table(tree, variables: list[str] | None = None, start: int | None = None) -> DataFrame:
     """Every node with its encoding, parent and attributes (null where absent); ``tin`` is the pre-order."""
-    rows = tree.indexed if start is None else tree.indexed.where(F.array_contains("path", start))
+    rows = tree.indexed if start is None else tree.inside(start)
     names = tree.attributes if variables is None else variables
     return rows.select("tree_id", "node_id", "symbol", "scale", "index", "link", "parent_id", *[F.col(v) if v in tree.attributes else F.lit(None).cast("string").alias(v) for v in names], "tin")
 

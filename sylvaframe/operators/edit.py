@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import new_child_link, segment_child_link
 from .filters import Filter, navigating
-from .index import KEY, closure, path_sums, subtree_sums, sum_before
+from .index import KEY, path_sums, subtree_sums, sum_before
 from .schema import unify
 
 
@@ -29,13 +29,9 @@ def _is(node_id: int, tree_id: str | None, column: str = "node_id") -> Column:
 
 def _matched(tree, scale=None, symbol=None, link=None, where=None, all: bool = True, start=None) -> DataFrame:
     """The index rows that an edit matches; ``all=False`` leaves out those below another match."""
-    rows = tree.indexed.withColumn("_m", Filter(scale, symbol, link, where).column())
-    if start is not None:
-        rows = rows.withColumn("_m", F.col("_m") & F.array_contains("path", start))
-    if not all:
-        above = rows.where("_m").select("tree_id", F.col("node_id").alias("anc_id"))
-        below = closure(rows.where("_m")).where("dist > 0").join(above, ["tree_id", "anc_id"], "left_semi").select(*KEY).distinct()
-        rows = rows.where("_m").join(below, KEY, "left_anti")
+    rows = (tree.indexed if start is None else tree.inside(start)).withColumn("_m", Filter(scale, symbol, link, where).column())
+    if not all:  # the first match on its path
+        rows = rows.join(path_sums(rows, F.col("_m").cast("int"), "_matches"), KEY).where("_matches = 1").drop("_matches")
     return rows.where("_m").drop("_m")
 
 
@@ -128,15 +124,14 @@ add_child = insert_child
 def _delete(tree, gone: DataFrame, child_link) -> object:
     """Delete the nodes of ``gone``; their children go to the nearest kept node above, behind its own children."""
     rows = tree.indexed.join(gone.select(*KEY, F.lit(True).alias("_d")), KEY, "left").withColumn("_d", F.coalesce("_d", F.lit(False)))
-    flags = rows.select("tree_id", F.col("node_id").alias("anc_id"), F.col("_d").alias("_ad"), F.col("link").alias("_al"), F.col("child_ord").alias("_ao"), F.col("n_children").alias("_an"))
-    parent = flags.select("tree_id", F.col("anc_id").alias("parent_id"), F.col("_ad").alias("_pd"))
+    parent = rows.select("tree_id", F.col("node_id").alias("parent_id"), F.col("_d").alias("_pd"))
     kept = rows.where("not _d").join(parent, ["tree_id", "parent_id"], "left").withColumn("_moves", F.coalesce("_pd", F.lit(False)))
     # a deleted root must have one child, which becomes the root, and so on; a tree of deleted roots only is an error, too
     gone_above = path_sums(rows, F.col("_d").cast("int"), "_gone")
     bad = rows.where("_d and n_children <> 1").join(gone_above, KEY).where("_gone = depth + 1").select("tree_id").distinct().withColumn("_bad", F.lit(True))
 
-    chain = closure(kept.where("_moves")).where("dist > 0").join(flags, ["tree_id", "anc_id"]).groupBy(*KEY)
-    chain = chain.agg(F.array_sort(F.collect_list(F.struct("dist", F.col("anc_id").alias("id"), F.col("_ad").alias("d"), F.col("_al").alias("l"), F.col("_ao").alias("o")))).alias("_up"))
+    chain = tree.pairs(rows, kept.where("_moves"), False, upper=["_d", "link", "child_ord"]).groupBy(*KEY)
+    chain = chain.agg(F.array_sort(F.collect_list(F.struct("dist", F.col("anc_id").alias("id"), F.col("_d").alias("d"), F.col("link").alias("l"), F.col("child_ord").alias("o")))).alias("_up"))
     first = F.coalesce(F.array_min(F.transform(F.filter("_up", lambda x: ~x.d), lambda x: x.dist)), F.size("_up") + 1)  # distance of the nearest kept node
     chain = chain.withColumn("_first", first)
     run = F.filter("_up", lambda x: x.dist < F.col("_first"))
@@ -200,10 +195,10 @@ def delete_segments(tree):
 
 def prune(tree, node_id: int, tree_id: str | None = None):
     """Remove a node and all below it (without ``tree_id``: in every tree that has the id); an error for a root."""
-    cut = F.array_contains("path", node_id) & (F.lit(True) if tree_id is None else F.col("tree_id") == tree_id)
-    stop = F.raise_error(F.lit("can't prune at the root")).cast("string")
-    rows = tree.indexed.where(~cut | F.col("parent_id").isNull())
-    rows = rows.withColumn("tree_id", F.when(_is(node_id, tree_id), stop).otherwise(F.col("tree_id")))
+    stop = F.raise_error(F.lit("can't prune at the root")).cast("bigint")
+    cut = tree.inside(node_id, tree_id)
+    cut = cut.select(*KEY, F.when(_is(node_id, tree_id) & F.col("parent_id").isNull(), stop).otherwise(F.lit(1)).alias("_cut"))
+    rows = tree.indexed.join(cut, KEY, "left").where("_cut is null").drop("_cut")
     return tree.with_nodes(_ordered(rows, "child_ord").select(*tree.nodes.columns))
 
 

@@ -1,66 +1,202 @@
-"""Paths, closure and pre-order of trees, without a step per level.
+"""Depth, size and pre-order of trees without a step per level or a path per node, and joins over pre-order.
 
-Paths come from pointer doubling: after round k a node knows up to 2^k nodes above it, so depth d takes about
-log2 d rounds. The closure is the exploded path. Pre-order numbers are sums along the path: a node comes after
-its parent and after the subtrees of its earlier siblings, so no tree has to be sorted in one place.
+Inner nodes know a node above them, their jump, at first their parent; in each round a node takes its jump's jump. So after k rounds a jump is
+2^k steps long, and a tree of depth d takes about log2 d rounds of at most one row for each inner node, also where it is a chain of
+millions. Trees of up to ``LOCAL`` inner nodes go through these rounds in the arrays of a task, many trees side by side; larger ones in joins. In the same rounds a node hands the number of nodes that it has counted below itself to its jump, which gives sizes, and later adds
+what its jump has summed up, which gives pre-order numbers: a node comes after its parent and after the subtrees of its earlier siblings.
+Leaves take part in no round. (Ranking the arcs of an Euler tour takes log2 of twice the number of nodes, however shallow the trees are.)
+
+In pre-order a subtree is a range. Sums over it are differences of running sums; anything that merges is put together from aligned
+blocks of 1, 8, 64, ... places; pairs of nodes and nodes below them come from an equi-join of ranges cut into bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
 KEY = ["tree_id", "node_id"]
-COLUMNS = ["depth", "path", "n_children", "is_leaf", "size", "tin", "tout"]
+COLUMNS = ["root_id", "depth", "n_children", "is_leaf", "size", "tin", "tout"]
+#: Inner nodes of the largest tree that is ranked in one task (a few numbers each), and rows that are ranked at a time.
+LOCAL, CHUNK = 1 << 20, 1 << 18
 #: Places of an order that one window takes at a time.
 WIDTH = 1 << 16
+#: Places of the narrowest bins of ``pairs``, how many times wider those of the next level are, and the bins of a range at which that is used.
+BIN, WIDER, MOST_BINS = 32, 64, 512
+#: Places of a block of ``range_agg`` in one of the next level.
+BLOCK = 8
+
+
+CYCLE = "the parents of some nodes form a cycle"
+
+
+def _missing(parent: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("no node with the id "), parent.cast("string")))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """``tree_id, node_id, path`` (ids from the root to the node). Raises an error on cycles and missing parents."""
+    """``tree_id, node_id, path`` (ids from the root to the node), for the strategy ``closure``: as many entries as the sum of depths."""
     up = stored(nodes.select("tree_id", "node_id", F.col("parent_id").alias("jump"), F.array("node_id").alias("path")), "paths")
     total = up.count()
     rounds = 0
     while not up.where("jump is not null").isEmpty():
         rounds += 1
         if 2 ** (rounds - 1) > total:
-            raise ValueError("the parents of some nodes form a cycle")
+            raise ValueError(CYCLE)
         above = up.select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("_next"), F.col("path").alias("_above"))
         open_, done = up.where("jump is not null"), up.where("jump is null")
         joined = open_.join(above, ["tree_id", "jump"], "left")
-        missing = F.raise_error(F.concat(F.lit("no node with the id "), F.col("jump").cast("string")))
-        path = F.when(F.col("_above").isNull(), missing.cast("array<bigint>")).otherwise(F.concat("_above", "path"))
+        path = F.when(F.col("_above").isNull(), _missing(F.col("jump")).cast("array<bigint>")).otherwise(F.concat("_above", "path"))
         up = stored(joined.select("tree_id", "node_id", F.col("_next").alias("jump"), path.alias("path")).union(done.select("tree_id", "node_id", "jump", "path")), "paths")
     return up.drop("jump")
 
 
-def closure(indexed: DataFrame, *columns: str) -> DataFrame:
-    """A row for each node and each node on its path, with columns of the lower node."""
-    return indexed.select("tree_id", "node_id", *columns, "depth", F.posexplode("path").alias("_pos", "anc_id")).select("tree_id", "anc_id", "node_id", (F.col("depth") - F.col("_pos")).cast("int").alias("dist"), *columns)
+def _ranks(keys: list[pa.Array], jump: pa.Array) -> np.ndarray:
+    """The row of each row's jump, -1 at a root, among whole trees. Raises an error on a jump to nowhere."""
+    tree = pc.dictionary_encode(keys[0]).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    node, is_root = keys[1].to_numpy(), pc.is_null(jump).to_numpy(zero_copy_only=False)
+    above = pc.fill_null(jump, 0).to_numpy()
+    known, code = np.unique(node, return_inverse=True)
+    own = tree * len(known) + code
+    order = np.argsort(own, kind="stable")
+    at = np.minimum(np.searchsorted(known, above), len(known) - 1)
+    place = np.minimum(np.searchsorted(own[order], tree * len(known) + at), len(own) - 1)
+    found = order[place]
+    wrong = ~is_root & ((node[found] != above) | (tree[found] != tree))
+    if wrong.any():
+        raise ValueError(f"no node with the id {above[wrong][0]}")
+    return np.where(is_root, -1, found)
+
+
+def _by_tree(rows: DataFrame, schema: str, solve) -> DataFrame:
+    """``solve`` for whole trees of at most ``LOCAL`` rows each, some at a time: it takes the rows, each row's jump among them, and gives columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def solved(table: pa.Table):
+        batch = table.combine_chunks().to_batches()[0]
+        found = solve(batch, _ranks([batch.column("tree_id"), batch.column("node_id")], batch.column("jump")))
+        return pa.RecordBatch.from_arrays([batch.column("tree_id"), batch.column("node_id"), *[pa.array(found[n], arrow.field(n).type) for n in arrow.names[2:]]], schema=arrow)
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if count >= CHUNK:  # up to the last tree that has begun, the rows are whole trees
+                table = pa.Table.from_batches([*held, batch])
+                tree = table.column("tree_id")
+                last = pc.index(tree, tree[-1]).as_py()
+                if last:
+                    yield solved(table.slice(0, last))
+                    held, count = table.slice(last).to_batches(), table.num_rows - last
+                    continue
+            held.append(batch)
+            count += batch.num_rows
+        if held:
+            yield solved(pa.Table.from_batches(held))
+
+    return rows.repartition("tree_id").sortWithinPartitions("tree_id").mapInArrow(run, schema)
+
+
+def _doubling(jump: np.ndarray, step) -> None:
+    """Rounds of ``step(rows, their jumps)`` with jumps of twice the length each, until no row has one."""
+    jump = jump.copy()
+    for _ in range(int(len(jump)).bit_length() + 1):
+        rows = np.flatnonzero(jump >= 0)
+        if not len(rows):
+            return
+        to = jump[rows]
+        step(rows, to)
+        jump[rows] = jump[to]
+    raise ValueError(CYCLE)
 
 
-def sum_before(rows: DataFrame, keys: list[str], order: str, value, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the rows of the same keys that come before by ``order``, whole numbers of 0 or more.
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of trees of at most ``LOCAL`` rows, and those of larger ones if there are any."""
+    large = rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > LOCAL).select("tree_id")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "tree_id", "left_anti"), rows.join(large, "tree_id", "left_semi")
+
+
+#: How values of a path are folded, for columns and for arrays.
+FOLDS = {"sum": (lambda a, b: a + b, np.add), "product": (lambda a, b: a * b, np.multiply)}
+
+
+def along(rows: DataFrame, folds: dict[str, str]) -> DataFrame:
+    """``tree_id, node_id`` and columns folded (``sum`` or ``product``) over the path of every row, from its root down.
+
+    ``rows`` has ``tree_id, node_id, jump`` (the parent; null at a root), ``is_leaf`` and the columns. Leaves follow their parents at the end. Trees of at most
+    ``LOCAL`` inner nodes are folded in one task each; in larger ones all inner nodes double their jumps together, and each round is
+    stored, so a lost executor costs one round.
+    """
+    names = list(folds)
+    kinds = dict(rows.dtypes)
+    rows = stored(rows.select(*KEY, "jump", "is_leaf", *names), "along")
+    leaf = F.col("is_leaf") & F.col("jump").isNotNull()
+    small, big = _split(rows.where(~leaf).select(*KEY, "jump", *names))
+
+    def solve(batch, jump):
+        values = {n: batch.column(n).to_numpy(zero_copy_only=False).copy() for n in names}
+
+        def step(at, to):
+            for n, fold in folds.items():
+                values[n][at] = FOLDS[fold][1](values[n][to], values[n][at])
+
+        _doubling(jump, step)
+        return values
+
+    done = _by_tree(small, f"tree_id {kinds['tree_id']}, node_id {kinds['node_id']}, " + ", ".join(f"{n} {kinds[n]}" for n in names), solve)
+    if big is not None:
+        up = stored(big, "along")
+        rounds, total = 0, up.count()
+        while not (open_ := up.where("jump is not null")).isEmpty():
+            rounds += 1
+            if 2 ** (rounds - 1) > total:
+                raise ValueError(CYCLE)
+            above = up.select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("_next"), F.lit(True).alias("_there"), *[F.col(n).alias(f"_a_{n}") for n in names])
+            joined = open_.join(above, ["tree_id", "jump"], "left")
+            onward = F.when(F.col("_there").isNull(), _missing(F.col("jump")).cast("bigint")).otherwise(F.col("_next"))
+            step = joined.select(*KEY, onward.alias("jump"), *[FOLDS[f][0](F.col(f"_a_{n}"), F.col(n)).alias(n) for n, f in folds.items()])
+            up = stored(step.union(up.where("jump is null").select(step.columns)), "along")
+        done = done.union(up.drop("jump"))
+    done = stored(done, "along")
+    over = done.select("tree_id", F.col("node_id").alias("jump"), *[F.col(n).alias(f"_a_{n}") for n in names])
+    under = rows.where(leaf).join(over, ["tree_id", "jump"]).select(*KEY, *[FOLDS[f][0](F.col(f"_a_{n}"), F.col(n)).alias(n) for n, f in folds.items()])
+    return done.union(under)
+
+
+def sum_before(rows: DataFrame, keys: list[str], order: str, value, name: str, *more) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same keys that come before by ``order``; ``more`` are further pairs of value and name.
 
     Stretches of ``WIDTH`` places are summed on their own and then follow each other, so that a parent with very many children,
     or one giant tree, is no single task.
     """
+    pairs = [(value, name), *zip(more[::2], more[1::2])]
     rows = rows.withColumn("_stretch", F.floor(F.col(order) / WIDTH))
-    sums = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
-    start = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(*keys, "_stretch", start.alias("_start")).where("_stretch > 0")
-    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy(order, "node_id").rowsBetween(Window.unboundedPreceding, -1))
+    sums = rows.groupBy(*keys, "_stretch").agg(*[F.sum(v).alias(f"_sum_{n}") for v, n in pairs])
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_stretch", *[F.sum(f"_sum_{n}").over(before).alias(f"_start_{n}") for _, n in pairs]).where("_stretch > 0")
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order, "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumns({n: F.sum(v).over(inside) for v, n in pairs}).join(starts, [*keys, "_stretch"], "left")
     zero = F.lit(0).cast("bigint")
-    return rows.withColumn(name, F.coalesce(inside, zero)).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.col(name) + F.coalesce("_start", zero)).drop("_stretch", "_start")
+    return summed.withColumns({n: F.coalesce(n, zero) + F.coalesce(f"_start_{n}", zero) for _, n in pairs}).drop("_stretch", *[f"_start_{n}" for _, n in pairs])
 
 
 def path_sums(indexed: DataFrame, value, name: str) -> DataFrame:
     """``tree_id, node_id`` and the sum of ``value``, a whole number, over the node's path, itself included.
 
     In pre-order every node opens with its value and closes with the opposite behind its subtree; what is open before a node
-    is the sum of its ancestors. That takes two rows for each node, where the closure has one for each node and ancestor.
+    is the sum of its ancestors. That takes two rows for each node.
     """
     rows = indexed.select(*KEY, "tin", "tout", value.cast("bigint").alias("_value"))
     opens = rows.select(*KEY, (F.col("tin") * 2).alias("_at"), "_value")
@@ -70,21 +206,20 @@ def path_sums(indexed: DataFrame, value, name: str) -> DataFrame:
 
 
 def subtree_sums(indexed: DataFrame, value, name: str, *more) -> DataFrame:
-    """``tree_id, node_id`` and the sum of ``value``, a whole number of 0 or more, over the node's subtree, itself included; ``more`` are
+    """``tree_id, node_id`` and the sum of ``value``, whole numbers or decimals, over the node's subtree, itself included; ``more`` are
     further pairs of value and name.
 
-    In pre-order a subtree is a stretch, so its sum is the sum before its end less the sum before its beginning: two rows for each node.
+    In pre-order a subtree is a range, so its sum is the running sum through its end less that before its beginning: one running sum for all
+    values and one look-up for each inner node.
     """
     pairs = [(value, name), *zip(more[::2], more[1::2])]
-    out = None
-    for v, n in pairs:
-        rows = indexed.select(*KEY, "tin", "tout", v.cast("bigint").alias("_value"))
-        opens = rows.select(*KEY, (F.col("tin") * 2).alias("_at"), "_value")
-        closes = rows.select(*KEY, (F.col("tout") * 2 + 1).alias("_at"), F.lit(0).cast("bigint").alias("_value"))
-        summed = sum_before(opens.union(closes), ["tree_id"], "_at", F.col("_value"), "_sum")
-        one = summed.groupBy(*KEY).agg((F.max("_sum") - F.min("_sum")).alias(n))
-        out = one if out is None else out.join(one, KEY)
-    return out
+    names = [n for _, n in pairs]
+    rows = indexed.select(*KEY, "tin", "tout", *[F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for v, n in pairs])
+    rows = rows.select(*KEY, "tin", "tout", *[F.col(f"_v_{n}").cast("bigint" if dict(rows.dtypes)[f"_v_{n}"] in ("int", "smallint", "tinyint", "boolean") else dict(rows.dtypes)[f"_v_{n}"]).alias(f"_v_{n}") for n in names])
+    run = sum_before(rows, ["tree_id"], "tin", F.col(f"_v_{names[0]}"), names[0], *[x for n in names[1:] for x in (F.col(f"_v_{n}"), n)])
+    ends = run.select("tree_id", F.col("tin").alias("tout"), *[(F.col(n) + F.col(f"_v_{n}")).alias(f"_end_{n}") for n in names])
+    inner = run.where("tin < tout").join(ends, ["tree_id", "tout"]).select(*KEY, *[(F.col(f"_end_{n}") - F.col(n)).alias(n) for n in names])
+    return inner.union(run.where("tin = tout").select(*KEY, *[F.col(f"_v_{n}").alias(n) for n in names]))
 
 
 def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -98,12 +233,158 @@ def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name:
     return rows.withColumn(name, inside).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.coalesce(name, "_start")).drop("_stretch", "_start")
 
 
+def _largest(indexed: DataFrame) -> int:
+    return indexed.agg(F.max("size")).head()[0] or 0
+
+
+def pairs(above: DataFrame, below: DataFrame, largest: int, own: bool, upper: list[str] = (), lower: list[str] = (), most: int | None = None) -> DataFrame:
+    """A structural join: ``tree_id, anc_id, node_id, dist`` of every row of ``above`` and each row of ``below`` in its subtree, with
+    columns of both (``upper``, ``lower``). ``own`` keeps a node as its own pair, ``most`` is the greatest distance.
+
+    Both sides are rows of the index; ``largest`` is the size of the largest subtree. A range of pre-order numbers is cut into bins, wider ones for larger ranges, at most ``MOST_BINS``;
+    a node lies in one bin of each width. Bin by bin an equi-join meets the range's bounds, so only pairs that are results leave it.
+    """
+    levels = 1
+    while largest > BIN * MOST_BINS * WIDER ** (levels - 1):
+        levels += 1
+    wide = [BIN * WIDER**k for k in range(levels)]
+    ranges = above.select("tree_id", F.col("node_id").alias("anc_id"), "tin", "tout", "depth", "size", *upper)
+    if not own:
+        ranges = ranges.where("size > 1")
+    level = F.lit(0)
+    for k in range(1, levels):
+        level = level + (F.col("size") > BIN * MOST_BINS * WIDER ** (k - 1)).cast("int")
+    at = F.element_at(F.lit(wide), F.col("_level") + 1)
+    ranges = ranges.withColumn("_level", level).select(
+        "tree_id", "anc_id", "_level", F.explode(F.sequence(F.floor(F.col("tin") / at), F.floor(F.col("tout") / at))).alias("_bin"), F.col("tin").alias("_low"), F.col("tout").alias("_high"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_u_{c}") for c in upper]
+    )
+    nodes = below.select(*KEY, "tin", "depth", *[F.col(c).alias(f"_l_{c}") for c in lower]).withColumn("_level", F.explode(F.lit(list(range(levels)))) if levels > 1 else F.lit(0)).withColumn("_bin", F.floor(F.col("tin") / at))
+    inside = (F.col("tin") >= F.col("_low")) if own else (F.col("tin") > F.col("_low"))
+    on = [F.col(f"r.{c}") == F.col(f"n.{c}") for c in ("tree_id", "_level", "_bin")]
+    on += [inside, F.col("tin") <= F.col("_high")]
+    if most is not None:
+        on.append(F.col("n.depth") - F.col("_depth") <= most)
+    both = ranges.alias("r").join(nodes.alias("n"), on)
+    return both.select("n.tree_id", "anc_id", "node_id", (F.col("n.depth") - F.col("_depth")).cast("int").alias("dist"), *[F.col(f"_u_{c}").alias(c) for c in upper], *[F.col(f"_l_{c}").alias(c) for c in lower])
+
+
+def closure(indexed: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """The pairs of every node and each node on its path (of ``paths``), with columns of the lower node."""
+    rows = indexed.select(*KEY, "depth", *columns).join(found, KEY)
+    return rows.select("tree_id", "node_id", *columns, "depth", F.posexplode("path").alias("_pos", "anc_id")).select("tree_id", "anc_id", "node_id", (F.col("depth") - F.col("_pos")).cast("int").alias("dist"), *columns)
+
+
+def range_agg(ranges: DataFrame, keys: list[str], rows: DataFrame, largest: int, **aggregates: tuple) -> DataFrame:
+    """Aggregates over ranges of places: ``keys`` of ``ranges`` (tree_id, low, high and the keys) and the aggregates over the rows (tree_id, tin and columns) from low to high.
+
+    An aggregate is a pair of a function of a column (the first aggregation, then the merge of its results, e.g. ``(F.max, F.max)``) and that column; the same function serves for both.
+    A range is put together from the fewest aligned blocks of 1, 8, 64, ... places, at most 14 of each size, so its cost grows with the logarithm of
+    its length. Ranges without rows have no row.
+    """
+    levels = 1
+    while BLOCK**levels < max(largest, 2):
+        levels += 1
+    names = list(aggregates)
+    firsts = [fn(F.col(c) if isinstance(c, str) else c).alias(n) for n, (fn, c) in aggregates.items()]
+    merges = [fn(F.col(n)).alias(n) for n, (fn, _) in aggregates.items()]
+    lowest = rows.select("tree_id", F.lit(0).alias("_level"), F.col("tin").alias("_block"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, (_, c) in aggregates.items()])
+    if levels > 1:
+        eight = stored(rows.groupBy("tree_id", F.floor(F.col("tin") / BLOCK).alias("_block")).agg(*firsts), "blocks")
+        higher = eight.withColumn("_level", F.explode(F.lit(list(range(1, levels)))))
+        power = F.element_at(F.lit([BLOCK ** (k - 1) for k in range(1, levels)]), F.col("_level"))
+        blocks = lowest.unionByName(higher.groupBy("tree_id", "_level", F.floor(F.col("_block") / power).alias("_block")).agg(*merges))
+    else:
+        blocks = lowest
+    none = F.array().cast("array<struct<_level:int,_block:bigint>>")
+
+    def stretch(level, low, high):
+        every = F.transform(F.sequence(low, F.greatest(low, high)), lambda b: F.struct(level.cast("int").alias("_level"), b.cast("bigint").alias("_block")))
+        return F.when(low <= high, every).otherwise(none)
+
+    def cut(state, level):
+        low, high = state["low"], state["high"]
+        up_low, up_high = F.ceil(low / BLOCK).cast("bigint"), F.floor((high + 1) / BLOCK).cast("bigint")
+        goes_on = (up_low < up_high) & (level < levels - 1)
+        edges = F.concat(stretch(level, low, up_low * BLOCK - 1), stretch(level, up_high * BLOCK, high))
+        taken = F.when(low > high, none).when(goes_on, edges).otherwise(stretch(level, low, high))
+        return F.struct(F.when(goes_on, up_low).otherwise(F.lit(1)).cast("bigint").alias("low"), F.when(goes_on, up_high - 1).otherwise(F.lit(0)).cast("bigint").alias("high"), F.concat(state["pieces"], taken).alias("pieces"))
+
+    start = F.struct(F.col("low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high"), none.alias("pieces"))
+    pieces = F.aggregate(F.lit(list(range(levels))), start, cut, lambda s: s["pieces"])
+    asked = ranges.select("tree_id", *[k for k in keys if k != "tree_id"], F.explode(pieces).alias("_p")).select("tree_id", *[k for k in keys if k != "tree_id"], "_p._level", "_p._block")
+    return asked.join(blocks, ["tree_id", "_level", "_block"]).groupBy(*dict.fromkeys(["tree_id", *keys])).agg(*merges).select(*dict.fromkeys(["tree_id", *keys]), *names)
+
+
+def _sizes(inner: DataFrame) -> DataFrame:
+    """``tree_id, node_id, root_id, depth, size`` of the inner nodes (tree_id, node_id, jump: the parent, size: of the node and its leaves)."""
+    small, big = _split(inner)
+    kinds = dict(inner.dtypes)
+
+    def solve(batch, jump):
+        size, node = batch.column("size").to_numpy().copy(), batch.column("node_id").to_numpy()
+        depth, root = np.zeros(len(size), np.int32), np.arange(len(size))
+        ended, length = jump < 0, 1
+
+        def step(rows, to):
+            nonlocal length
+            gain = np.bincount(to, size[rows], len(size)).astype(np.int64)
+            now = ended[to]  # such a jump has reached its root and knows its depth
+            depth[rows[now]], root[rows[now]] = length + depth[to[now]], root[to[now]]
+            ended[rows] = now
+            size[:] += gain
+            length *= 2
+
+        _doubling(jump, step)
+        return {"root_id": node[root], "depth": depth, "size": size}
+
+    done = _by_tree(small, f"tree_id {kinds['tree_id']}, node_id bigint, root_id bigint, depth int, size bigint", solve)
+    if big is None:
+        return done
+    up = stored(big.select(*KEY, "jump", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), "size"), "jumps")
+    total, rounds = up.count(), 0
+    while not (open_ := up.where("jump is not null")).isEmpty():
+        rounds += 1
+        if 2 ** (rounds - 1) > total:
+            raise ValueError(CYCLE)
+        # where a jump has none of its own, it has reached its root and knows its depth
+        above = up.select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("_next"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"))
+        joined = open_.join(above, ["tree_id", "jump"], "left")
+        onward = F.when(F.col("_root").isNull(), _missing(F.col("jump")).cast("bigint")).otherwise(F.col("_next"))
+        length = F.lit(2 ** (rounds - 1)) + F.col("_depth")
+        moved = joined.select(*KEY, onward.alias("jump"), F.col("_root").alias("root_id"), F.when(onward.isNull(), length).otherwise(0).cast("int").alias("depth"), "size")
+        more = open_.groupBy("tree_id", F.col("jump").alias("node_id")).agg(F.sum("size").alias("_more"))
+        whole = moved.union(up.where("jump is null").select(moved.columns)).join(more, KEY, "left")
+        up = stored(whole.select(*KEY, "jump", "root_id", "depth", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")), "jumps")
+    return done.union(up.drop("jump"))
+
+
 def build(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``depth`` (0 at the root), ``path, n_children, is_leaf, size, tin, tout`` (pre-order, from 1)."""
-    found = stored(paths(nodes).withColumn("depth", F.size("path") - 1), "paths")
-    sizes = closure(found).groupBy("tree_id", F.col("anc_id").alias("node_id")).agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("dist") == 1, 1)).cast("int").alias("n_children"))
-    wide = stored(nodes.join(found, KEY).join(sizes, KEY), "sizes")
-    placed = sum_before(wide.select(*KEY, "parent_id", "child_ord", "size"), ["tree_id", "parent_id"], "child_ord", F.col("size"), "_before")
-    steps = placed.select("tree_id", F.col("node_id").alias("anc_id"), F.when(F.col("parent_id").isNull(), F.lit(1)).otherwise(1 + F.col("_before")).alias("_step"))
-    tin = closure(wide).join(steps, ["tree_id", "anc_id"]).groupBy(*KEY).agg(F.sum("_step").alias("tin"))
-    return stored(wide.join(tin, KEY).withColumns({"is_leaf": F.col("n_children") == 0, "tout": F.col("tin") + F.col("size") - 1}), "index")
+    """``nodes`` with ``root_id, depth`` (0 at the root), ``n_children, is_leaf, size, tin, tout`` (pre-order, from 1). Raises an error on ids that
+    repeat in a tree, on cycles and on missing parents."""
+    once = nodes.groupBy(*KEY).agg(F.max("parent_id").alias("parent_id"), F.max("child_ord").alias("child_ord"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("two nodes of a tree have the id "), F.col("node_id").cast("string"))).cast("bigint")
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).cast("int").alias("n_children"))
+    shape = stored(once.withColumn("parent_id", F.when(F.col("_n") > 1, twice).otherwise(F.col("parent_id"))).drop("_n").join(kids, KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "shape")
+    leaf = (F.col("n_children") == 0) & F.col("parent_id").isNotNull()
+    leaves = shape.where(leaf)
+    own = leaves.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_leaves"))
+    inner = stored(shape.where(~leaf).join(own, KEY, "left").select(*KEY, F.col("parent_id").alias("jump"), (F.coalesce("_leaves", F.lit(0)) + 1).alias("size")), "inner")
+    sized = _sizes(inner)
+    try:
+        wide = stored(shape.join(sized, KEY, "left").withColumn("size", F.when(leaf, F.lit(1).cast("bigint")).otherwise(F.col("size"))), "sizes")
+    except PythonException as e:
+        if CYCLE in str(e):  # as where trees are too large for a task
+            raise ValueError(CYCLE) from e
+        raise
+
+    kin = F.coalesce("parent_id", F.lit(-(1 << 63))).alias("_kin")  # several roots of a tree follow each other
+    placed = sum_before(wide.select(*KEY, "parent_id", kin, "child_ord", "n_children", "size"), ["tree_id", "_kin"], "child_ord", F.col("size"), "_before")
+    steps = placed.select(*KEY, F.col("parent_id").alias("jump"), (F.col("n_children") == 0).alias("is_leaf"), (1 + F.col("_before")).cast("bigint").alias("tin"))
+    tins = along(steps, {"tin": "sum"})
+    over = wide.where(~leaf).select("tree_id", F.col("node_id").alias("parent_id"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"))
+    under = wide.where(leaf).join(over, ["tree_id", "parent_id"], "left")
+    root = F.when(F.col("_root").isNull(), _missing(F.col("parent_id")).cast("bigint")).otherwise(F.col("_root"))
+    columns = [*KEY, "root_id", "depth", "n_children", "size"]
+    facts = wide.where(~leaf).select(*columns).union(under.select(*KEY, root, F.col("_depth") + 1, "n_children", "size")).join(tins, KEY)
+    facts = facts.select(*KEY, "root_id", F.col("depth").cast("int").alias("depth"), "n_children", (F.col("n_children") == 0).alias("is_leaf"), "size", "tin", (F.col("tin") + F.col("size") - 1).alias("tout"))
+    return stored(nodes.join(facts, KEY), "index")

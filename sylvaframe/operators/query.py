@@ -11,25 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import Filter, navigating
-from .index import KEY, closure, path_sums
-
-
-def _siblings():
-    return Window.partitionBy("tree_id", "parent_id").orderBy("child_ord")
-
-
-def _root(c: Column) -> Column:
-    return F.when(F.col("parent_id").isNotNull(), c)
+from .index import KEY, last_before, path_sums
 
 
 def get_node(tree, node_id: int, below: int | None = None) -> DataFrame:
     """The row of a node; with ``below`` only if it lies in that node's subtree."""
     rows = tree.nodes.where(F.col("node_id") == node_id)
-    return rows if below is None else tree.indexed.where((F.col("node_id") == node_id) & F.array_contains("path", below)).select(rows.columns)
+    return rows if below is None else tree.inside(below).where(F.col("node_id") == node_id).select(rows.columns)
 
 
 def root_of(tree) -> DataFrame:
-    return tree.indexed.select(*KEY, F.col("path")[0].alias("root_id"))
+    return tree.indexed.select(*KEY, "root_id")
 
 
 def parents(tree, *columns: str) -> DataFrame:
@@ -58,29 +50,40 @@ def siblings(tree) -> DataFrame:
 
 
 def sibling_totals(tree, **columns: str) -> DataFrame:
-    """``n``, how many siblings a node has, and by name the sum of a column of whole numbers over them, of every node that has any.
+    """``n``, how many siblings a node has, and by name the sum of a column of whole numbers or decimals over them, of every node that has any.
 
     The parent's totals minus the node's own values, so a parent of n children gives n rows, where ``siblings`` has n^2.
     A sum is null where no sibling has a value.
     """
-    own = tree.nodes.where("parent_id is not null").select(*KEY, "parent_id", *[F.col(c).cast("bigint").alias(f"_own_{k}") for k, c in columns.items()])
+    kinds = dict(tree.nodes.dtypes)
+    if odd := [c for c in columns.values() if not kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "decimal"))]:
+        raise TypeError(f"sums without a node's own value are exact for whole numbers and decimals only, not for {', '.join(odd)}: cast to a decimal")
+    own = tree.nodes.where("parent_id is not null").select(*KEY, "parent_id", *[F.col(c).alias(f"_own_{k}") for k, c in columns.items()])
     sums = [a for k in columns for a in (F.sum(f"_own_{k}").alias(f"_sum_{k}"), F.count(f"_own_{k}").alias(f"_has_{k}"))]
     total = own.groupBy("tree_id", "parent_id").agg(F.count(F.lit(1)).alias("_many"), *sums).where("_many > 1")
     rest = [F.when(F.col(f"_has_{k}") > F.col(f"_own_{k}").isNotNull().cast("int"), F.col(f"_sum_{k}") - F.coalesce(f"_own_{k}", F.lit(0))).alias(k) for k in columns]
     return own.join(total, ["tree_id", "parent_id"]).select(*KEY, (F.col("_many") - 1).alias("n"), *rest)
 
 
+def _neighbour(tree, order: Column) -> DataFrame:
+    """The sibling that comes before by an order of the children, in stretches of it, so that a parent of millions is no single task."""
+    rows = tree.nodes.where("parent_id is not null").select(*KEY, "parent_id", order.alias("_place"))
+    near = last_before(rows, ["tree_id", "parent_id"], "_place", "node_id", "sibling_id").select(*KEY, "sibling_id")
+    return near.union(tree.nodes.where("parent_id is null").select(*KEY, F.lit(None).cast("bigint")))
+
+
 def next_sibling(tree) -> DataFrame:
-    return tree.nodes.select(*KEY, _root(F.lead("node_id").over(_siblings())).alias("sibling_id"))
+    return _neighbour(tree, -F.col("child_ord"))
 
 
 def previous_sibling(tree) -> DataFrame:
-    return tree.nodes.select(*KEY, _root(F.lag("node_id").over(_siblings())).alias("sibling_id"))
+    return _neighbour(tree, F.col("child_ord"))
 
 
 def last_sibling(tree) -> DataFrame:
     """The last child of the parent, which may be the node itself."""
-    return tree.nodes.select(*KEY, _root(F.last("node_id").over(_siblings().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("sibling_id"))
+    last = last_child(tree).select("tree_id", F.col("node_id").alias("parent_id"), F.col("child_id").alias("sibling_id"))
+    return tree.nodes.select(*KEY, "parent_id").join(last, ["tree_id", "parent_id"], "left").select(*KEY, "sibling_id")
 
 
 def is_leaf(tree) -> DataFrame:
@@ -107,13 +110,6 @@ def _starts(start) -> Column | None:
     return F.expr(start) if isinstance(start, str) else start if isinstance(start, Column) else F.col("node_id").isin(list(start) if isinstance(start, (list, tuple, set)) else [start])
 
 
-def _only(rows: DataFrame, tree, id_col: str, start) -> DataFrame:
-    if start is None:
-        return rows
-    keep = tree.indexed.where(_starts(start)).select("tree_id", F.col("node_id").alias(id_col))
-    return rows.join(keep, ["tree_id", id_col], "left_semi")
-
-
 @navigating
 def descendants(tree, key=None, start=None, scale=None, symbol=None, link=None, where=None, all: bool = True, self: bool = False, recursivity_level: int | None = None, ignore_nothing: bool = False) -> DataFrame:
     """(tree_id, start_id, node_id, dist, tin, keys...): the nodes below each start node that pass; ``tin`` is their order.
@@ -129,19 +125,18 @@ def descendants(tree, key=None, start=None, scale=None, symbol=None, link=None,
         passes = passes & F.col(keys[0]).isNotNull()
     marked = tree.indexed.withColumn("_passes", passes)
     carried = ["tin", *[k for k in keys if k not in ("tin", *KEY)], "_passes"]
-    low = 0 if self else 1
-    one = start if isinstance(start, int) else None
-    if one is not None and tree.strategy in ("interval", "auto"):
+    prunes = not all and not (filt.empty and not ignore_nothing)
+    most = recursivity_level - (1 if self else 0) if recursivity_level is not None and recursivity_level >= 0 else None
+    if isinstance(start, int) and tree.strategy != "closure":
         # one start node: a range of pre-order numbers, read off the index
-        top = tree.indexed.where(F.col("node_id") == one).select("tree_id", F.col("node_id").alias("anc_id"), F.col("tin").alias("_low"), F.col("tout").alias("_high"), F.col("depth").alias("_depth"))
-        rows = marked.join(F.broadcast(top), "tree_id").where("tin between _low and _high")  # one row for each tree that has the id
-        rows = rows.select("tree_id", "anc_id", "node_id", (F.col("depth") - F.col("_depth")).cast("int").alias("dist"), *carried)
+        top = tree.indexed.where(F.col("node_id") == start).select("tree_id", F.col("node_id").alias("anc_id"), F.col("tin").alias("_low"), F.col("tout").alias("_high"), F.col("depth").alias("_depth"))
+        rows = marked.join(top, "tree_id").where("tin between _low and _high")  # one row for each tree that has the id
+        rows = rows.select("tree_id", "anc_id", "node_id", (F.col("depth") - F.col("_depth")).cast("int").alias("dist"), *carried).where(F.col("dist") >= (0 if self else 1))
+        rows = rows if most is None else rows.where(F.col("dist") <= most)
     else:
-        rows = _only(closure(marked, *carried), tree, "anc_id", start)
-    rows = rows.where(F.col("dist") >= low)
-    if recursivity_level is not None and recursivity_level >= 0:
-        rows = rows.where(F.col("dist") <= recursivity_level - (1 if self else 0))
-    if not all and not (filt.empty and not ignore_nothing):
+        tops = tree.indexed if start is None else tree.indexed.where(_starts(start))
+        rows = tree.pairs(tops, marked if prunes else marked.where("_passes"), self, lower=carried, most=most)
+    if prunes:
         fails = _failures(tree, passes)
         above = fails.select("tree_id", F.col("node_id").alias("anc_id"), (F.col("fail_cum") - (F.col("fails") if self else F.lit(0))).alias("_base"))
         rows = rows.join(fails.select(*KEY, "fail_cum"), KEY).join(above, ["tree_id", "anc_id"]).where("fail_cum = _base")
@@ -165,12 +160,11 @@ def ancestors(tree, key=None, start=None, scale=None, symbol=None, link=None, wh
     hops = limit is not None and filt.empty and all and ignore_nothing and len(keys) == 1
     if ignore_nothing and len(keys) == 1:
         passes = passes & F.col(keys[0]).isNotNull()
-    up = tree.indexed.select("tree_id", F.col("node_id").alias("anc_id"), *[F.col(k) for k in keys if k not in KEY], passes.alias("_passes"))
-    rows = _only(closure(tree.indexed), tree, "node_id", start).where(F.col("dist") >= (0 if self else 1))
-    if hops:
-        rows = rows.where(F.col("dist") <= limit)
-    rows = rows.join(up, ["tree_id", "anc_id"])
-    if not all and not (filt.empty and not ignore_nothing):
+    prunes = not all and not (filt.empty and not ignore_nothing)
+    up = tree.indexed.withColumn("_passes", passes)
+    low = tree.indexed if start is None else tree.indexed.where(_starts(start))
+    rows = tree.pairs(up if prunes else up.where("_passes"), low, self, upper=["_passes", *[k for k in keys if k not in KEY]], most=limit if hops else None)
+    if prunes:
         fails = _failures(tree, passes)
         own = fails.select(*KEY, (F.col("fail_cum") - (F.lit(0) if self else F.col("fails"))).alias("_own"))
         above = fails.select("tree_id", F.col("node_id").alias("anc_id"), (F.col("fail_cum") - F.col("fails")).alias("_base"))

@@ -112,7 +112,7 @@ _sales("subtree_sum", "SELECT a.anc_id AS start_id, sum(x.cents)::BIGINT AS cent
     lambda t: A.subtree_agg(t, symbol="Lineitem", cents=F.sum("cents"), n_lines=F.count(F.lit(1)))
 )
 _sales("subtree_max_quantity", "SELECT a.anc_id AS start_id, max(x.quantity) AS most, count(DISTINCT x.status) AS kinds FROM anc a JOIN nodes s ON s.node_id = a.anc_id JOIN nodes x ON x.node_id = a.node_id WHERE s.symbol = 'Nation' AND a.dist > 0 GROUP BY 1")(
-    lambda t: A.subtree_agg(t, "symbol = 'Nation'", most=F.max("quantity"), kinds=F.countDistinct("status"))
+    lambda t: A.subtree_ranges(t, "symbol = 'Nation'", most=("max", "quantity"), kinds=("distinct", "status"))
 )
 _sales("path_sum", "SELECT a.node_id AS start_id, sum(x.cents)::BIGINT AS cents, max(x.cents) AS most FROM anc a JOIN nodes x ON x.node_id = a.anc_id WHERE a.dist > 0 AND x.symbol = 'Order' GROUP BY 1")(lambda t: A.path_agg(t, symbol="Order", cents=F.sum("cents"), most=F.max("cents")))
 _sales("subtree_size", "SELECT node_id, size AS n_nodes FROM sizes")(A.subtree_size)
