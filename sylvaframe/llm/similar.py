@@ -10,8 +10,10 @@ shingle sets. What is linked is exact; which links are found is not: a pair at s
 probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one link of many is enough.
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
-Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key, and
-after that, all members that are not in their own component. So no link between components is left out, and a crowd
+Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. What is
+still outside then meets the members of other components: all of them in a key of at most ``FEW`` members, and in larger ones those that a
+prefix filter over the shingle sets leaves. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, and the
+places of the first that they share bound how many they can share in all. That is exact, so no link between components is left out, and a crowd
 of near copies costs about its size, not the square of it.
 
 Words are those of ``simhash``; a text of fewer words is one shingle, an empty or null text has none and is a copy of the others. Rows are
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, id_text, stored
@@ -32,6 +34,8 @@ from .simhash import first_rows, near_codewords
 SHINGLE = 5
 SIMILARITY = 0.8
 DISTANCE = 24
+#: Members of a key up to which components meet member by member.
+FEW = 64
 #: Rows of a key that are compared with each other at once; larger keys are kept whole.
 CROWD = 256
 SEGMENTS, WIDTH = 4, 23
@@ -162,21 +166,45 @@ def _meet(distance: int, crowd: int):
     return run
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of contents whose shingle sets are similar enough. ``docs`` has doc_id, mark and text."""
-    wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct().join(nodes, "content").select("content", "rep.doc_id", "rep.mark")
+def _sets(contents: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``content`` and ``set``, its shingles, of each content. ``docs`` has doc_id, mark and text."""
+    wanted = contents.join(nodes, "content").select("content", "rep.doc_id", "rep.mark")
     texts = wanted.join(docs, wanted["doc_id"].eqNullSafe(docs["doc_id"]) & (wanted["mark"] == docs["mark"])).select("content", "text")
 
     def run(batch):
         yield {"content": batch.column("content"), "set": [shingles(t, size)[:, 0].view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
 
-    sets = stored(arrow_rows(texts, "content binary, set array<bigint>", run).dropDuplicates(["content"]), "shingle-sets")
+    return stored(arrow_rows(texts, "content binary, set array<bigint>", run).dropDuplicates(["content"]), "shingle-sets")
+
+
+def _overlapping(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different roots, one of them ``outside``, that can be similar enough by a prefix filter: no pair that is so is left out.
+
+    ``members`` has content, root and outside.
+    """
+    sets = _sets(members.select("content"), nodes, docs, size)
+    rows = sets.join(members, "content").select("content", "root", "outside", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("content").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    first = rows.join(often, "s", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1) & F.col("df").isNotNull())
+    first = stored(first.select("content", "root", "outside", "n", "s", "place"), "prefixes")
+    one = first.where("outside").select("s", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "n", "place")])
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1"))  # from the first that they share on
+    enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("n1")) - 1e-6
+    alike = F.least("n", "n1") >= similarity * F.greatest("n", "n1") - 1e-6
+    both = one.join(first, (one["s"] == first["s"]) & (F.col("root") != F.col("root1")) & alike & enough)
+    return both.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of contents whose shingle sets are similar enough. ``docs`` has doc_id, mark and text."""
+    sets = _sets(pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct(), nodes, docs, size)
     a, b = sets.select(F.col("content").alias("a"), F.col("set").alias("x")), sets.select(F.col("content").alias("b"), F.col("set").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     return stored(both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "similar")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = DISTANCE, crowd: int = CROWD, few: int = FEW) -> DataFrame:
     """``doc_id``, ``mark`` (a hash of the text), ``class`` and ``component_id``, the least id of the class, of every row."""
     src = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     kind = dict(src.dtypes)["doc_id"]
@@ -203,17 +231,23 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowds = met.select("crowd", "low", "high").union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high"))
     crowds = stored(crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high"), "crowds")
     near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
+    both_ends = [F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")]
     for whole in (False, True):
         member = crowds.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
         counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
-        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        member = stored(member.join(main.select("crowd", "main"), "crowd"), "crowd-members")
-        outside = member.where("root <> main.root").select("crowd", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
+        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("size")).where("k > 1")
+        member = stored(member.join(main.select("crowd", "main", "size"), "crowd"), "crowd-members")
+        is_outside = F.col("root") != F.col("main.root")
+        outside = member.where(is_outside).select("crowd", "size", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
         if whole:
-            more = outside.drop("first").join(member, "crowd").where((F.col("root") != F.col("root1")) & near)
+            small = F.col("size") <= few
+            more = outside.where(small).drop("first", "size").join(member.where(small), "crowd").where((F.col("root") != F.col("root1")) & near).select(*both_ends)
+            crowded = stored(member.where(~small).groupBy("content").agg(F.first("root").alias("root"), F.max(is_outside).alias("outside")), "crowded")
+            if not crowded.isEmpty():
+                more = more.union(_overlapping(crowded, nodes, src, shingle, similarity))
         else:
-            more = outside.select("content1", "low1", "high1", "first.*").where(near)
-        more = more.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            more = outside.select("content1", "low1", "high1", "first.*").where(near).select(*both_ends)
+        more = more.distinct().join(tried, ["a", "b"], "left_anti")
         more = stored(more, "crowd-candidates")
         if not more.isEmpty():
             found = found.union(_similar(more, nodes, src, shingle, similarity))

@@ -100,6 +100,23 @@ def test_crowd_of_near_copies(spark):
     assert len(got) - len(want) <= 3
 
 
+def test_large_keys_lose_no_link(spark):
+    """Short texts in crowds, many below the similarity of the largest component, with links among themselves: the prefix filter finds all links
+    that meetings member by member find, and such between members of different keys, too."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        first = edited(r, base, r.randint(0, 4)).split()
+        rows.append((2 * i, " ".join(first)))
+        rows.append((2 * i + 1, edited(r, first, r.randint(0, 1))))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    by_prefix, by_member = found(similar.similar_texts(docs, few=1, distance=92)), found(similar.similar_texts(docs, few=10**6, distance=92))
+    assert all(any(g <= p for p in by_prefix) for g in by_member)
+    want = groups(rows)
+    assert all(any(g <= w for w in want) for g in by_prefix) and len(by_prefix) - len(want) <= 0.1 * (len(rows) - len(want))
+
+
 def test_odd_rows(spark):
     docs, rows = odd_documents(spark)
     out = similar.similar_texts(docs)
