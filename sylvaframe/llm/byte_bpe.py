@@ -35,6 +35,8 @@ FREQUENT = 600_000
 COUNTED = 150_000
 #: Tokens of a word above which a step merges all places of the lowest pair, not the first.
 MANY = 64
+#: Length of a word from which it is merged in turns, and the steps of the first ones: a run of one letter takes few steps, whatever its length.
+LONG, TURNS = 256, (64, 4096)
 #: Ids are below LIMIT, two of them make a pair's key; NONE is no id and no rank.
 LIMIT = NONE = 131_071
 
@@ -229,7 +231,17 @@ def merged_ids(word: Column, ranks: RankMap, table: Column) -> Column:
 
         return _let(F.transform(parts, lambda x: F.shiftright(x, bits)), lambda places: _let(F.array_min(places), lambda new: lowest(places, new)))
 
-    whole = F.aggregate(F.sequence(F.lit(4), F.greatest(F.size(word), F.lit(4))), word, step)
+    def fold(parts, steps):
+        return F.aggregate(steps, parts, step)
+
+    def in_turns(parts, turns):
+        # few steps first: those after the last merge would look at all that is left, each
+        rest = F.sequence(F.lit(4), F.greatest(F.size(parts), F.lit(4)))
+        if not turns:
+            return fold(parts, rest)
+        return _let(fold(parts, F.sequence(F.lit(1), F.lit(turns[0]))), lambda p: F.when(F.exists(p, lambda x: F.shiftright(x, bits) != NONE), in_turns(p, turns[1:])).otherwise(p))
+
+    whole = F.when(F.size(word) > LONG, in_turns(word, TURNS)).otherwise(in_turns(word, ()))
     return F.filter(F.transform(whole, token), lambda x: x != NONE)
 
 

@@ -42,6 +42,13 @@ def test_odd_rows(spark, ranks, plain, block):
     assert byte_bpe.encode(empty_documents(spark), ranks).count() == 0
 
 
+def test_long_runs(spark, ranks, plain):
+    """Runs of one letter or sign, as of ruled lines, take time in proportion to their length."""
+    texts = ["a" * 300_000, "-" * 300_000, "ab" * 2000, "x" + "=" * 257 + "y", " " * 5000 + "z", "-" * 256]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    same_rows(byte_bpe.encode(docs, ranks).select("doc_id", "ids"), [(i, plain.encode_ordinary(t)) for i, t in enumerate(texts)])
+
+
 def test_split_is_the_pattern():
     import regex
 
