@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,9 @@ from ..operators import edit as E
 from ..operators import query as Q
 from ..operators import schema as S
 from ..operators.filters import is_filtered
-from ..sources.mtg_text import mtg_lines, parse_lines
-from ..storage import stored
-from .sample_trees import conversation_trees, event_trees, events_sql, sales_sql, sales_tree
+from ..sources.mtg_text import mtg_lines, parse_lines, read_mtg, write_mtg
+from ..storage import stored, work_dir
+from .sample_trees import conversation_trees, event_trees, events_sql, sales_flat_sql, sales_sql, sales_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ def _sales(name: str, body: str, more: str = ""):
 
 
 # --- navigation -----------------------------------------------------------------------------------------------
-_sales("parent_values", "SELECT n.node_id, n.parent_id, p.symbol AS parent_symbol, p.cents AS parent_cents FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id")(lambda t: Q.parents(t, "symbol", "cents"))
+_add("parent_values", sales_flat_sql("SELECT n.node_id, n.parent_id, p.symbol AS parent_symbol, p.cents AS parent_cents FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id"))(lambda t: Q.parents(t, "symbol", "cents"))
 _sales("children_count", "SELECT parent_id AS node_id, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")(lambda t: Q.children(t).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
 _sales("second_child", "SELECT parent_id AS node_id, child_ord, node_id AS child_id FROM nodes WHERE parent_id IS NOT NULL AND child_ord = 2")(lambda t: Q.children(t, 2))
 _sales("last_child", "SELECT parent_id AS node_id, arg_max(node_id, child_ord) AS child_id FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1")(Q.last_child)
@@ -61,7 +62,7 @@ _sales("root_of", "SELECT a.node_id, a.anc_id AS root_id FROM anc a JOIN nodes n
 _sales("get_node", f"SELECT node_id, symbol, cents FROM nodes WHERE node_id = {ORDER_7}")(lambda t: Q.get_node(t, ORDER_7).select("node_id", "symbol", "cents"))
 _sales("is_leaf", "SELECT node_id, is_leaf FROM shape")(Q.is_leaf)
 _sales("is_root", "SELECT node_id, parent_id IS NULL AS is_root FROM nodes")(Q.is_root)
-_sales("get_descendant", "SELECT d.node_id AS start_id, b.node_id FROM nodes d JOIN nodes a ON a.parent_id = d.node_id AND a.child_ord = 1 JOIN nodes b ON b.parent_id = a.node_id AND b.child_ord = 2 WHERE d.symbol = 'Customer'")(lambda t: Q.get_descendant(t, [1, 2], "symbol = 'Customer'"))
+_add("get_descendant", sales_flat_sql("SELECT d.node_id AS start_id, b.node_id FROM nodes d JOIN nodes a ON a.parent_id = d.node_id AND a.child_ord = 1 JOIN nodes b ON b.parent_id = a.node_id AND b.child_ord = 2 WHERE d.symbol = 'Customer'"))(lambda t: Q.get_descendant(t, [1, 2], "symbol = 'Customer'"))
 
 # --- ancestors ------------------------------------------------------------------------------------------------
 _LINE = "JOIN nodes s ON s.node_id = a.node_id JOIN nodes x ON x.node_id = a.anc_id WHERE s.symbol = 'Lineitem'"
@@ -122,6 +123,16 @@ _sales("nleaves", "SELECT node_id, (k + 1)::BIGINT AS nleaves FROM lc", _LEAFS)(
 _sales("nleaves_siblings", "SELECT node_id, (CASE WHEN parent_id IS NULL THEN 0 ELSE sum(k + 1) OVER (PARTITION BY parent_id) - k - 1 END)::BIGINT AS sum_siblings FROM lc", _LEAFS)(A.sum_siblings)
 _sales("branching_order_asc", "SELECT a.node_id, (1 + sum(CASE WHEN x.link = '+' AND x.parent_id IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS branching_order FROM anc a JOIN nodes x ON x.node_id = a.anc_id GROUP BY 1")(A.branching_order)
 _sales("branching_order_desc", "SELECT node_id, 1::BIGINT AS branching_order FROM nodes")(lambda t: A.branching_order(t, False))
+_PLUS = "plus AS (SELECT *, symbol = 'Customer' OR symbol = 'Order' AND idx % 2 = 0 AS p FROM shape), most AS (SELECT q.anc_id AS node_id, p.node_id AS leaf, count(*) AS k FROM anc p JOIN plus x ON x.node_id = p.anc_id AND x.p AND NOT x.is_leaf JOIN shape l ON l.node_id = p.node_id AND l.is_leaf JOIN anc q ON q.node_id = p.anc_id GROUP BY 1, 2)"
+_sales("branching_order_desc_plus", "SELECT n.node_id, 1 + coalesce(max(k), 0) AS branching_order FROM nodes n LEFT JOIN most USING (node_id) GROUP BY 1", _PLUS)(
+    lambda t: A.branching_order(C.set_attribute(t, "link", "+", "symbol = 'Customer' or symbol = 'Order' and index % 2 = 0"), False)
+)
+_sales("subtree_ranges", "SELECT a.anc_id AS start_id, max(x.cents) AS most, min(x.cents) AS least, count(DISTINCT x.quantity) AS quantities, count(DISTINCT x.status) AS kinds FROM anc a JOIN nodes x ON x.node_id = a.node_id WHERE a.dist > 0 AND x.symbol IN ('Order', 'Lineitem') GROUP BY 1")(
+    lambda t: A.subtree_ranges(t, symbol=["Order", "Lineitem"], most=("max", "cents"), least=("min", "cents"), quantities=("distinct", "quantity"), kinds=("distinct", "status"))
+)
+_sales("subtree_totals_real", "SELECT a.anc_id AS start_id, count(*) AS n, round(sum(x.cents / 100.0), 2) AS money, sum(x.cents)::BIGINT AS exact FROM anc a JOIN nodes x ON x.node_id = a.node_id WHERE a.dist > 0 AND x.symbol = 'Lineitem' GROUP BY 1")(
+    lambda t: A.subtree_totals(C.mutate(t, {"money": "cast(cents as double) / 100", "exact": "cast(cents as decimal(14,2)) / 100"}), symbol="Lineitem", money="money", exact="exact").select("start_id", "n", F.round("money", 2).alias("money"), (F.col("exact") * 100).cast("bigint").alias("exact"))
+)
 _sales("pipe_model", "SELECT node_id, round(v, 6) AS pipe FROM pipe", _LEAFS + ", pipe(node_id, v) AS (SELECT node_id, 1000.0::DOUBLE FROM nodes WHERE parent_id IS NULL UNION ALL SELECT s.node_id, p.v * s.share FROM pipe p JOIN (SELECT node_id, parent_id, (k + 1)::DOUBLE / sum(k + 1) OVER (PARTITION BY parent_id) AS share FROM lc) s ON s.parent_id = p.node_id)")(
     lambda t: A.pipe_model(t, 1000.0).select("node_id", F.round("pipe", 6).alias("pipe"))
 )
@@ -222,6 +233,16 @@ def _written_and_read(t, *attributes):
 _READ = 'SELECT p.tin AS node_id, q.tin AS parent_id, n.child_ord, n.link, n.symbol, n.idx AS "index", n.scale::BIGINT AS scale, n.cents, n.quantity, n.status FROM nodes n JOIN pre p USING (node_id) LEFT JOIN pre q ON q.node_id = n.parent_id'
 _sales("mtg_read", _READ)(lambda t: _written_and_read(t, "cents", "quantity", "status"))
 
+
+
+def _files_round_trip(t):
+    path = f"{work_dir(t.spark)}/mtg-files-{uuid.uuid4().hex}"
+    write_mtg(t, path)
+    return read_mtg(t.spark, path, "stem").nodes.select("tree_id", "node_id", "parent_id", "child_ord", "link", "symbol", "scale", "chars")
+
+
+_add("mtg_files_round_trip", "SELECT conv_id::VARCHAR AS tree_id, n AS node_id, CASE WHEN n > 1 THEN n - 1 END AS parent_id, 1::INT AS child_ord, CASE WHEN n > 1 THEN '<' ELSE '/' END AS link, role AS symbol, 1::INT AS scale, length(coalesce(text, ''))::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)", conversation_trees, False)(_files_round_trip)
+
 # --- many trees with long chains ------------------------------------------------------------------------------
 _add("events_subtree_sum", events_sql("SELECT a.tree_id, a.anc_id AS start_id, sum(n.cents)::BIGINT AS cents, count(*) AS n FROM anc a JOIN nodes n ON n.tree_id = a.tree_id AND n.node_id = a.node_id WHERE a.dist > 0 GROUP BY 1, 2"), event_trees, False)(
     lambda t: A.subtree_totals(t, cents="cents")

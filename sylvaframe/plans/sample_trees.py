@@ -114,6 +114,14 @@ sizes AS (SELECT anc_id AS node_id, count(*) AS size FROM anc GROUP BY 1)
 """
 
 
+#: The nodes alone, for what needs no way up or down.
+FLAT_SQL = SALES_SQL[: SALES_SQL.index("anc(anc_id")].rstrip().rstrip(",").replace("nodes AS (", "nodes AS MATERIALIZED (")
+
+
+def sales_flat_sql(body: str) -> str:
+    return "WITH " + FLAT_SQL + " " + body
+
+
 def sales_sql(body: str, more: str = "") -> str:
     """``body`` over the sales tree's views nodes, shape (with n_children, is_leaf), anc, pre (tin, depth), sizes."""
     return "WITH RECURSIVE " + SALES_SQL + (", " + more if more else "") + " " + body

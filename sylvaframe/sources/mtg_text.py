@@ -1,12 +1,16 @@
 """Reader and writer of the tab-separated ``.mtg`` text format.
 
-Many files are read at once, one tree each. A file is one row that is split into numbered lines, or comes as numbered lines; node numbers and parents
+Many files are read at once, one tree each. Spark's text source splits large files; lines are numbered by the block of bytes that they come from and their place in it, node numbers and parents
 are found in stretches of lines that follow each other, attributes from the feature names of a file's header, so that
-no file is one task. Nothing but the distinct feature names and symbols comes to the driver.
+no text file is one row or one task. Nothing but the distinct feature names and symbols comes to the driver.
+
+The writer lets Spark commit one text file a tree in a hidden folder and then moves the files to their names: a write that is killed leaves no half file.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,17 +110,69 @@ def _typed(value: Column, kind: str, name: str) -> tuple[Column, T.DataType]:
     return F.when(value.isNotNull() & out.isNull(), _error(f"{name} can't be {kind}: ", value).cast(t)).otherwise(out), t
 
 
-def read_mtg(spark: SparkSession, paths, tree_names: str = "base", sheet_name: str | None = None) -> TreeFrame:
-    """Read ``.mtg`` files (or tab-separated text by any name; ``.xlsx`` and ``.xlsm`` by their first sheet, or the one named).
+def read_mtg(spark: SparkSession, paths, tree_names: str = "base", sheet_name: str | None = None, recursive: bool = False) -> TreeFrame:
+    """Read ``.mtg`` files (or tab-separated text by any name; ``.xlsx`` and ``.xlsm`` by their first sheet, or the one named); ``recursive``
+    reads all files of folders and the folders in them.
 
-    ``tree_id`` is the file's name, or its whole path with ``tree_names="path"``.
+    ``tree_id`` is the file's name, or its whole path with ``tree_names="path"``, or with ``tree_names="stem"`` what ``write_mtg`` was given: the name without ``.mtg``, its
+    escapes undone. Files that share a name in different folders are told apart by their paths.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if all(p.lower().endswith((".xlsx", ".xlsm")) for p in paths):
         from .spreadsheet import sheets_as_text
 
         return parse_mtg(sheets_as_text(spark, paths, sheet_name), tree_names)
-    return parse_mtg(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), tree_names)
+    return parse_lines(numbered_lines(spark, paths, recursive), tree_names)
+
+
+def numbered_lines(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """(file, n, line): the lines of text files, numbered from 0 in each, read in as many splits as Spark makes of the files.
+
+    A split has lines in order, so a line's number is its place in its split after the lines of the splits before.
+    """
+    text = spark.read.options(recursiveFileLookup=recursive, lineSep="\n").text(paths)
+    here = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = stored(text.select(*here, F.col("value").alias("line")), "mtg-text")  # the numbers are given once
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("_start")).alias("n"), "line")
+
+
+#: Characters that a file's name can't hold, or that Spark would split or hide it by.
+_ESCAPES = {"%": "%25", "/": "%2F", "\\": "%5C", ":": "%3A"}
+_HIDDEN = {".": "%2E", "_": "%5F"}
+SUFFIX = ".mtg"
+
+
+def file_name(tree_id: Column) -> Column:
+    """A name for a tree's file, different for different trees that end alike in ``.mtg`` or not."""
+    name = tree_id
+    for sign, code in _ESCAPES.items():
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    for sign, code in _HIDDEN.items():
+        name = F.when(name.startswith(sign), F.concat(F.lit(code), F.substring(name, F.lit(2), F.length(name)))).otherwise(name)
+    return F.when(name.endswith(SUFFIX), name).otherwise(F.concat(name, F.lit(SUFFIX)))
+
+
+def tree_name(name: Column) -> Column:
+    """The tree whose file has a name, without ``.mtg``."""
+    name = F.regexp_replace(name, "\\.mtg$", "")
+    for sign, code in reversed([*_ESCAPES.items(), *_HIDDEN.items()]):
+        name = F.replace(name, F.lit(code), F.lit(sign))
+    return name
+
+
+def _tree_ids(heads: DataFrame, tree_names: str) -> DataFrame:
+    """``heads`` with the ``tree_id`` of each file."""
+    base = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    if tree_names == "path":
+        return heads.withColumn("tree_id", F.col("file"))
+    if tree_names not in ("base", "stem"):
+        raise ValueError("tree_names must be base, stem or path")
+    named = heads.withColumn("_name", tree_name(base) if tree_names == "stem" else base)
+    shared = named.groupBy("_name").agg(F.count(F.lit(1)).alias("_files")).where("_files > 1")
+    return named.join(shared, "_name", "left").withColumn("tree_id", F.when(F.col("_files").isNull(), F.col("_name")).otherwise(F.col("file"))).drop("_name", "_files")
 
 
 def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
@@ -126,7 +182,7 @@ def parse_mtg(files: DataFrame, tree_names: str = "base") -> TreeFrame:
 
 def parse_lines(rows: DataFrame, tree_names: str = "base") -> TreeFrame:
     """Parse files given as numbered lines (file, n, line); the numbers need not follow each other closely."""
-    lines = _lines(rows.select("file", F.col("n").cast("bigint").alias("n"), "line"))
+    lines = stored(_lines(rows.select("file", F.col("n").cast("bigint").alias("n"), "line")), "mtg-lines")
     heads = _table(lines, "CLASSES", CLASSES, False).join(_table(lines, "FEATURES", FEATURES, True), "file", "left").join(_table(lines, "DESCRIPTION", DESCRIPTION, True), "file", "left")
     body = lines.where((F.col("section") == "MTG") & ~F.col("marker"))
     first = body.groupBy("file").agg(F.min("n").alias("first_n"), F.min_by("line", "n").alias("body_head"))
@@ -142,8 +198,11 @@ def parse_lines(rows: DataFrame, tree_names: str = "base") -> TreeFrame:
         .when(~F.coalesce(told == F.col("names"), F.lit(False)), F.lit("the attributes of the MTG section must be those of FEATURES in "))
         .when((F.size(F.coalesce("DESCRIPTION", F.array())) > 0) & ~(F.exists("DESCRIPTION", lambda r: F.get(r, F.lit(2)) == "+") & F.exists("DESCRIPTION", lambda r: F.get(r, F.lit(2)) == "<")), F.lit("DESCRIPTION must have both + and < in "))
     )
+    heads = _tree_ids(heads, tree_names)
     heads = heads.withColumn("attr_start", F.when(problem.isNotNull(), _error(problem, F.col("file")).cast("int")).when(F.size("names") == 0, F.lit(NO_ATTRIBUTES)).otherwise(start))
 
+    heads = stored(heads, "mtg-heads")  # a row for each file, asked for many times
+
     rows = body.join(heads.select("file", "first_n", "attr_start", "names", F.col("CLASSES").alias("classes")), "file").where("n > first_n").withColumn("cells", _cells(F.col("line")))
     rows = rows.withColumn("column", F.array_position(F.transform("cells", lambda x: x != ""), F.lit(True)).cast("int"))
     line_no = F.col("n") + 1
@@ -154,7 +213,7 @@ def parse_lines(rows: DataFrame, tree_names: str = "base") -> TreeFrame:
     rows = rows.withColumn("caret", F.get("elements", F.lit(0)) == "^").withColumn("elements", F.filter("elements", lambda x: x != "^"))
     rows = rows.withColumn("codes", expand_elements(F.col("elements"), line_no))
     rows = sum_before(rows.withColumn("node_id", F.col("n")), ["file"], "n", F.size("codes"), "first_id").drop("node_id").withColumn("first_id", F.col("first_id") + 1)
-    rows = rows.withColumn("last_id", F.col("first_id") + F.size("codes") - 1)
+    rows = stored(rows.withColumn("last_id", F.col("first_id") + F.size("codes") - 1).select("file", "n", "column", "caret", "values", "names", "classes", "codes", "first_id", "last_id"), "mtg-rows")
 
     # a line's parent: the last node before it in the same column (after ^) or in the one before
     asks = rows.select("file", F.when(F.col("caret"), F.col("column")).otherwise(F.col("column") - 1).alias("key"), (F.col("n") * 2).alias("at"), F.lit(None).cast("bigint").alias("last_id"))
@@ -193,15 +252,14 @@ def parse_lines(rows: DataFrame, tree_names: str = "base") -> TreeFrame:
             value = F.when(of_file == t, c.cast(kind)).otherwise(value)
         columns[name] = F.when(F.col("has"), value)
         kinds_of[name] = kind
-    nodes = nodes.join(heads.select("file", "kinds"), "file")
-    tree_id = F.element_at(F.split("file", "/"), -1) if tree_names == "base" else F.col("file")
-    nodes = nodes.select(tree_id.alias("tree_id"), "node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", *[c.alias(a) for a, c in columns.items()])
+    nodes = nodes.join(heads.select("file", "kinds", "tree_id"), "file")
+    nodes = nodes.select("tree_id", "node_id", "parent_id", "child_ord", "link", "symbol", "index", "scale", *[c.alias(a) for a, c in columns.items()])
     first_file = heads.select("names").where("size(names) > 0").limit(1).collect()
     if first_file:  # attributes in the order of the first header
         known = [n for n in first_file[0].names if n in columns]
         nodes = nodes.select(*nodes.columns[:8], *known, *[c for c in columns if c not in known])
     declared = heads.select(F.explode("CLASSES").alias("c")).select(F.when(F.get("c", F.lit(0)) == "$", "Scene").otherwise(F.get("c", F.lit(0))).alias("symbol"), F.get("c", F.lit(1)).cast("int").alias("scale")).distinct().collect()
-    description = heads.where(F.size("DESCRIPTION") > 0).select(tree_id.alias("tree_id"), F.explode("DESCRIPTION").alias("d")).select("tree_id", *[(F.split(F.get("d", F.lit(i)), ",") if c == "RIGHT" else F.get("d", F.lit(i))).alias(c) for i, c in enumerate(DESCRIPTION)])
+    description = heads.where(F.size("DESCRIPTION") > 0).select("tree_id", F.explode("DESCRIPTION").alias("d")).select("tree_id", *[(F.split(F.get("d", F.lit(i)), ",") if c == "RIGHT" else F.get("d", F.lit(i))).alias(c) for i, c in enumerate(DESCRIPTION)])
     header = {"symbols": sorted({r.symbol for r in declared}), "scales": sorted({r.scale for r in declared}), "description": description}
     nodes = stored(nodes, "mtg-nodes")  # parsed once, whatever is asked of the tree
     filled = nodes.groupBy("symbol").agg(*[F.count(a).alias(a) for a in columns], F.count(F.lit(1)).alias("_n")).collect()
@@ -248,27 +306,41 @@ def mtg_lines(tree, classes: DataFrame | None = None, features: list[tuple[str,
 
 
 def write_mtg(tree, path: str, **parts) -> list[str]:
-    """Write one text file per tree, ``<tree>.mtg`` in the folder (the name of a tree that ends in ``.mtg`` stays as it is); returns the names."""
-    lines = mtg_lines(tree, **parts)
-    lines.repartition("tree_id").sortWithinPartitions("tree_id", "section", "seq").select("tree_id", F.col("line").alias("value")).write.partitionBy("tree_id").text(path)
-    return _named(tree.spark, path)
-
-
-def _named(spark: SparkSession, path: str) -> list[str]:
-    """Gives the part files ``tree_id=<name>/part-...`` their trees' names; only names pass through the driver."""
-    from urllib.parse import unquote
-
+    """Write one text file per tree, ``<tree>.mtg`` in a new folder (the name of a tree that ends in ``.mtg`` stays as it is; signs that a file's name can't
+    hold are written as ``%`` and their code); returns the names. Raises an error, before anything is written, if two trees would share a file."""
+    spark = tree.spark
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = []
-    for folder in fs.listStatus(top):
-        if not folder.isDirectory():
-            continue
-        name = unquote(folder.getPath().getName().partition("=")[2])
-        name = name if name.endswith(".mtg") else f"{name}.mtg"
-        part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(top, name))
-        fs.delete(folder.getPath(), True)
-        names.append(name)
-    return sorted(names)
+    if fs.exists(top):
+        raise FileExistsError(path)
+    names = tree.nodes.where("parent_id is null").select("tree_id").distinct().withColumn("_file", file_name(F.col("tree_id")))
+    if clash := names.groupBy("_file").agg(F.min("tree_id").alias("a"), F.max("tree_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").head():
+        raise ValueError(f"the trees {clash.a} and {clash.b} would share the file {clash['_file']}")
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    lines = mtg_lines(tree, **parts).withColumn("_file", file_name(F.col("tree_id")))
+    lines.repartition("_file").sortWithinPartitions("_file", "section", "seq").select("_file", F.col("line").alias("value")).write.partitionBy("_file").text(staging)
+    return _moved(jvm, fs, jvm.org.apache.hadoop.fs.Path(staging), top)
+
+
+def _moved(jvm, fs, staging, top) -> list[str]:
+    """Moves the committed files ``_file=<name>/part-...`` to their names; only names pass through the driver. Nothing is deleted but what is empty."""
+    from concurrent.futures import ThreadPoolExecutor
+    from urllib.parse import unquote
+
+    def move(folder) -> str:
+        name = unquote(folder.getName().partition("=")[2])
+        written = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        target = jvm.org.apache.hadoop.fs.Path(top, name)
+        if len(written) != 1 or fs.exists(target) or not fs.rename(written[0], target):
+            raise OSError(f"can't move {written} to {target}")
+        if not any(f.getPath().getName().startswith("part-") for f in fs.listStatus(folder)):
+            fs.delete(folder, True)  # at most a checksum is left
+        return name
+
+    folders = [f.getPath() for f in fs.listStatus(staging) if f.isDirectory()]
+    with ThreadPoolExecutor(8) as pool:
+        names = sorted(pool.map(move, folders))
+    if not any(f.isDirectory() for f in fs.listStatus(staging)):
+        fs.delete(staging, True)
+    return names
