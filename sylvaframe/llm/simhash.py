@@ -210,7 +210,7 @@ def first_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text
     """The rows of ``docs``, all columns as they are, that come first in their class.
 
     ``classes`` has doc_id, mark (the hash of the text) and class of every row. The row with the least id comes first, of several texts with
-    this id the one with the least mark; of rows that are equal in id and text any one stays. Rows without an id stay.
+    this id the one with the least mark; of rows that are equal in id and text (null: empty) any one stays. Rows without an id stay.
     """
     named = classes.where("doc_id is not null").groupBy("class", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
     first = named.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
@@ -220,7 +220,8 @@ def first_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text
     rest = docs.join(gone, (docs[id_col] == gone["_gone"]) & (mark == gone["_gone_mark"]), "left_anti")
     if keys.where("stays and n > 1").isEmpty():
         return rest
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).union(rest.where(F.col(id_col).isNull()))
+    named = rest.where(F.col(id_col).isNotNull()).withColumn("_mark_of_text", F.coalesce(F.col(text_col), F.lit("")))
+    return named.dropDuplicates([id_col, "_mark_of_text"]).drop("_mark_of_text").union(rest.where(F.col(id_col).isNull()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

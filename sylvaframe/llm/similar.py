@@ -11,8 +11,8 @@ probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
 Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. What is
-still outside then meets the members of other components: all of them in a key of at most ``FEW`` members, and in larger ones those that a
-prefix filter over the shingle sets leaves. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, and the
+still outside then meets the members of other components: all of them in a key of at most ``FEW`` members. The members of larger ones meet all at once, whatever
+their keys, where a prefix filter over their shingle sets leaves a pair of different components. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, and the
 places of the first that they share bound how many they can share in all. That is exact, so no link between components is left out, and a crowd
 of near copies costs about its size, not the square of it.
 
@@ -184,9 +184,9 @@ def _overlapping(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: in
     """
     sets = _sets(members.select("content"), nodes, docs, size)
     rows = sets.join(members, "content").select("content", "root", "outside", F.size("set").alias("n"), F.explode("set").alias("s"))
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("content").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    first = rows.join(often, "s", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1) & F.col("df").isNotNull())
+    first = rows.join(often, "s", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1) & F.col("mixed"))
     first = stored(first.select("content", "root", "outside", "n", "s", "place"), "prefixes")
     one = first.where("outside").select("s", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "n", "place")])
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1"))  # from the first that they share on
@@ -228,23 +228,25 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = stored(pairs.distinct(), "candidates")
     found = _similar(tried, nodes, src, shingle, similarity)
     roots = connected_components(found)
-    crowds = met.select("crowd", "low", "high").union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high"))
-    crowds = stored(crowds.join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high"), "crowds")
+    members = met.select("crowd", "low", "high", F.col("best.size").alias("of")).union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high", "n"))
+    # of large keys one is enough: what is in any of them meets by shingles
+    large = members.where(F.col("of") > few).groupBy("low", "high").agg(F.max(F.struct("of", "crowd")).alias("top")).select("top.crowd", "low", "high", "top.of")
+    crowds = stored(members.where(F.col("of") <= few).union(large).join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high", "of"), "crowds")
     near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
     both_ends = [F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")]
     for whole in (False, True):
         member = crowds.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
         counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
-        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("size")).where("k > 1")
-        member = stored(member.join(main.select("crowd", "main", "size"), "crowd"), "crowd-members")
-        is_outside = F.col("root") != F.col("main.root")
-        outside = member.where(is_outside).select("crowd", "size", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
+        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        crowded = member.where(F.col("of") > few).select("content", "root")
+        member = stored(member.join(main.select("crowd", "main"), "crowd"), "crowd-members")
+        outside = member.where("root <> main.root").select("crowd", "of", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
         if whole:
-            small = F.col("size") <= few
-            more = outside.where(small).drop("first", "size").join(member.where(small), "crowd").where((F.col("root") != F.col("root1")) & near).select(*both_ends)
-            crowded = stored(member.where(~small).groupBy("content").agg(F.first("root").alias("root"), F.max(is_outside).alias("outside")), "crowded")
-            if not crowded.isEmpty():
-                more = more.union(_overlapping(crowded, nodes, src, shingle, similarity))
+            more = outside.where(F.col("of") <= few).drop("first", "of").join(member.where(F.col("of") <= few), "crowd").where((F.col("root") != F.col("root1")) & near).select(*both_ends)
+            crowded = stored(crowded.distinct(), "crowded")
+            largest = crowded.groupBy("root").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "root").head()
+            if largest is not None:
+                more = more.union(_overlapping(crowded.withColumn("outside", F.col("root") != F.lit(largest.root)), nodes, src, shingle, similarity))
         else:
             more = outside.select("content1", "low1", "high1", "first.*").where(near).select(*both_ends)
         more = more.distinct().join(tried, ["a", "b"], "left_anti")

@@ -161,7 +161,7 @@ def write_warc_files(records: DataFrame, path: str) -> None:
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """``header`` and ``block`` (bytes) of every record in plain WARC files, by the lengths that the headers tell."""
+    """``header`` and ``block`` (bytes) of every record in plain WARC files, by the lengths that the headers tell; a record without one raises an error."""
     import re
 
     import pyarrow as pa
@@ -172,7 +172,10 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
                 at, headers, blocks = 0, [], []
                 while at < len(data):
                     end = data.index(b"\r\n\r\n", at) + 4
-                    size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", data[at:end])[1])
+                    told = re.search(rb"\r\nContent-Length: *(\d+) *\r\n", data[at:end], re.IGNORECASE)
+                    if told is None:
+                        raise ValueError("a WARC record does not tell its Content-Length")
+                    size = int(told[1])
                     headers.append(data[at:end])
                     blocks.append(data[end : end + size])
                     at = end + size + 4

@@ -165,3 +165,9 @@ def test_repeated_ids_with_other_texts_stay(spark):
     assert sorted((r.doc_id, r.source) for r in simhash.keep_one(docs).collect()) == [(1, "x"), (5, "z")]
     docs = spark.createDataFrame([(3, a, "x"), (3, a, "x"), (3, b, "z")], "doc_id int, text string, source string")
     assert sorted((r.doc_id, r.source) for r in simhash.keep_one(docs).collect()) == [(3, "x"), (3, "z")]
+
+
+def test_null_is_the_empty_text(spark):
+    """A null and an empty text under one id are one row too many."""
+    docs = spark.createDataFrame([(1, None), (1, ""), (2, ""), (None, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text or "") for r in simhash.keep_one(docs).where("doc_id is not null").collect()) == [(1, "")]

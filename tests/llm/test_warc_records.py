@@ -20,3 +20,9 @@ def test_facts_come_from_the_bytes_of_the_records(spark, tmp_path, pages):  # no
         warc.facts(other).collect()
     with pytest.raises(Exception, match="not the payload"):  # the response that revisits name is gone
         warc.facts(records.where("page_id is null or page_id <> 8").where("page_id = 9")).collect()
+
+
+def test_record_without_a_length(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="Content-Length"):
+        warc.read_warc_files(spark, str(tmp_path)).collect()
