@@ -222,22 +222,23 @@ class NodeCache:
 
     def __init__(self, tree):
         self.tree, self.kept = tree, {}
+        self.asked = {}  # by name; functions are named by their addresses, so they have to live as long as what is kept under these
 
     @staticmethod
     def name(*parts) -> str:
         return "_cache_" + hashlib.sha1(repr(parts).encode()).hexdigest()
 
-    def _keep(self, name: str, rows: DataFrame, overwrite: bool) -> DataFrame:
+    def _keep(self, name: str, rows: DataFrame, overwrite: bool, *parts) -> DataFrame:
         if name in self.kept:
             if not overwrite:
                 raise ValueError("this is cached already; use overwrite=True")
             self.kept.pop(name).unpersist()
-        self.kept[name] = rows.persist()
+        self.kept[name], self.asked[name] = rows.persist(), parts
         return self.kept[name]
 
     def cache_nodes(self, scale=None, symbol=None, link=None, where=None, all: bool = True, overwrite: bool = False) -> DataFrame:
         rows = traverse(self.tree, *self.tree.nodes.columns[2:], scale=scale, symbol=symbol, link=link, where=where, all=all)
-        return self._keep(self.name(scale, symbol, link, where, all), rows, overwrite)
+        return self._keep(self.name(scale, symbol, link, where, all), rows, overwrite, where)
 
     def nodes(self, scale=None, symbol=None, link=None, where=None, all: bool = True) -> DataFrame | None:
         return self.kept.get(self.name(scale, symbol, link, where, all))
@@ -249,7 +250,7 @@ class NodeCache:
 
     def cache_values(self, key: str, overwrite: bool = False, **options) -> DataFrame:
         """The list of an attribute below every node."""
-        return self._keep(self.name("values", key, sorted(options.items())), values(descendants(self.tree, key, **options), key), overwrite)
+        return self._keep(self.name("values", key, sorted(options.items())), values(descendants(self.tree, key, **options), key), overwrite, options)
 
     def descendants(self, key: str, **options) -> DataFrame:
         kept = self.kept.get(self.name("values", key, sorted(options.items())))
@@ -259,4 +260,5 @@ class NodeCache:
         gone = list(self.kept)
         for name in gone:
             self.kept.pop(name).unpersist()
+        self.asked.clear()
         return gone
