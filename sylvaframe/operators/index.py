@@ -233,10 +233,6 @@ def last_before(rows: DataFrame, keys: list[str], order: str, value: str, name:
     return rows.withColumn(name, inside).join(starts, [*keys, "_stretch"], "left").withColumn(name, F.coalesce(name, "_start")).drop("_stretch", "_start")
 
 
-def _largest(indexed: DataFrame) -> int:
-    return indexed.agg(F.max("size")).head()[0] or 0
-
-
 def pairs(above: DataFrame, below: DataFrame, largest: int, own: bool, upper: list[str] = (), lower: list[str] = (), most: int | None = None) -> DataFrame:
     """A structural join: ``tree_id, anc_id, node_id, dist`` of every row of ``above`` and each row of ``below`` in its subtree, with
     columns of both (``upper``, ``lower``). ``own`` keeps a node as its own pair, ``most`` is the greatest distance.
