@@ -273,7 +273,7 @@ def closure(indexed: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
 def range_agg(ranges: DataFrame, keys: list[str], rows: DataFrame, largest: int, **aggregates: tuple) -> DataFrame:
     """Aggregates over ranges of places: ``keys`` of ``ranges`` (tree_id, low, high and the keys) and the aggregates over the rows (tree_id, tin and columns) from low to high.
 
-    An aggregate is a pair of a function of a column (the first aggregation, then the merge of its results, e.g. ``(F.max, F.max)``) and that column; the same function serves for both.
+    An aggregate is a pair of a function that also merges its own results (``F.max``, ``F.min``, ``F.sum``) and a column or Column.
     A range is put together from the fewest aligned blocks of 1, 8, 64, ... places, at most 14 of each size, so its cost grows with the logarithm of
     its length. Ranges without rows have no row.
     """
