@@ -11,7 +11,7 @@ probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
 Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. What is
-still outside then meets the members of other components: all of them in a key of at most ``FEW`` members. The members of larger ones meet all at once, whatever
+still outside then meets the members of other components: all of them in a key of at most ``FEW`` members that has a member in no larger key. The members of larger ones meet all at once, whatever
 their keys, where a prefix filter over their shingle sets leaves a pair of different components. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, and the
 places of the first that they share bound how many they can share in all. That is exact, so no link between components is left out, and a crowd
 of near copies costs about its size, not the square of it.
@@ -229,9 +229,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = _similar(tried, nodes, src, shingle, similarity)
     roots = connected_components(found)
     members = met.select("crowd", "low", "high", F.col("best.size").alias("of")).union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high", "n"))
-    # of large keys one is enough: what is in any of them meets by shingles
+    # of large keys one is enough: what is in any of them meets by shingles, so small keys all of whose members are in large ones have nothing to add
+    members = members.withColumn("top", F.max("of").over(Window.partitionBy("low", "high")))
     large = members.where(F.col("of") > few).groupBy("low", "high").agg(F.max(F.struct("of", "crowd")).alias("top")).select("top.crowd", "low", "high", "top.of")
-    crowds = stored(members.where(F.col("of") <= few).union(large).join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high", "of"), "crowds")
+    small = members.where(F.col("of") <= few).withColumn("least", F.min("top").over(Window.partitionBy("crowd"))).where(F.col("least") <= few).select("crowd", "low", "high", "of")
+    crowds = stored(small.union(large).join(nodes.select("low", "high", "content"), ["low", "high"]).select("crowd", "content", "low", "high", "of"), "crowds")
     near = F.bit_count(F.col("low").bitwiseXOR(F.col("low1"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high1"))) <= distance
     both_ends = [F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")]
     for whole in (False, True):
