@@ -1,13 +1,13 @@
 """Near-duplicates by the similarity of word shingles, found with SimHash fingerprints and keys of the Golay code.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8. A text's fingerprint has
-four segments of 23 bits, each bit the majority over its distinct shingles. The Golay code of length 23 is perfect, so a segment's nearest
+five segments of 23 bits, each bit the majority over its distinct shingles. The Golay code of length 23 is perfect, so a segment's nearest
 codeword is at most 3 bits away; a segment gets all codewords at distance 4 or less (5.3 on average), and two segments that
-differ in a few bits mostly share one. At a similarity of 0.8 about 14 of the 92 bits differ. By the pigeonhole principle
-they can't be many in all segments, so texts that agree in a codeword near two of the four segments are candidates: for each
+differ in a few bits mostly share one. At a similarity of 0.8 about 17 of the 115 bits differ. By the pigeonhole principle
+they can't be many in all segments, so texts that agree in a codeword near two of the five segments are candidates: for each
 pair of segments a key for each pair of their codewords. Candidates with at most ``DISTANCE`` differing bits are verified on their whole
 shingle sets. What is linked is exact; which links are found is not: a pair at similarity 0.8 meets with
-probability 0.83, at 0.9 with 0.97, and groups of copies meet more often, as one link of many is enough.
+probability 0.95, at 0.9 with 0.99, and groups of copies meet more often, as one link of many is enough.
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
 Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. What is
@@ -33,12 +33,12 @@ from .simhash import first_rows, near_codewords
 
 SHINGLE = 5
 SIMILARITY = 0.8
-DISTANCE = 24
+DISTANCE = 31
 #: Members of a key up to which components meet member by member.
 FEW = 64
 #: Rows of a key that are compared with each other at once; larger keys are kept whole.
 CROWD = 256
-SEGMENTS, WIDTH = 4, 23
+SEGMENTS, WIDTH = 5, 23
 _WORD = np.uint64((1 << WIDTH) - 1)
 
 
@@ -62,12 +62,12 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(found: np.ndarray) -> tuple[int, int]:
-    """The lower 64 and the upper 28 bits of the majority of each bit."""
+    """The lower 64 and the upper 51 bits of the majority of each bit."""
     if not len(found):
         return 0, 0
     ones = np.unpackbits(found.view(np.uint8).reshape(len(found), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     low, high = np.packbits(2 * ones > len(found), bitorder="little").view("<u8").tolist()
-    return low - (1 << 64) if low >> 63 else low, high & (1 << 28) - 1
+    return low - (1 << 64) if low >> 63 else low, high & (1 << 51) - 1
 
 
 def _described(batch, size: int):
@@ -85,8 +85,8 @@ def _described(batch, size: int):
 
 def band_keys(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): for each pair of segments every pair of codewords near them."""
-    low = low.view(np.uint64)
-    wide = [low & _WORD, low >> np.uint64(23) & _WORD, (low >> np.uint64(46) | high.astype(np.uint64) << np.uint64(18)) & _WORD, high.astype(np.uint64) >> np.uint64(5)]
+    low, high = low.view(np.uint64), high.astype(np.uint64)
+    wide = [low & _WORD, low >> np.uint64(23) & _WORD, (low >> np.uint64(46) | high << np.uint64(18)) & _WORD, high >> np.uint64(5) & _WORD, high >> np.uint64(28)]
     near = [near_codewords(w.astype(np.int64)) for w in wide]  # (codewords, first, size)
     rows, keys, kind = [], [], 0
     for a in range(SEGMENTS):
@@ -107,7 +107,7 @@ def _keyed(batches):
             part = batch.slice(a, 4000)
             low, high = part.column(0).to_numpy(), part.column(1).to_numpy()
             row, key = band_keys(low, high)
-            yield pa.RecordBatch.from_arrays([pa.array(key << 28 | high[row]), pa.array(low[row])], ["key", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(low[row]), pa.array(high[row])], ["key", "low", "high"])
 
 
 _PAIR = ["low", "high", "low2", "high2"]
@@ -148,20 +148,20 @@ def _meet(distance: int, crowd: int):
     def run(batches):
         held = None
         for batch in batches:
-            packed, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = [c.to_numpy() for c in batch.columns]
             if held is not None:
-                packed, low = np.concatenate([held[0], packed]), np.concatenate([held[1], low])
-            key = packed >> 28
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            key = rows[0]
             end = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if len(key) - end > 4 * crowd:  # a large key goes on as its first member and as many as make it large
-                done, keep = len(key), np.arange(end, end + crowd + 1)
+                done, keep = len(key), slice(end, end + crowd + 1)
             else:
-                done, keep = end, np.arange(end, len(key))
-            held = packed[keep], low[keep]
+                done, keep = end, slice(end, len(key))
+            held = [c[keep] for c in rows]
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(key[:done], low[:done], packed[:done] & (1 << 28) - 1)], _MET)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(*[c[:done] for c in rows])], _MET)
         if held is not None and len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(held[0] >> 28, held[1], held[0] & (1 << 28) - 1)], _MET)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs(*held)], _MET)
 
     return run
 
@@ -212,9 +212,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = stored(own.groupBy("content").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.min(F.struct("doc_id", "mark")).alias("rep")), "contents")
     prints = nodes.groupBy("low", "high").agg(F.min("content").alias("hub"), F.count(F.lit(1)).alias("n"))
     prints = stored(prints, "prints")
-    keyed = prints.select("low", "high").mapInArrow(_keyed, "key bigint, low bigint")
+    keyed = prints.select("low", "high").mapInArrow(_keyed, "key bigint, low bigint, high bigint")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    sorted_ = keyed.repartition(parts, F.shiftright("key", 28)).sortWithinPartitions("key", "low")
+    sorted_ = keyed.repartition(parts, "key").sortWithinPartitions("key", "low", "high")
     rows = sorted_.mapInArrow(_meet(distance, crowd), ", ".join(f"{c} bigint" for c in _MET))
     met = stored(rows.groupBy("crowd", "low", "high").agg(F.max(F.struct("size", "low2", "high2")).alias("best")), "met")
 
