@@ -10,11 +10,11 @@ shingle sets. What is linked is exact; which links are found is not: a pair at s
 probability 0.95, at 0.9 with 0.99, and groups of copies meet more often, as one link of many is enough.
 
 Texts with the same shingles are one node. At first each fingerprint meets one other only: the first in its largest key, or the one that is close there.
-Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. What is
-still outside then meets the members of other components: all of them in a key of at most ``FEW`` members that has a member in no larger key. The members of larger ones meet all at once, whatever
-their keys, where a prefix filter over their shingle sets leaves a pair of different components. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, and the
-places of the first that they share bound how many they can share in all. That is exact, so no link between components is left out, and a crowd
-of near copies costs about its size, not the square of it.
+Once these links are joined to components, the members outside the largest component of a key meet that component's first member in the key. All
+members of keys that still hold several components then meet at once, whatever their keys and the size of these, where a prefix filter over their shingle
+sets leaves a pair of different components. It orders shingles from rare to frequent; two sets of this similarity share one among the first fifth of each, the
+places of the first that they share bound how many they can share in all, and the parity of the shingles in each of ``PARITY`` classes bounds in how many they differ.
+All three are exact, so no link between components is left out, and of a crowd of near copies only pairs about as similar as links are become rows.
 
 Words are those of ``simhash``; a text of fewer words is one shingle, an empty or null text has none and is a copy of the others. Rows are
 taken one by one: equal ids are rows of their own, rows without an id are linked but never named. Other columns are not carried.
@@ -34,12 +34,14 @@ from .simhash import first_rows, near_codewords
 SHINGLE = 5
 SIMILARITY = 0.8
 DISTANCE = 31
-#: Members of a key up to which components meet member by member.
+#: Members of a key up to which a text stays in all of its keys; of larger keys it stays in one.
 FEW = 64
 #: Rows of a key that are compared with each other at once; larger keys are kept whole.
 CROWD = 256
 SEGMENTS, WIDTH = 5, 23
 _WORD = np.uint64((1 << WIDTH) - 1)
+#: Bits of the parity sketch of a shingle set.
+PARITY = 512
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -166,15 +168,22 @@ def _meet(distance: int, crowd: int):
     return run
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """A bit for each remainder of the hashes: whether it comes up an odd number of times. The sketches of two sets differ in no more bits than the sets in members."""
+    odd = (np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def _sets(contents: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``content`` and ``set``, its shingles, of each content. ``docs`` has doc_id, mark and text."""
+    """``content``, ``set``, its shingles, and ``sketch``, their parity, of each content. ``docs`` has doc_id, mark and text."""
     wanted = contents.join(nodes, "content").select("content", "rep.doc_id", "rep.mark")
     texts = wanted.join(docs, wanted["doc_id"].eqNullSafe(docs["doc_id"]) & (wanted["mark"] == docs["mark"])).select("content", "text")
 
     def run(batch):
-        yield {"content": batch.column("content"), "set": [shingles(t, size)[:, 0].view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]}
+        sets = [shingles(t, size)[:, 0] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield {"content": batch.column("content"), "set": [x.view(np.int64) for x in sets], "sketch": [parity(x) for x in sets]}
 
-    return stored(arrow_rows(texts, "content binary, set array<bigint>", run).dropDuplicates(["content"]), "shingle-sets")
+    return stored(arrow_rows(texts, "content binary, set array<bigint>, sketch array<bigint>", run).dropDuplicates(["content"]), "shingle-sets")
 
 
 def _overlapping(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -187,12 +196,15 @@ def _overlapping(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: in
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("mixed")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("content").orderBy(F.coalesce("df", F.lit(1)), "s"))
     first = rows.join(often, "s", "left").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1) & F.col("mixed"))
-    first = stored(first.select("content", "root", "outside", "n", "s", "place"), "prefixes")
-    one = first.where("outside").select("s", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "n", "place")])
+    first = first.select("content", "root", "outside", "n", "s", "place").join(sets.select("content", "sketch"), "content")
+    first = stored(first, "prefixes")
+    one = first.where("outside").select("s", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "n", "place", "sketch")])
     most = 1 + F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1"))  # from the first that they share on
     enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("n1")) - 1e-6
     alike = F.least("n", "n1") >= similarity * F.greatest("n", "n1") - 1e-6
-    both = one.join(first, (one["s"] == first["s"]) & (F.col("root") != F.col("root1")) & alike & enough)
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch1")[i])) for i in range(PARITY // 64)), F.lit(0))
+    close = differ <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("n1")) + 1e-6
+    both = one.join(first, (one["s"] == first["s"]) & (F.col("root") != F.col("root1")) & alike & enough & close)
     return both.select(F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")).distinct()
 
 
@@ -229,7 +241,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = _similar(tried, nodes, src, shingle, similarity)
     roots = connected_components(found)
     members = met.select("crowd", "low", "high", F.col("best.size").alias("of")).union(prints.where("n > 1").select(F.xxhash64("low", "high"), "low", "high", "n"))
-    # of large keys one is enough: what is in any of them meets by shingles, so small keys all of whose members are in large ones have nothing to add
+    # of large keys one is enough: what is in any of them meets by shingles at last, so small keys all of whose members are in large ones have nothing to add
     members = members.withColumn("top", F.max("of").over(Window.partitionBy("low", "high")))
     large = members.where(F.col("of") > few).groupBy("low", "high").agg(F.max(F.struct("of", "crowd")).alias("top")).select("top.crowd", "low", "high", "top.of")
     small = members.where(F.col("of") <= few).withColumn("least", F.min("top").over(Window.partitionBy("crowd"))).where(F.col("least") <= few).select("crowd", "low", "high", "of")
@@ -238,21 +250,20 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both_ends = [F.least("content", "content1").alias("a"), F.greatest("content", "content1").alias("b")]
     for whole in (False, True):
         member = crowds.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-        counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
-        main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        crowded = member.where(F.col("of") > few).select("content", "root")
-        member = stored(member.join(main.select("crowd", "main"), "crowd"), "crowd-members")
-        outside = member.where("root <> main.root").select("crowd", "of", *[F.col(c).alias(f"{c}1") for c in ("content", "root", "low", "high")], "main.first")
         if whole:
-            more = outside.where(F.col("of") <= few).drop("first", "of").join(member.where(F.col("of") <= few), "crowd").where((F.col("root") != F.col("root1")) & near).select(*both_ends)
-            crowded = stored(crowded.distinct(), "crowded")
+            # all that are in a large key, or in a small one with members of several components, meet by shingles
+            mixed = member.groupBy("crowd").agg((F.min("root") != F.max("root")).alias("mixed"))
+            crowded = stored(member.join(mixed, "crowd").where((F.col("of") > few) | F.col("mixed")).select("content", "root").distinct(), "crowded")
             largest = crowded.groupBy("root").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "root").head()
-            if largest is not None:
-                more = more.union(_overlapping(crowded.withColumn("outside", F.col("root") != F.lit(largest.root)), nodes, src, shingle, similarity))
+            if largest is None:
+                break
+            more = _overlapping(crowded.withColumn("outside", F.col("root") != F.lit(largest.root)), nodes, src, shingle, similarity)
         else:
+            counted = member.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("content", "low", "high")).alias("first"))
+            main = counted.groupBy("crowd").agg(F.max(F.struct("m", "root", "first")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+            outside = member.join(main, "crowd").where("root <> main.root").select(*[F.col(c).alias(f"{c}1") for c in ("content", "low", "high")], "main.first")
             more = outside.select("content1", "low1", "high1", "first.*").where(near).select(*both_ends)
-        more = more.distinct().join(tried, ["a", "b"], "left_anti")
-        more = stored(more, "crowd-candidates")
+        more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"), "crowd-candidates")
         if not more.isEmpty():
             found = found.union(_similar(more, nodes, src, shingle, similarity))
             tried = tried.union(more)

@@ -136,6 +136,38 @@ def test_large_keys_lose_no_link(spark):
     assert all(any(g <= w for w in want) for g in by_prefix) and len(by_prefix) - len(want) <= 0.1 * (len(rows) - len(want))
 
 
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(4)
+    for n, new in [(0, 3), (5, 0), (150, 20), (3000, 900)]:
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[new // 2 :], r.integers(0, 2**63, new).astype(np.uint64)])
+        differ = np.bitwise_count(np.bitwise_xor(*(np.array(similar.parity(x), np.int64) for x in (a, b))).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+        assert (new > 0) or differ == 0
+
+
+def test_crowd_in_small_keys(spark, monkeypatch):
+    """A group of near copies and texts a little too far from it, together in many small keys: few pairs become rows, and no link is left out."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(r, base, r.randint(0, 2))) for i in range(300)]
+    for i in range(80):
+        far = edited(r, base, 7).split()
+        rows += [(1000 + 2 * i, " ".join(far)), (1001 + 2 * i, edited(r, far, 2))]
+    made, stored = [], similar.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "crowd-candidates":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    got, want = found(similar.similar_texts(spark.createDataFrame(rows, "doc_id int, text string").repartition(4))), groups(rows)
+    assert all(any(g <= w for w in want) for g in got) and len(got) - len(want) <= 2
+    assert made[-1] <= 2 * len(rows)
+
+
 def test_odd_rows(spark):
     docs, rows = odd_documents(spark)
     out = similar.similar_texts(docs)
