@@ -242,6 +242,15 @@ def test_warnings_and_cache(orchard):
     assert cache.nodes(symbol="Bud") is not None and len(cache.clean_cache()) == 1 and cache.nodes(symbol="Bud") is None
 
 
+def test_cache_is_in_pre_order(orchard):
+    """However the nodes lie in partitions, what is kept and what is not come in pre-order."""
+    cache = Q.NodeCache(orchard.with_nodes(orchard.nodes.repartition(7, "node_id")))
+    fresh = [r.node_id for r in cache.traverse("symbol").collect()]
+    cache.cache_nodes()
+    want = [r.node_id for r in orchard.indexed.orderBy("tree_id", "tin").collect()]
+    assert fresh == want and [r.node_id for r in cache.traverse("symbol").collect()] == want
+
+
 def test_equality_and_rechildren(orchard):
     assert C.trees_equal(orchard, orchard)
     changed = C.set_attribute(orchard, "girth", 9.0, F.col("node_id") == 8)
