@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe import model, storage
 from sylvaframe.model import TreeFrame
+from sylvaframe.operators import aggregate as A
 from sylvaframe.operators import edit as E
 from sylvaframe.operators import index as I
 
@@ -77,3 +78,44 @@ def test_deletes_by_runs_of_deleted_nodes(spark, monkeypatch, many):
     out = E.delete_nodes(frame(spark, rows), where="parent_id is not null and symbol <> 'A'", child_link=rule).nodes
     key = lambda r: (r[0], r[1])
     assert sorted([tuple(r) for r in out.select("tree_id", "node_id", "parent_id", "child_ord", "link").collect()], key=key) == sorted(want, key=key)
+
+
+def below(rows):
+    kids = {}
+    for r in rows:
+        kids.setdefault((r[0], r[2]), []).append(r)
+    return lambda r: [x for k in kids.get((r[0], r[1]), []) for x in (k, *below_of(kids, k))]
+
+
+def below_of(kids, r):
+    return [x for k in kids.get((r[0], r[1]), []) for x in (k, *below_of(kids, k))]
+
+
+def test_from_the_leaves_up_and_from_the_roots_down(spark, monkeypatch):
+    """No blocks of the pre-order and no pairs of nodes, also where a tree is many parts."""
+    rows = bushy(6, 150)
+    monkeypatch.setattr(I, "LOCAL", 60)
+    monkeypatch.setattr(I, "CHUNK", 20)
+    monkeypatch.setattr(A, "range_agg", lambda *a, **k: pytest.fail("blocks"))
+    monkeypatch.setattr(TreeFrame, "pairs", lambda *a, **k: pytest.fail("pairs of nodes"))
+    tree = frame(spark, rows)
+    under = below(rows)
+    values = {(r[0], r[1]): [x[7] for x in under(r) if x[7] is not None] for r in rows}
+    want = {k: (max(v), min(v), len(set(v))) for k, v in values.items() if v}
+    got = {(r.tree_id, r.start_id): (r.most, r.least, r.kinds) for r in A.subtree_ranges(tree, most=("max", "x"), least=("min", "x"), kinds=("distinct", "x")).collect() if r.most is not None}
+    assert got == want
+    leaves = {(r[0], r[1]): sum(1 for x in under(r) if not under(x)) for r in rows}
+    assert {(r.tree_id, r.node_id): r.n_leaves for r in A.leaf_count(tree).collect()} == leaves
+    by = {(r[0], r[1]): r for r in rows}
+    kin = {}
+    for r in rows:
+        kin.setdefault((r[0], r[2]), []).append(r)
+
+    def pipe(r):
+        if r[2] is None or abs(r[7] or 0) > 30:
+            return float(abs(r[7] or 0))
+        beside = kin[r[0], r[2]]
+        return pipe(by[r[0], r[2]]) * ((leaves[r[0], r[1]] + 1) / sum(leaves[k[0], k[1]] + 1 for k in beside) if len(beside) > 1 else 1.0)
+
+    girth = tree.with_nodes(tree.nodes.withColumn("girth", F.abs(F.coalesce("x", F.lit(0)))), True)
+    assert {(r.tree_id, r.node_id): r.pipe for r in A.pipe_model_threshold(girth, "girth", 30.0).collect()} == {(r[0], r[1]): pipe(r) for r in rows}
